@@ -109,9 +109,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
     """
     n = len(hashes)
     out_h, out_d = [], []
-    weight = [STEP * U64(1)]
-    for _ in range(1, k):
-        weight.append(weight[-1] * STEP)
+    weight = [U64(pow(int(STEP), j + 1, 1 << 64)) for j in range(k)]
     if n >= k:
         whole = doc[: n - k + 1] == doc[k - 1 :]
         acc = np.zeros(n - k + 1, U64)
@@ -124,7 +122,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
         for r in range(1, k):
             short = at[count == r]
             if len(short):
-                acc = np.full(len(short), U64(r) * BASE, U64)
+                acc = np.full(len(short), r * int(BASE) % (1 << 64), U64)
                 for j in range(r):
                     acc += hashes[short + j] * weight[j]
                 out_h.append(mix(acc))
