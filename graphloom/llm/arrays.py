@@ -1,0 +1,13 @@
+"""Small helpers for array expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body (or a lambda in it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

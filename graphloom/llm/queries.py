@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_backtrack, chat_windows, ordinal_classifier, quality_rules, url_filter, warc_members
+from graphloom.llm import bpe_backtrack, chat_windows, line_chunks, ordinal_classifier, quality_rules, simhash_windows, url_filter, warc_members
 from graphloom.llm.store import written
 
 SENTENCE_MODEL = "piece_bpe_32k.model"
@@ -49,6 +49,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed_adverts(pages), URL_RULES).drop("url")
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.col("n_spans_").alias("n_spans"), sha.alias("kept_sha256"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_windows.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -78,6 +88,8 @@ def op10_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op5_line_chunks": op5_line_chunks,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_chat_windows": op9_chat_windows,
@@ -85,6 +97,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_line_chunks": r"""
+with lines as (
+  select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
+  from (select doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)
+), hashed as (
+  select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from lines
+), rolled as (
+  select *, (h + 31 * coalesce(lag(h, 1) over o, 0) + 961 * coalesce(lag(h, 2) over o, 0)) % 4 = 0 as cut from hashed window o as (partition by doc_id order by i)
+), numbered as (
+  select *, coalesce(sum(cast(cut as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as no from rolled
+), chunks as (
+  select doc_id, no, count(*) as n, count(*) filter (where regexp_matches(line, '[^ \t\n\x0B\f\r]')) as solid, string_agg(line, chr(10) order by i) as body
+  from numbered group by doc_id, no
+), judged as (
+  select *, solid >= 2 and row_number() over (partition by body, solid >= 2 order by doc_id, no) > 1 as gone from chunks
+)
+select doc_id, cast(sum(n) as bigint) as n_lines, cast(coalesce(sum(n) filter (where gone), 0) as bigint) as n_removed, count(*) filter (where gone) as n_spans,
+       sha256(coalesce(string_agg(body, chr(10) order by no) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+""",
     "op3_url_filter": r"""
 with rest as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
