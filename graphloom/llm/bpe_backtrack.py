@@ -24,19 +24,22 @@ unknown characters become byte pieces.
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.textvec import arrow_limits, rounds
 
 SPACE = "▁"
-#: Segments kept by a worker, and the longest one that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+#: Segments kept by a worker (twice as many for a while), the longest one that is kept, and pairs of pieces kept.
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 300_000, 64, 500_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -94,6 +97,8 @@ class BpeModel:
         self.dummy_prefix = bool(rules.get(3, 1))
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.id_of = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
+        self.newline_alone = not any("\n" in p for p in self.id_of)
+        self.pairs: dict[tuple[str, str], bool] = {}
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("a piece has a space after another character")
         self.score_of = {p: scores[i] for p, i in self.id_of.items()}
@@ -102,6 +107,7 @@ class BpeModel:
             if len(p) > 1:
                 seen[s] = seen.get(s, 0) + 1
         self.tied = {p for p, s in self.score_of.items() if len(p) > 1 and seen[s] > 1}
+        self.tied_words = [p for p in self.tied if p[0] != SPACE]
         merged = sorted((p for p in self.id_of if len(p) > 1 and p not in self.tied), key=lambda p: -self.score_of[p])
         #: Single characters come first, then pieces in the order of their merges.
         self.rank = {p: r for r, p in enumerate([*(p for p in self.id_of if len(p) == 1), *merged])}
@@ -116,7 +122,7 @@ class BpeModel:
                 self.split[p] = self._pair
         self.search = ahocorasick.Automaton()
         for p in self.split:
-            self.search.add_word(p, p)
+            self.search.add_word(p, (1 - len(p), p))
         self.search.make_automaton()
         #: The longest other piece that starts a piece.
         self.shorter: dict[str, str | None] = {}
@@ -152,7 +158,15 @@ class BpeModel:
         return [p for p in parts if p is not None]
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether merging left and right together leaves the boundary between them."""
+        """Whether merging left and right together leaves the boundary between them; kept by pair."""
+        got = self.pairs.get((left, right))
+        if got is None:
+            if len(self.pairs) >= PAIR_ENTRIES:
+                self.pairs.clear()
+            got = self.pairs[left, right] = self._remerged(left, right)
+        return got
+
+    def _remerged(self, left: str, right: str) -> bool:
         rank, split = self.rank, self.split
         if left not in rank or right not in rank:
             return True
@@ -173,42 +187,58 @@ class BpeModel:
     def longest(self, text: str) -> list[str]:
         """The longest piece at each position; a character outside the vocabulary stands for itself."""
         best = list(text)
-        for end, p in self.search.iter(text):
-            start = end - len(p) + 1
-            if len(p) > len(best[start]):
-                best[start] = p
+        # Matches come by their ends, so the last one from a position is its longest.
+        for end, (back, p) in self.search.iter(text):
+            best[end + back] = p
         return best
 
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a segment without tied pieces."""
-        best = self.longest(text)
-        failed = bytearray((len(text) + 8) // 8)
+        best, shorter, pairs, total = self.longest(text), self.shorter, self.pairs, len(text)
+        failed, any_failed = bytearray((total + 8) // 8), False
         out: list[str] = []
+        last: str | None = None
         at = 0
         piece: str | None = best[0] if text else None
         while piece is not None:
-            last = out[-1] if out else None
-            while True:
-                to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (last is None or self.compatible(last, piece)):
-                    out.append(piece)
-                    at = to
-                    piece = best[at] if at < len(text) else None
-                    break
-                piece = self.shorter.get(piece)
-                if piece is None:
-                    failed[at >> 3] |= 1 << (at & 7)
-                    if last is None:
-                        raise ValueError("no encoding")
-                    piece = out.pop()
-                    at -= len(piece)
-                    last = out[-1] if out else None
+            to = at + len(piece)
+            if any_failed and failed[to >> 3] >> (to & 7) & 1:
+                fits = False
+            elif last is None:
+                fits = True
+            else:
+                fits = pairs.get((last, piece))
+                if fits is None:
+                    fits = self.compatible(last, piece)
+            if fits:
+                out.append(piece)
+                if to == total:
+                    return out
+                last, at, piece = piece, to, best[to]
+                continue
+            piece = shorter.get(piece)
+            if piece is None:
+                failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
+                if not out:
+                    raise ValueError("no encoding")
+                # Shorten the piece before; it is offered again and found to end at a failed position.
+                piece = out.pop()
+                at -= len(piece)
+                last = out[-1] if out else None
         return out
 
     def segment_ids(self, segment: str) -> list[int]:
-        tied = segment.startswith(SPACE + SPACE) and self.tied or any(p in segment for p in self.tied if p[0] != SPACE)
+        if segment.startswith(SPACE + SPACE) or (self.tied_words and any(p in segment for p in self.tied_words)):
+            pieces = self.merge(segment)
+        else:
+            pieces = self.backtrack(segment)
+        try:
+            return [self.id_of[p] for p in pieces]
+        except KeyError:
+            pass
         ids: list[int] = []
-        for p in self.merge(segment) if tied else self.backtrack(segment):
+        for p in pieces:
             i = self.id_of.get(p)
             if i is None:
                 ids.extend(self.byte_ids[b] for b in p.encode())
@@ -217,73 +247,119 @@ class BpeModel:
         return ids
 
 
+class _Segments(dict):
+    """Packed ids of segments, in two generations so that frequent ones outlive a full cache."""
+
+    def __init__(self, model: BpeModel):
+        super().__init__()
+        self.model, self.old = model, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            ids = self.model.segment_ids(key) if key.startswith("\n") else self.model.segment_ids(SPACE + key)
+            got = struct.pack(f"<{len(ids)}i", *ids)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Codec:
     """Whole texts to ids and back, with a bounded cache of segments."""
 
     def __init__(self, model: BpeModel):
         self.model = model
-        self.cache: dict[str, list[int]] = {}
-        bare = [p.replace(SPACE, " ") if k in (NORMAL, UNKNOWN) else "" for p, k in zip(model.pieces, model.kinds, strict=True)]
-        self.text_of = [" ⁇ " if k == UNKNOWN else t for t, k in zip(bare, model.kinds, strict=True)]
-        self.byte_of = {i: b for b, i in model.byte_ids.items()}
-
-    def ids(self, text: str | None) -> list[int]:
+        self.cache = _Segments(model)
+        bare = [p.replace(SPACE, " ") if k == NORMAL else " ⁇ " if k == UNKNOWN else "" for p, k in zip(model.pieces, model.kinds, strict=True)]
+        byte_of = {i: bytes([b]) for b, i in model.byte_ids.items()}
+        data = [byte_of.get(i, t.encode()) for i, t in enumerate(bare)]
+        self.is_byte = np.zeros(len(data), bool)
+        self.is_byte[list(byte_of)] = True
+        self.leads = np.array([k == NORMAL and t.startswith(" ") for t, k in zip(bare, model.kinds, strict=True)])
+        self.size_of = np.array([len(d) for d in data])
+        self.data_of = pa.array(data, pa.large_binary())
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
         if not text:
-            return []
-        text = text.replace(SPACE, " ")
-        parts = text.split(" ")
+            return b""
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        # A newline is in no piece, so what follows it is a segment of its own.
+        marked = text.replace("\n", " \n") if self.model.newline_alone else text
+        if self.model.dummy_prefix and marked[0] != " " and marked[-1] != " " and "  " not in marked and (self.model.newline_alone or "\n" not in text):
+            return b"".join(map(self.cache.__getitem__, marked.split(" ")))
+        return self._spaced(text)
+
+    def _spaced(self, text: str) -> bytes:
+        """Texts with runs of spaces, or with spaces at an end."""
+        if self.model.dummy_prefix:
+            text = " " + text
         out: list[int] = []
-        run = 0
-        first = True
-        cache = self.cache
-        for part in parts:
-            if first:
-                first = False
-                if not self.model.dummy_prefix:
-                    if part:
-                        out.extend(self._segment(part))
-                    continue
-            run += 1
-            if part:
-                key = part if run == 1 else " " * (run - 1) + part
-                got = cache.get(key)
-                out.extend(got if got is not None else self._segment(SPACE * run + part, key))
-                run = 0
-        if run:
-            out.extend(self._segment(SPACE * run))
-        return out
+        for segment in re.findall(r" *[^ ]+| +", text):
+            out.extend(self.model.segment_ids(segment.replace(" ", SPACE)))
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def _segment(self, segment: str, key: str = "") -> list[int]:
-        ids = self.model.segment_ids(segment)
-        if key and len(key) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[key] = ids
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        text_of, byte_of = self.text_of, self.byte_of
-        out: list[str] = []
-        pending = bytearray()
-        begin = self.model.dummy_prefix
-        for i in ids:
-            if i in byte_of:
-                pending.append(byte_of[i])
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        parts = [self.packed(t) for t in texts.to_pylist()]
+        off = np.zeros(len(parts) + 1, np.int32)
+        np.cumsum([len(p) >> 2 for p in parts], out=off[1:])
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+    def decode_column(self, lists: pa.Array) -> pa.Array:
+        """Texts of lists of ids: the pieces' bytes put together, without the added first space."""
+        off = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.size_of[ids], out=ends[1:])
+        data = self.data_of.take(pa.array(ids)).buffers()[2]
+        data = data.to_pybytes()[: ends[-1]] if data is not None else b""
+        starts, stops = ends[off[:-1]].copy(), ends[off[1:]]
+        if self.model.dummy_prefix:
+            for i in np.flatnonzero(stops > starts):
+                shown = off[i] + np.argmax(self.size_of[ids[off[i] : off[i + 1]]] > 0)
+                starts[i] += int(self.leads[ids[shown]])
+        bytes_in = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.is_byte[ids], out=bytes_in[1:])
+        out = []
+        for i in range(len(lists)):
+            part = data[starts[i] : stops[i]]
+            try:
+                out.append(part.decode())
+            except UnicodeDecodeError:
+                out.append(self._repaired(ids[off[i] : off[i + 1]]))
+        return pa.array(out, pa.string())
+
+    def _repaired(self, ids: np.ndarray) -> str:
+        """Texts whose byte pieces aren't all valid: each run of them is decoded on its own."""
+        out, pending, begin = [], bytearray(), self.model.dummy_prefix
+        for i in ids.tolist():
+            piece = self.data_of[i].as_py()
+            if self.is_byte[i]:
+                pending += piece
                 continue
             if pending:
                 out.append(_utf8(pending))
                 begin = False
                 pending.clear()
-            t = text_of[i]
-            if begin and t:
+            text = piece.decode()
+            if begin and text:
                 begin = False
-                if t[0] == " " and self.model.kinds[i] == NORMAL:
-                    t = t[1:]
-            out.append(t)
+                text = text[int(self.leads[i]) :]
+            out.append(text)
         if pending:
             out.append(_utf8(pending))
         return "".join(out)
 
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
 
 def _utf8(data: bytearray) -> str:
     """Each byte that starts no valid character becomes one U+FFFD."""
@@ -322,30 +398,25 @@ def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids")
 
     Null and empty texts get an empty list. ``model_path`` must exist on every executor.
     """
-    return _mapped(df, text, out, "array<int>", pa.list_(pa.int32()), lambda c: lambda x: [c.ids(t) for t in x.to_pylist()], model_path, text)
+    return _mapped(df, text, out, "array<int>", Codec.encode_column, model_path, text)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of each list of ids as ``out``; null and empty lists give an empty text."""
-
-    def texts(c: Codec):
-        return lambda x: [c.decode(i or []) for i in x.to_pylist()]
-
-    return _mapped(df, ids, out, "string", pa.string(), texts, model_path, None)
+    return _mapped(df, ids, out, "string", Codec.decode_column, model_path, None)
 
 
-def _mapped(df: DataFrame, source: str, out: str, kind: str, arrow: pa.DataType, make, path: str, by: str | None) -> DataFrame:
+def _mapped(df: DataFrame, source: str, out: str, kind: str, method, path: str, by: str | None) -> DataFrame:
     arrow_limits(df.sparkSession)
     kept = [c for c in df.columns if c != out]
     schema = df.select(*kept, F.lit(None).cast(kind).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make(codec(path))
+        own = codec(path)
         for batch in batches:
             slices = rounds(batch, by) if by else (batch.slice(i, 64) for i in range(0, batch.num_rows, 64))
             for part in slices:
-                values = pa.array(f(part.column(source)), arrow)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), values], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), method(own, part.column(source))], [*kept, out])
 
     return df.mapInArrow(run, schema)
 
