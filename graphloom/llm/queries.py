@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_backtrack, chat_windows, line_chunks, ordinal_classifier, quality_rules, simhash_windows, url_filter, warc_members
+from graphloom.llm import bpe_backtrack, chat_windows, line_chunks, ordinal_classifier, parity_join, quality_rules, simhash_windows, suffix_dedup, url_filter, warc_members
 from graphloom.llm.store import written
 
 SENTENCE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return parity_join.near_duplicates(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(SENTENCE_MODEL)
     ids = bpe_backtrack.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -49,6 +54,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed_adverts(pages), URL_RULES).drop("url")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -86,8 +95,10 @@ def op10_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_parity_join": op1_parity_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_chunks": op5_line_chunks,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
