@@ -47,6 +47,19 @@ SEEDS = 4
 GROWTH = 1.5
 
 
+def _spare(parts: int, least: int) -> int:
+    """The fewest spare parts that cover the empty ones by three deviations; for small sets, those that come nearest to it."""
+    best, most = 0, -math.inf
+    for spare in range(least + 1):
+        empty = (parts + spare) * math.exp(-least / (parts + spare))
+        margin = (spare - empty) / math.sqrt(empty)
+        if margin >= 3:
+            return spare
+        if margin > most:
+            best, most = spare, margin
+    return best
+
+
 @lru_cache(maxsize=None)
 def bands(percent: int, most: int) -> list[tuple[int, int, int, int]]:
     """(least size, greatest size, parts, spare parts) of each band up to ``most`` shingles."""
@@ -56,14 +69,7 @@ def bands(percent: int, most: int) -> list[tuple[int, int, int, int]]:
         # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|), sizes at most ``high``.
         apart = (100 - percent) * 2 * high // (100 + percent)
         least = -(-percent * low // 100)
-        spare = 0
-        if apart:
-            while True:
-                parts = apart + 1 + spare
-                empty = parts * math.exp(-least / parts)
-                if spare >= empty + 3 * math.sqrt(empty):
-                    break
-                spare += 1
+        spare = _spare(apart + 1, least) if apart else 0
         out.append((low, high, apart + 1 + spare, spare))
         low = high + 1
     return out
