@@ -56,10 +56,13 @@ def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = np.zeros(n + 1, tv.U64)
     np.cumsum(values[data] * power[:n], out=sums[1:])
     least = tv.mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
-    # The least of 33 grams: of 32 by doubling, and one more.
-    for width in (1, 2, 4, 8, 16):
+    # The least gram of each string: of a power of two by doubling, then of two such that overlap.
+    width, every = 1, LENGTH - GRAM + 1
+    while width * 2 <= every:
         least = np.minimum(least[:-width], least[width:])
-    least = np.minimum(least[:-1], least[1:])
+        width *= 2
+    if every > width:
+        least = np.minimum(least[: width - every], least[every - width :])
     at = np.arange(len(least))
     doc = np.searchsorted(off, at, "right") - 1
     inside = at + LENGTH <= off[doc + 1]
