@@ -14,7 +14,8 @@ split, so a chunk that a third of the documents hold is no bottleneck.
 
 Null and empty texts have no such chunk and stay as they are. Null ids count as
 the smallest id. Rows that repeat an id and text are one document: all of them
-keep or lose the same lines. Extra columns are kept, whatever their names.
+keep or lose the same lines. Extra columns are kept, whatever
+their names; only n_lines_, n_removed_ and n_spans_ are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,8 +67,11 @@ def chunks(text: Column) -> Column:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated chunks, and n_lines_, n_removed_ (lines) and n_spans_ (chunks) at the end."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    base = docs.withColumns({"key_": key, "text_hash_": F.xxhash64(F.coalesce(text, F.lit("")))})
-    small = base.select("key_", "text_hash_", F.col(text).alias("text_"))
+    # Other columns travel in a struct, so none of their names can clash with those made here.
+    columns = [c for c in docs.columns if c not in ("n_lines_", "n_removed_", "n_spans_")]
+    row = F.struct(*(F.col(c) for c in columns if c != text), F.lit(0).alias("filler_"))
+    base = docs.select(row.alias("row_"), F.col(text).alias("text_"), key.alias("key_"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash_"))
+    small = base.select("key_", "text_hash_", "text_")
     place = F.struct("key_", "text_hash_", "no")
 
     # The arrays of chunks are pinned by a generator, so no later step computes them again.
@@ -89,10 +93,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     numbers = F.transform("gone", lambda g: g["no"])
-    rest = let(numbers, lambda drop: F.array_join(F.transform(F.filter(chunks(F.col(text)), lambda c: ~F.array_contains(drop, c["no"])), lambda c: c["body"]), "\n"))
+    rest = let(numbers, lambda drop: F.array_join(F.transform(F.filter(chunks(F.col("text_")), lambda c: ~F.array_contains(drop, c["no"])), lambda c: c["body"]), "\n"))
     return out.select(
-        *(F.when(F.col("gone").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else F.col(c) for c in docs.columns),
-        F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines_"),
+        *(F.when(F.col("gone").isNull(), F.col("text_")).otherwise(rest).alias(text) if c == text else F.col("row_")[c].alias(c) for c in columns),
+        F.size(F.split(F.coalesce("text_", F.lit("")), "\n", -1)).cast("long").alias("n_lines_"),
         F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n_lines"]), F.lit(0)).cast("long").alias("n_removed_"),
         F.greatest(F.size(F.coalesce("gone", F.array())), F.lit(0)).cast("long").alias("n_spans_"),
     )

@@ -203,4 +203,4 @@ def _other_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, its least; documents without shingles all stay."""
     later = near_duplicates(docs, k, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("later_")).distinct()
-    return docs.join(later, F.col(doc_id).eqNullSafe(F.col("later_")), "left_anti")
+    return docs.join(later, docs[doc_id].eqNullSafe(later["later_"]), "left_anti")

@@ -121,4 +121,4 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id matches an item; rows with a null id stay unless they match."""
     bad = matches(docs, items, doc_id, item_id, text).select(F.col(doc_id).alias("bad_doc_")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_doc_")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_doc_"]), "left_anti")
