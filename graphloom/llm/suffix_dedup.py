@@ -10,9 +10,11 @@ in a document with a smaller id. Strings are judged on the input.
 2. Runs with equal bytes are one class (a 64-bit hash of all bytes beside the
    64-bit anchor); all but those in its smallest document are repeats as a
    whole.
-3. Where an anchor has several classes, the strings of each class's first run
-   are suffix-sorted in Python workers, a bounded buffer at a time, by
-   multikey quicksort and blind tries. A buffer gives one row for each string
+3. Where an anchor has several classes, each class's first run is cut finer, by
+   anchors of ``FINE``-byte grams. Of pieces with equal bytes, all but those in
+   the smallest document are repeats as a whole. Where a finer anchor has
+   several pieces, their strings are suffix-sorted in Python workers, a bounded buffer
+   at a time, by multikey quicksort and blind tries. A buffer gives one row for each string
    and document; equal strings of different buffers meet in an aggregation on
    the string itself, byte by byte.
 
@@ -39,30 +41,40 @@ from graphloom.llm import textvec as tv
 from graphloom.llm.store import written
 from graphloom.llm.suffix_sort import equal_groups
 
-LENGTH, GRAM = 50, 18
+LENGTH, GRAM, FINE = 50, 18, 36
 RUN_SCHEMA = "doc long, same long, anchor long, run long, start int, n int"
 #: Strings that one suffix sort takes; a document with more is sorted in several buffers.
 BUFFER = 1 << 18
 
 
-def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, anchor, hash, start (in the buffer) and count of the runs of strings of each document."""
-    n = len(data)
-    empty = (np.zeros(0, np.int64), np.zeros(0, tv.U64), np.zeros(0, tv.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if n < LENGTH:
-        return empty
-    power, inverse = tv._tables(n + 1)
-    values = tv.mix(np.arange(256, dtype=tv.U64) + tv.BASE)
-    sums = np.zeros(n + 1, tv.U64)
-    np.cumsum(values[data] * power[:n], out=sums[1:])
-    least = tv.mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
-    # The least gram of each string: of a power of two by doubling, then of two such that overlap.
-    width, every = 1, LENGTH - GRAM + 1
+def _least(sums: np.ndarray, inverse: np.ndarray, gram: int) -> np.ndarray:
+    """The least hash of the ``gram``-byte grams of the string at each position."""
+    least = tv.mix((sums[gram:] - sums[:-gram]) * inverse[: len(sums) - gram])
+    # Of a power of two by doubling, then of two such that overlap.
+    width, every = 1, LENGTH - gram + 1
     while width * 2 <= every:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if every > width:
         least = np.minimum(least[: width - every], least[every - width :])
+    return least
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of hashed bytes by place, and the factors that take the place out again."""
+    power, inverse = tv._tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, tv.U64)
+    np.cumsum(tv.mix(np.arange(256, dtype=tv.U64) + tv.BASE)[data] * power[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, anchor, hash, start (in the buffer) and count of the runs of strings of each document."""
+    empty = (np.zeros(0, np.int64), np.zeros(0, tv.U64), np.zeros(0, tv.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(data) < LENGTH:
+        return empty
+    sums, inverse = _sums(data)
+    least = _least(sums, inverse, GRAM)
     at = np.arange(len(least))
     doc = np.searchsorted(off, at, "right") - 1
     inside = at + LENGTH <= off[doc + 1]
@@ -110,34 +122,73 @@ def _positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.unique(np.repeat(starts, counts) + ramp)
 
 
-def sorted_strings(texts: DataFrame) -> DataFrame:
-    """(string, doc, same, at): the distinct strings of each document's ranges, sorted by buffers."""
+def finer_runs(texts: DataFrame) -> DataFrame:
+    """(fine, doc, same, start, n, piece): each document's ``ranges``, cut where the FINE-byte anchor changes, with their bytes."""
     tv.arrow_limits(texts.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.rounds(batch, "text_"):
                 data, off = tv.flat(part.column("text_"))
-                docs, sames = part.column("doc").to_pylist(), part.column("same").to_pylist()
-                wanted = part.column("ranges")
-                chosen = []
+                wanted, chosen = part.column("ranges"), []
                 for i in range(len(part)):
                     pairs = wanted[i].values
                     chosen.append(off[i] + _positions(pairs.field("start").to_numpy().astype(np.int64), pairs.field("n").to_numpy().astype(np.int64)))
                 at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+                if not len(at):
+                    continue
+                fine = _least(*_sums(data), FINE)[at]
+                doc = np.searchsorted(off, at, "right") - 1
+                new = np.ones(len(at), bool)
+                new[1:] = (fine[1:] != fine[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(at)))
+                start, owner, raw = at[first], pa.array(doc[first]), data.tobytes()
+                pieces = [raw[s : s + c - 1 + LENGTH] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(fine[first].view(np.int64)),
+                        part.column("doc").take(owner),
+                        part.column("same").take(owner),
+                        pa.array((start - off[doc[first]]).astype(np.int32)),
+                        pa.array(count.astype(np.int32)),
+                        pa.array(pieces, pa.binary()),
+                    ],
+                    ["fine", "doc", "same", "start", "n", "piece"],
+                )
+
+    return texts.mapInArrow(emit, "fine long, doc long, same long, start int, n int, piece binary")
+
+
+def sorted_strings(pieces: DataFrame) -> DataFrame:
+    """(string, doc, same, at): the strings of the pieces, sorted by buffers; one row for each string and document of a buffer."""
+    tv.arrow_limits(pieces.sparkSession)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.rounds(batch, "piece"):
+                data, off = tv.flat(part.column("piece"))
+                docs, sames, start, n = (part.column(c).to_numpy() for c in ("doc", "same", "start", "n"))
+                row = np.repeat(np.arange(len(part)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = off[row] + place
                 for low in range(0, len(at), BUFFER):
-                    out: tuple[list, list, list, list] = ([], [], [], [])
-                    for string, places in equal_groups(data, at[low : low + BUFFER], LENGTH):
-                        owner = np.searchsorted(off, places, "right") - 1
-                        for d in np.unique(owner).tolist():
-                            for column, value in zip(out, (string, docs[d], sames[d], (places[owner == d] - off[d]).tolist()), strict=True):
-                                column.append(value)
+                    string, which, places = [], [], []
+                    for s, found in equal_groups(data, at[low : low + BUFFER], LENGTH):
+                        owner = np.searchsorted(off, found, "right") - 1
+                        own: dict[tuple, list] = {}
+                        for i, p in zip(owner.tolist(), found.tolist(), strict=True):
+                            own.setdefault((docs[i], sames[i]), [i]).append(p - off[i] + start[i])
+                        for first, *spots in own.values():
+                            string.append(s)
+                            which.append(first)
+                            places.append(spots)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int32()))],
+                        [pa.array(string, pa.binary()), pa.array(docs[which]), pa.array(sames[which]), pa.array(places, pa.list_(pa.int32()))],
                         ["string", "doc", "same", "at"],
                     )
 
-    return texts.mapInArrow(emit, "string binary, doc long, same long, at array<int>")
+    return pieces.mapInArrow(emit, "string binary, doc long, same long, at array<int>")
 
 
 def repeats(base: DataFrame) -> DataFrame:
@@ -155,10 +206,17 @@ def repeats(base: DataFrame) -> DataFrame:
     stand = stand.join(many, "anchor", "left_semi").select("doc", "same", "start", "n")
     ranges = stand.groupBy(F.col("doc").alias("range_doc"), F.col("same").alias("range_same")).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     texts = base.join(ranges, (F.col("doc") == F.col("range_doc")) & (F.col("same") == F.col("range_same")))
-    strings = written(sorted_strings(texts.select("doc", "same", "text_", "ranges")), "strings")
+    fine = written(finer_runs(texts.select("doc", "same", "text_", "ranges")), "fine")
+    firsts = written(fine.groupBy("fine", "piece").agg(F.min("doc").alias("first_doc")), "pieces")
+    open_ = firsts.groupBy(F.col("fine").alias("met")).agg(F.count("*").alias("n_pieces"), F.min("first_doc").alias("low"), F.max("first_doc").alias("high"))
+    open_ = open_.where("n_pieces > 1 and low < high").select("met")
+    judged = fine.join(firsts, ["fine", "piece"])
+    equal = judged.where("doc > first_doc").select("doc", "same", "start", "n")
+    pieces = judged.where("doc = first_doc").join(open_, F.col("fine") == F.col("met"), "left_semi")
+    strings = written(sorted_strings(pieces.select("doc", "same", "start", "n", "piece")), "strings")
     shared = strings.groupBy(F.col("string").alias("shared")).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("shared", "low")
     single = strings.join(shared, F.col("string") == F.col("shared")).where("doc > low").select("doc", "same", F.explode("at").alias("start"), F.lit(1).alias("n"))
-    return whole.union(single).groupBy(F.col("doc").alias("gone_doc"), F.col("same").alias("gone_same")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    return whole.union(equal).union(single).groupBy(F.col("doc").alias("gone_doc"), F.col("same").alias("gone_same")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
 
 
 def cut(text: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, int]:

@@ -51,8 +51,8 @@ def rounds(batch: pa.RecordBatch, column: str, most: int = ROUND_BYTES) -> Itera
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts (null counts as empty) and len + 1 offsets into them."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes of all texts, or binary values (null counts as empty), and len + 1 offsets into them."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
