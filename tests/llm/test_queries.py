@@ -11,7 +11,7 @@ import sentencepiece
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from graphloom.llm import bpe_backtrack, line_chunks, parity_join, quality_rules, simhash_windows, suffix_dedup
+from graphloom.llm import line_chunks, ordinal_classifier, quality_rules, simhash_windows
 from graphloom.llm.queries import SENTENCE_MODEL
 
 #: Clashing names of extra columns.
@@ -158,12 +158,17 @@ def test_decontaminate_finds_near_passages(spark):
 
 
 def test_held_out_grades(spark):
+    """Fitted on even documents, judged on odd ones."""
     sf = "/root/testdata/sf0.01"
-    found = driver.queries()["op8_ordinal_quality"](spark, sf)
-    held = found.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null and toxic is not null")
+    rated = docs.join(labels.where("doc_id % 2 = 0").selectExpr("doc_id", "case when toxic = 1 then 0 when quality = 0 then 1 else 2 end as grade"), "doc_id")
+    scored = ordinal_classifier.score(docs, ordinal_classifier.fit(rated, 3))
+    held = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     toxic = [r.tail_1 for r in held if r.toxic == 1]
     clean = [r.tail_1 for r in held if r.toxic == 0]
-    assert sum(toxic) / len(toxic) + 0.5 < sum(clean) / len(clean)
+    above = sum((a > b) + 0.5 * (a == b) for a in clean for b in toxic) / (len(clean) * len(toxic))
+    assert above > 0.8
     assert all(r.tail_1 >= r.tail_2 and abs(r.tail_1 + r.tail_2 - r.expected_grade) < 1e-9 for r in held)
 
 
