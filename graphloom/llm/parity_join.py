@@ -17,10 +17,16 @@ next of ``SEEDS`` ways of dealing, which only such documents use; the last way
 keeps its empty parts. Nothing is lost at any step.
 
 Equal sets are one class, joined through its least document. Of the sets that
-agree in a sketch, each is paired with the least and the greatest. Sets that
-stay in different components though they agree in a sketch are then paired
-completely, so no link between components is missed; links inside a component
-can't change it. No step collects ids, links or groups.
+agree in a sketch, each is paired with the least and the greatest. Where sets
+that agree in a sketch stay in different components, each is paired with a set
+that a hash of the sketch chooses, another in each of the sketches that they
+share, which joins most of a large group. Sets that are then still in different
+components are paired completely, so no link between components is missed;
+links inside a component can't change it. No step collects ids, links or groups.
+
+A second sketch of ``BITS`` bits, one flipped by each shingle, goes along with
+pairs: its Hamming distance is at most the symmetric difference, so pairs in
+which it is too great are no links, and their sets aren't fetched.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing. Texts with fewer words than k have one shingle, all their words.
@@ -32,11 +38,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textvec as tv
@@ -45,6 +52,9 @@ from graphloom.llm.store import written
 
 SEEDS = 4
 GROWTH = 1.5
+BITS = 1024
+#: Rounds of hashed pivots before sets in different components are paired completely.
+PIVOT_ROUNDS = 2
 
 
 def _spare(parts: int, least: int) -> int:
@@ -105,8 +115,21 @@ def _round_up(n: int) -> int:
     return 1 << max(10, n.bit_length())
 
 
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the shingles that fall to each of ``BITS`` bits, as longs."""
+    odd = np.bincount((tv.mix(hashes ^ tv.STEP) % tv.U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(tv.U64)
+
+
+def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
+    """Whether two sets, each (name of its size, name of its bit sketch), can reach the threshold."""
+    flipped = reduce(add, (F.bit_count(F.get(a[1], i).bitwiseXOR(F.get(b[1], i))) for i in range(BITS // 64)))
+    # 100 * shared >= percent * union, in terms of the symmetric difference.
+    return flipped.cast("long") * (100 + percent) <= (F.col(a[0]) + F.col(b[0])) * (100 - percent)
+
+
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc, n_shingles, d1, d2, keys): set sizes, two 64-bit digests of the sets, and their join keys."""
+    """(doc, n_shingles, d1, d2, bits, keys): set sizes, two 64-bit digests of the sets, their bit sketches and join keys."""
     tv.arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +143,13 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         part.column("doc"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         *(pa.array(np.array(d, tv.U64).view(np.int64)) for d in digests),
+                        tv.list_array([bit_sketch(s) for s in sets], pa.int64()),
                         tv.list_array(keys, pa.int64()),
                     ],
-                    ["doc", "n_shingles", "d1", "d2", "keys"],
+                    ["doc", "n_shingles", "d1", "d2", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n_shingles long, d1 long, d2 long, bits array<long>, keys array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
@@ -140,6 +164,13 @@ def shingle_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, shingles array<long>")
 
 
+def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that the bit sketches of ``marks`` (doc, n_shingles, bits) don't rule out."""
+    left = pairs.join(marks.select(F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a")), "a")
+    both = left.join(marks.select(F.col("doc").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b")), "b")
+    return both.where(_may_link(("na", "bits_a"), ("nb", "bits_b"), percent)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -169,7 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     more = keyed.join(met.where("n > 2").select(F.col("key").alias("met_key"), "low", "high"), F.col("key") == F.col("met_key"))
     ends = more.select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("high").alias("b")))))
     pairs = written(twos.union(ends).where("a < b").distinct(), "pairs")
-    links = written(verified(pairs, base, k, percent), "links")
+    marks = full.join(reps, F.col("doc") == F.col("rep"), "left_semi").select("doc", "n_shingles", "bits")
+    links = written(verified(written(possible(pairs, marks, percent), "possible"), base, k, percent), "links")
     found = written(components(links), "components")
 
     # Buckets in which a pair failed to link and its two sets are in different components.
@@ -178,14 +210,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     open_sets = written(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "open")
     if not open_sets.isEmpty():
         open_keys = keyed.join(open_sets, F.col("doc") == F.col("id"), "left_semi").select(F.col("key").alias("open_key")).distinct()
-        rest = keyed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi").join(met.select(F.col("key").alias("met_key")), F.col("key") == F.col("met_key"), "left_semi")
-        labelled = rest.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        spread = labelled.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select(F.col("key").alias("mixed"))
-        mixed = written(labelled.join(spread, F.col("key") == F.col("mixed"), "left_semi"), "mixed")
-        other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"))
-        across = mixed.join(other, (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))).select(F.col("doc").alias("a"), "b").distinct()
+        crowded = met.where("n > 2").select(F.col("key").alias("met_key"))
+        rest = keyed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi").join(crowded, F.col("key") == F.col("met_key"), "left_semi")
+        rest = written(rest, "open_buckets")
+        for turn in range(PIVOT_ROUNDS):
+            mixed = _mixed(rest, found)
+            pivots = mixed.groupBy(F.col("key").alias("pivot_key")).agg(F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), "doc", "c")).alias("pivot"))
+            near = mixed.join(pivots, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c")))
+            near = near.select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
+            near = written(possible(near.join(pairs, ["a", "b"], "left_anti"), marks, percent), "possible")
+            found = _joined(found, verified(near, base, k, percent))
+        mixed = written(_mixed(rest, found).join(marks, "doc"), "mixed")
+        other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
+        apart = (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))
+        across = mixed.join(other, apart & _may_link(("n_shingles", "bits"), ("nb", "bits_b"), percent)).select(F.col("doc").alias("a"), "b").distinct()
         across = written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = written(components(links.union(verified(across, base, k, percent))), "components")
+        found = _joined(found, verified(across, base, k, percent))
 
     root = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", "n_equal", F.coalesce("component", "rep").alias("root"))
     out = known.select("doc", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
@@ -193,6 +233,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     return out.select(F.col("doc").alias(doc_id), "n_shingles", F.coalesce("n_equal", F.lit(1)).alias("n_equal"), own.alias("component_id"))
 
 
+def _mixed(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc, c): the buckets of ``rest`` with sets of several components."""
+    labelled = rest.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    labelled = written(labelled, "labelled")
+    spread = labelled.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select(F.col("key").alias("mixed"))
+    return labelled.join(spread, F.col("key") == F.col("mixed"), "left_semi")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after ``links`` (a, b) are added."""
+    stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(written(stars.union(links), "links")), "components")
+
+
 def _other_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
     a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))

@@ -49,3 +49,18 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert parity_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_large_group_of_which_few_pairs_link(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    first, rows = rng.choices(vocab, k=150), []
+    for doc in range(300):
+        copy = list(first)
+        for _ in range(rng.choice([1, 3, 4, 5, 6, 12])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocab)
+        rows.append((doc, " ".join(copy)))
+    got = parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    expected = brute(rows, 4, 85)
+    assert len({c for _, _, c in expected}) > 10
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == expected
