@@ -3,8 +3,11 @@
 Each whole text gives a few counts. Six transformed statistics of them form a
 vector; for every language and source a minimum-covariance-determinant
 estimate is made from all rows: start from medians and median deviations, then
-concentration steps that keep the half of the rows (at least) with the smallest
-Mahalanobis distances and re-estimate mean and covariance from these. All sums
+concentration steps that keep the half of the rows, (n + p + 1) / 2 of n, with
+the smallest Mahalanobis distances and re-estimate mean and covariance from
+these. The covariance of the half is then scaled so that the half ends at the
+median of chi-square, and estimated once more from all rows within its 0.975
+quantile, so nearly half of a group may be outliers of one kind. All sums
 are grouped aggregates with map-side combining, so a source that holds a third
 of the rows is no more than one row a task in a shuffle. The half is found from
 a histogram of distances, so no group is sorted or collected.
@@ -29,8 +32,12 @@ from graphloom.llm.store import written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines", "n_distinct"]
 FEATURES = 6
-#: Rows that a group needs for an estimate of its own, concentration steps, and the share of rows they keep.
-MIN_ROWS, STEPS, KEEP = 200, 4, 0.75
+#: Rows that a group needs for an estimate of its own, and concentration steps.
+MIN_ROWS, STEPS = 200, 4
+#: Medians of chi-square by degrees of freedom, to scale the covariance of the half.
+MEDIANS = [0.0, 0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481]
+#: Squared distance within which rows are estimated from at last (chi-square with 6 degrees of freedom at 0.975), and its consistency factor.
+NEAR, NEAR_FACTOR = 14.449, 1.0493
 #: Least variance of each statistic, so that one that is mostly zero doesn't reject every other value.
 FLOOR = [0.25, 0.02, 0.01, 0.01, 0.01, 0.02]
 #: Squared distance beyond which a row is rejected (chi-square with 6 degrees of freedom: 22.5 at 0.999; tails of text statistics are heavier).
@@ -136,27 +143,51 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(FEATURES) for j in range(i + 1)]
 
 
-def _estimate(moments: DataFrame) -> DataFrame:
-    """From count, sums and products of each group: mean, inverse covariance. One row a group."""
-    schema = "g string, mean array<double>, inv array<double>"
+def _inverse(cov: np.ndarray) -> list[float]:
+    short = np.maximum(np.array(FLOOR) - np.diag(cov), 0.0)
+    return np.linalg.inv(cov + np.diag(short + 1e-6)).ravel().tolist()
+
+
+def _estimate(moments: DataFrame, factor: float = 1.0) -> DataFrame:
+    """From count, sums and products of each group: mean, covariance times ``factor``, its inverse. One row a group."""
+    schema = "g string, mean array<double>, cov array<double>, inv array<double>"
 
     def run(batches):
         for pdf in batches:
-            means, inverses = [], []
+            means, covs, inverses = [], [], []
             for row in pdf.itertuples(index=False):
                 n = max(float(row.n), 1.0)
                 mean = np.array([getattr(row, f"s{i}") for i in range(FEATURES)]) / n
                 cov = np.zeros((FEATURES, FEATURES))
                 for i, j in _pairs():
-                    cov[i, j] = cov[j, i] = getattr(row, f"p{i}_{j}") / n - mean[i] * mean[j]
-                short = np.maximum(np.array(FLOOR) - np.diag(cov), 0.0)
+                    cov[i, j] = cov[j, i] = factor * (getattr(row, f"p{i}_{j}") / n - mean[i] * mean[j])
                 means.append(mean.tolist())
-                inverses.append(np.linalg.inv(cov + np.diag(short + 1e-6)).ravel().tolist())
-            yield pdf[["g"]].assign(mean=means, inv=inverses)
+                covs.append(cov.ravel().tolist())
+                inverses.append(_inverse(cov))
+            yield pdf[["g"]].assign(mean=means, cov=covs, inv=inverses)
 
     return moments.mapInPandas(run, schema)
 
 
+def _scaled(fit: DataFrame, tops: DataFrame) -> DataFrame:
+    """``fit`` with covariances scaled so that the half of each group ends at the median of chi-square.
+
+    Its degrees of freedom are the statistics that vary by more than their least variance.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            inverses = []
+            for cov, top in zip(pdf["cov"], pdf["top"], strict=True):
+                cov = np.array(cov).reshape(FEATURES, FEATURES)
+                free = max(int((np.diag(cov) > np.array(FLOOR)).sum()), 1)
+                end = np.expm1((top + 1) / (BINS - 1) * np.log1p(BIN_TOP))
+                inverses.append(_inverse(cov * end / MEDIANS[free]))
+            yield pdf[["g", "mean"]].assign(inv=inverses)
+
+    return fit.join(tops, "g").mapInPandas(run, "g string, mean array<double>, inv array<double>")
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)]
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _pairs()]
@@ -170,7 +201,7 @@ def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     for i, j in _pairs():
         gap = (F.col(f"x{i}") - F.col("mean")[i]) * (F.col(f"x{j}") - F.col("mean")[j])
         terms = terms + gap * F.col("inv")[i * FEATURES + j] * (1.0 if i == j else 2.0)
-    return joined.withColumn("d2", F.greatest(terms, F.lit(0.0))).drop("mean", "inv")
+    return joined.withColumn("d2", F.greatest(terms, F.lit(0.0))).drop("mean", "cov", "inv")
 
 
 def _bin(d2):
@@ -179,25 +210,33 @@ def _bin(d2):
     return F.floor(scaled).cast("int")
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Of each group, the rows within the distance that KEEP of its rows have."""
+def _tops(rows: DataFrame) -> DataFrame:
+    """(g, top) the bin of distances in which the half of each group ends."""
     from pyspark.sql import Window
 
     counts = rows.groupBy("g", _bin(F.col("d2")).alias("b")).count()
     run = Window.partitionBy("g").orderBy("b")
     whole = Window.partitionBy("g")
     below = counts.withColumns({"before": F.sum("count").over(run) - F.col("count"), "all": F.sum("count").over(whole)})
-    top = below.where(F.col("before") < F.col("all") * KEEP).groupBy("g").agg(F.max("b").alias("top"))
-    return rows.join(top, "g").where(_bin(F.col("d2")) <= F.col("top")).drop("top")
+    return below.where(F.col("before") < (F.col("all") + FEATURES + 1) / 2).groupBy("g").agg(F.max("b").alias("top"))
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """The nearer half of each group's rows."""
+    return rows.join(_tops(rows), "g").where(_bin(F.col("d2")) <= F.col("top")).drop("top")
+
+
+def _medians(rows: DataFrame, columns: list) -> DataFrame:
+    return rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(columns)))
 
 
 def _first_fit(rows: DataFrame) -> DataFrame:
     """Medians and median-deviation variances, without covariances."""
-    middle = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(FEATURES)]
-    q = rows.groupBy("g").agg(*middle)
-    spread = [F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(FLOOR[i])) for i in range(FEATURES)]
+    centre = written(_medians(rows, [F.col(f"x{i}") for i in range(FEATURES)]).select("g", F.array(*(f"m{i}" for i in range(FEATURES))).alias("mean")), "mcd")
+    deviations = _medians(rows.join(centre, "g"), [F.abs(F.col(f"x{i}") - F.col("mean")[i]) for i in range(FEATURES)])
+    spread = [F.greatest(F.pow(1.4826 * F.col(f"m{i}"), 2), F.lit(FLOOR[i])) for i in range(FEATURES)]
     inverse = [1 / spread[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(FEATURES)]
-    return q.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(FEATURES))).alias("mean"), F.array(*inverse).alias("inv"))
+    return centre.join(deviations, "g").select("g", "mean", F.array(*inverse).alias("inv"))
 
 
 def fit(rows: DataFrame) -> DataFrame:
@@ -205,7 +244,8 @@ def fit(rows: DataFrame) -> DataFrame:
     estimate = written(_first_fit(rows), "mcd")
     for _ in range(STEPS):
         estimate = written(_estimate(_moments(_nearest(_distance(rows, estimate)))), "mcd")
-    return estimate
+    estimate = written(_scaled(estimate, _tops(_distance(rows, estimate))), "mcd")
+    return written(_estimate(_moments(_distance(rows, estimate).where(F.col("d2") <= NEAR)), NEAR_FACTOR).drop("cov"), "mcd")
 
 
 def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:

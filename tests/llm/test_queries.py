@@ -141,6 +141,17 @@ def test_outliers_go_and_others_stay(spark):
     assert all(found[i] for i, *_ in made) and not any(found[i] for i, *_ in odd)
 
 
+def prose(i):
+    return " ".join(f"word{(i * 7 + j) % 900}" for j in range(80 + i % 40))
+
+
+def test_copies_of_junk_in_a_third_of_a_group(spark):
+    clean = [(i, prose(i), "en", "web") for i in range(400)]
+    junk = [(1000 + i, " ".join("#$%&|<>" * 9 + str(j) for j in range(60)), "en", "web") for i in range(200)]
+    found = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[i] for i, *_ in junk) and all(found[i] for i, *_ in clean)
+
+
 def test_decontaminate(spark, folders):
     found = run(spark, folders, "op6_decontaminate")
     at = next(i for i, t in enumerate(texts()) if t and ITEM in t)
