@@ -39,9 +39,10 @@ MEDIANS = [0.0, 0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481]
 #: Squared distance within which rows are estimated from at last (chi-square with 6 degrees of freedom at 0.975), and its consistency factor.
 NEAR, NEAR_FACTOR = 14.449, 1.0493
 #: Least variance of each statistic, so that one that is mostly zero doesn't reject every other value.
-FLOOR = [0.25, 0.02, 0.01, 0.01, 0.01, 0.02]
-#: Squared distance beyond which a row is rejected (chi-square with 6 degrees of freedom: 22.5 at 0.999; tails of text statistics are heavier).
-CUTOFF = 60.0
+#: Those of the symbol and repeat shares are noise: the root of a share of n words has variance 1 / (4 n), n being the group's usual number of words.
+FLOOR = [0.25, 0.02, None, 0.01, None, 0.02]
+#: Squared distance beyond which a row is rejected (chi-square with 6 degrees of freedom at 0.999).
+CUTOFF = 22.458
 BINS, BIN_TOP = 4096, 1e6
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -143,8 +144,14 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(FEATURES) for j in range(i + 1)]
 
 
-def _inverse(cov: np.ndarray) -> list[float]:
-    short = np.maximum(np.array(FLOOR) - np.diag(cov), 0.0)
+def _floor(mean: np.ndarray) -> np.ndarray:
+    """The least variances in a group, whose first mean is that of log1p of the words."""
+    noise = 1 / (4 * max(np.expm1(mean[0]), 1.0))
+    return np.array([noise if least is None else least for least in FLOOR])
+
+
+def _inverse(mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    short = np.maximum(_floor(mean) - np.diag(cov), 0.0)
     return np.linalg.inv(cov + np.diag(short + 1e-6)).ravel().tolist()
 
 
@@ -163,7 +170,7 @@ def _estimate(moments: DataFrame, factor: float = 1.0) -> DataFrame:
                     cov[i, j] = cov[j, i] = factor * (getattr(row, f"p{i}_{j}") / n - mean[i] * mean[j])
                 means.append(mean.tolist())
                 covs.append(cov.ravel().tolist())
-                inverses.append(_inverse(cov))
+                inverses.append(_inverse(mean, cov))
             yield pdf[["g"]].assign(mean=means, cov=covs, inv=inverses)
 
     return moments.mapInPandas(run, schema)
@@ -178,11 +185,11 @@ def _scaled(fit: DataFrame, tops: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             inverses = []
-            for cov, top in zip(pdf["cov"], pdf["top"], strict=True):
+            for mean, cov, top in zip(pdf["mean"], pdf["cov"], pdf["top"], strict=True):
                 cov = np.array(cov).reshape(FEATURES, FEATURES)
-                free = max(int((np.diag(cov) > np.array(FLOOR)).sum()), 1)
+                free = max(int((np.diag(cov) > _floor(mean)).sum()), 1)
                 end = np.expm1((top + 1) / (BINS - 1) * np.log1p(BIN_TOP))
-                inverses.append(_inverse(cov * end / MEDIANS[free]))
+                inverses.append(_inverse(mean, cov * end / MEDIANS[free]))
             yield pdf[["g", "mean"]].assign(inv=inverses)
 
     return fit.join(tops, "g").mapInPandas(run, "g string, mean array<double>, inv array<double>")
@@ -234,7 +241,8 @@ def _first_fit(rows: DataFrame) -> DataFrame:
     """Medians and median-deviation variances, without covariances."""
     centre = written(_medians(rows, [F.col(f"x{i}") for i in range(FEATURES)]).select("g", F.array(*(f"m{i}" for i in range(FEATURES))).alias("mean")), "mcd")
     deviations = _medians(rows.join(centre, "g"), [F.abs(F.col(f"x{i}") - F.col("mean")[i]) for i in range(FEATURES)])
-    spread = [F.greatest(F.pow(1.4826 * F.col(f"m{i}"), 2), F.lit(FLOOR[i])) for i in range(FEATURES)]
+    noise = 1 / (4 * F.greatest(F.expm1(F.col("mean")[0]), F.lit(1.0)))
+    spread = [F.greatest(F.pow(1.4826 * F.col(f"m{i}"), 2), noise if least is None else F.lit(least)) for i, least in enumerate(FLOOR)]
     inverse = [1 / spread[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(FEATURES)]
     return centre.join(deviations, "g").select("g", "mean", F.array(*inverse).alias("inv"))
 

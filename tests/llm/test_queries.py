@@ -152,6 +152,15 @@ def test_copies_of_junk_in_a_third_of_a_group(spark):
     assert not any(found[i] for i, *_ in junk) and all(found[i] for i, *_ in clean)
 
 
+def test_moderate_junk_goes_and_clean_texts_stay(spark):
+    clean = [(i, prose(i), "en", "web") for i in range(400)]
+    signs = {1000 + i: 2 + i % 3 for i in range(30)}
+    junk = [(i, " ".join(w + "*" * n for w in prose(i).split()), "en", "web") for i, n in signs.items()]
+    assert all(0.2 < t.count("*") / len(t) < 0.4 for _, t, *_ in junk)
+    found = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[i] for i in signs) and all(found[i] for i, *_ in clean)
+
+
 def test_decontaminate(spark, folders):
     found = run(spark, folders, "op6_decontaminate")
     at = next(i for i, t in enumerate(texts()) if t and ITEM in t)
