@@ -132,6 +132,12 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return orders.select("model", "papers", "id"), orders.select("model", "papers", F.col("id").alias("subject"), "predicate", "object")
 
 
+def _whole_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As _runs, but every customer and order is an entity of its own, so the graph grows with orders."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), (F.year("o_orderdate") - 1900).alias("papers"), F.concat(F.lit("c"), F.col("o_custkey")).alias("id"), F.col("o_orderstatus").alias("predicate"), F.concat(F.lit("c"), F.col("o_orderkey")).alias("object"))
+    return orders.select("model", "papers", "id"), orders.select("model", "papers", F.col("id").alias("subject"), "predicate", "object")
+
+
 def graph_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.structure(*_runs(spark, sf_dir))
 
@@ -140,6 +146,14 @@ def graph_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.growth(_runs(spark, sf_dir)[0])
 
 
+def graph_structure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.structure(*_whole_runs(spark, sf_dir))
+
+
+def graph_growth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.growth(_whole_runs(spark, sf_dir)[0])
+
+
 def year_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Seen 1998. Published "), F.year("o_orderdate"), F.lit(". No 2150.")).alias("text"))
     return years.vote(rows, 2100)
@@ -155,7 +169,7 @@ def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)[0].groupBy("model").agg(F.max("papers").alias("papers"))
 
 
-QUERIES = {f.__name__: f for f in [retrieve_ranked, vector_top, context_budget, graph_degree, graph_strong, graph_k_hop, graph_things, graph_associations, schema_closure, merge_terms, usable_pages, term_keys, snippets, mine_properties, normalize_units, graph_structure, graph_growth, year_votes, best_per_node, last_runs]}
+QUERIES = {f.__name__: f for f in [retrieve_ranked, vector_top, context_budget, graph_degree, graph_strong, graph_k_hop, graph_things, graph_associations, schema_closure, merge_terms, usable_pages, term_keys, snippets, mine_properties, normalize_units, graph_structure, graph_growth, graph_structure_whole, graph_growth_whole, year_votes, best_per_node, last_runs]}
 
 _EDGES = """edges as (
   select distinct 'part:' || l_partkey as subject, 'rel:suppz' as predicate, 'supplier:' || l_suppkey as object from lineitem
@@ -271,3 +285,8 @@ from c left join n on n.model = c.model and n.papers = c.earlier
     "best_per_node": "select user_id, max(value) as score from events group by user_id",
     "last_runs": f"with {_RUNS} select model, max(papers) as papers from o group by model",
 }
+
+_WHOLE_RUNS = """o as (
+  select o_orderpriority as model, year(o_orderdate) - 1900 as papers, 'c' || o_custkey as id, o_orderstatus as predicate, 'c' || o_orderkey as object from orders
+)"""
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(_RUNS, _WHOLE_RUNS) for name in ("graph_structure", "graph_growth")}
