@@ -12,6 +12,9 @@ shuffled and compared byte by byte, so a clash of hashes removes nothing.
 Counts are combined before each shuffle, and joins on a frequent chunk can be
 split, so a chunk that a third of the documents hold is no bottleneck.
 
+Short passages seldom hold a whole chunk. ``dedup_passages`` finds those too: it
+compares each line with the next one that isn't blank, wherever the two stand.
+
 Null and empty texts have no such chunk and stay as they are. Null ids count as
 the smallest id. Rows that repeat an id and text are one document: all of them
 keep or lose the same lines. Extra columns are kept, whatever
@@ -100,3 +103,53 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n_lines"]), F.lit(0)).cast("long").alias("n_removed_"),
         F.greatest(F.size(F.coalesce("gone", F.array())), F.lit(0)).cast("long").alias("n_spans_"),
     )
+
+
+def pairs(text: Column) -> Column:
+    """Array of (start, end, body) of each line that isn't blank with the next such line."""
+
+    def cut(rows: Column, solid: Column) -> Column:
+        def one(j: Column) -> Column:
+            start, end = F.get(solid, j), F.get(solid, j + 1)
+            return F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice(rows, start + 1, end - start + 1), "\n").alias("body"))
+
+        return F.when(F.size(solid) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(solid) - 2, F.lit(0))), one))
+
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return let(lines, lambda rows: let(F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i).rlike(r"\S")), lambda solid: cut(rows, solid)))
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` less every passage of two or more lines that stands at an earlier place, and n_removed_ (lines) at the end.
+
+    A pair goes where its bytes equal those of an earlier pair, by document id
+    and position. Whatever line goes stands at an earlier place, so one copy stays.
+    """
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    columns = [c for c in docs.columns if c != "n_removed_"]
+    row = F.struct(*(F.col(c) for c in columns if c != text), F.lit(0).alias("filler_"))
+    base = docs.select(row.alias("row_"), F.col(text).alias("text_"), key.alias("key_"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash_"))
+    small = base.select("key_", "text_hash_", "text_")
+    place = F.struct("key_", "text_hash_", "start")
+
+    many = small.where(F.instr("text_", "\n") > 0)
+    every = many.select("key_", "text_hash_", F.inline(F.transform(pairs(F.col("text_")), lambda p: F.struct(p["start"].alias("start"), F.xxhash64(p["body"]).alias("pair")))))
+    found = every.groupBy("pair").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = found.where("first <> last").select(F.col("pair").alias("pair_"), "first")
+    flagged = every.join(repeated, F.col("pair") == F.col("pair_")).select("key_", "text_hash_", "start", "pair", (place == F.col("first")).alias("is_first"))
+    marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("pair", "is_first")))).alias("marks"))
+
+    texts = small.join(marks, (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash"))).dropDuplicates(["key_", "text_hash_"])
+    bodies = texts.select("key_", "text_hash_", "marks", F.inline(pairs(F.col("text_")))).withColumn("mark", F.col("marks")[F.col("start")]).where("mark is not null")
+    bodies = bodies.select("key_", "text_hash_", "start", "end", "body", "mark.pair", "mark.is_first")
+    firsts = bodies.where("is_first").groupBy(F.col("pair").alias("pair_")).agg(F.min("body").alias("first_body"))
+    equal = bodies.where("not is_first").join(firsts, F.col("pair") == F.col("pair_")).where(F.col("body") == F.col("first_body"))
+    gone = equal.groupBy(F.col("key_").alias("gone_key"), F.col("text_hash_").alias("gone_hash")).agg(F.flatten(F.collect_set(F.sequence("start", "end"))).alias("gone"))
+
+    out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
+    lines = F.split(F.coalesce("text_", F.lit("")), "\n", -1)
+    rest = let(lines, lambda rows: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("gone")), lambda i: F.get(rows, i)), "\n"))
+    return out.select(
+        *(F.when(F.col("gone").isNull(), F.col("text_")).otherwise(rest).alias(text) if c == text else F.col("row_")[c].alias(c) for c in columns),
+        F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long").alias("n_removed_"),
+    )

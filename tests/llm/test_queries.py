@@ -224,6 +224,31 @@ def test_line_chunks_keep_one(spark):
     assert found[3].text is None and found[4].text == "alone"
 
 
+def test_short_passages_go_from_the_pipeline(spark):
+    """Passages of two to five lines between other lines, by brute force."""
+    given = {}
+    for i in range(60):
+        shared = [f"shared {i % 12} line {j} of a passage" for j in range(2 + i % 4)]
+        given[i] = "\n".join([f"head of {i}", *shared[:1], *([" "] if i % 12 == 5 else []), *shared[1:], f"tail of {i}", "", f"end of {i}"])
+    given |= {60: "same\nsame\nsame\nsame", 61: None, 62: "alone", 63: "\n\n", 64: given[3]}
+    seen, want = set(), {}
+    for i, text in given.items():
+        lines = (text or "").split("\n")
+        solid = [k for k, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for a, b in zip(solid, solid[1:], strict=False):
+            body = "\n".join(lines[a : b + 1])
+            if body in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(body)
+        want[i] = "\n".join(line for k, line in enumerate(lines) if k not in gone) if gone else text
+    docs = spark.createDataFrame([(i, t, "en") for i, t in given.items()], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.text for r in line_chunks.dedup_passages(docs).collect()} == want
+    assert want[24] == "head of 24\ntail of 24\n\nend of 24" and want[60] == "same" and want[64] == ""
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left[24] == want[24] and 64 not in left
+
+
 def test_pipeline_stages(spark, folders):
     docs, sf = spark.read.parquet(f"{folders['hard']}/documents.parquet"), folders["hard"]
     for name, stage in corpus_pipeline.STAGES:
