@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.store import written
+from graphloom.llm.store import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,18 +29,20 @@ def _least(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (two id columns); the component is its least node.
+def components(edges: DataFrame, tables: Scratch, name: str) -> DataFrame:
+    """(node, component) of every node of ``edges`` (two id columns), as table ``name``; the component is its least node.
 
     Alternates large-star and small-star steps until nothing moves. Each step's
-    edges are written to the shared folder.
+    edges are written to the shared folder and deleted after the next.
     """
     a, b = edges.columns
     ordered = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = written(ordered, "edges")
+    now = tables.write(ordered, "star")
     before, state = None, _state(now)
     while state != before and state[0]:
-        now = written(_least(written(_least(now, True), "edges"), False), "edges")
+        now = tables.write(_least(tables.write(_least(now, True), "large_star"), False), "star")
         before, state = state, _state(now)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v"), F.col("v")).distinct())
+    out = tables.write(nodes.union(now.select(F.col("v"), F.col("v")).distinct()), name)
+    tables.drop("star", "large_star")
+    return out

@@ -1,37 +1,41 @@
 """Operator 1: n-gram Jaccard join by parity sketches.
 
 A document is the set of its distinct k-word shingles. Sizes fall into bands
-that grow by half. In a band, shingles are dealt by hash into parts, and each
-part's shingles are XOR-ed into a 64-bit sketch. A shingle that only one of two
-sets has changes one part's sketch, so sets that differ in d shingles have all
-but d sketches equal: with more than D parts, D being the greatest difference
-that a pair of the band's sizes can have at the threshold, every linked pair
-agrees in a part's sketch. So pairs are found by joining on (band, part,
-sketch), and verified on the whole sets.
+that double. In a band, shingles are dealt by hash into parts, and each part's
+shingles are XOR-ed into a 64-bit sketch. A shingle that only one of two sets
+has changes one part's sketch, so sets that differ in d shingles have all but d
+sketches equal. A set of n shingles differs from any partner by at most D(n),
+so it needs the sketches of its first D(n) + 1 parts only: of the parts that
+both sets of a linked pair have, one at least agrees. Pairs are found by
+joining on (band, part, sketch), and verified on the whole sets.
 
 A part without shingles says nothing, and would put all documents of a band
-together. Each band has ``spare`` more parts than D + 1, so a pair agrees in at
+together. Sets take ``spare`` parts more than D(n) + 1, so a pair agrees in at
 least spare + 1 parts, and empty parts can be left out as long as a document
 has at most ``spare`` of them. If both have more, the pair is found under the
 next of ``SEEDS`` ways of dealing, which only such documents use; the last way
 keeps its empty parts. Nothing is lost at any step.
 
-Equal sets are one class, joined through its least document. Of the sets that
-agree in a sketch, each is paired with the least and the greatest. Where sets
-that agree in a sketch stay in different components, each is paired with a set
-that a hash of the sketch chooses, another in each of the sketches that they
-share, which joins most of a large group. Sets that are then still in different
-components are paired completely, so no link between components is missed;
-links inside a component can't change it. No step collects ids, links or groups.
+Equal sets are one class, joined through its least document. A bucket is the
+sets that agree in a sketch. Buckets of two or three are known from the one
+aggregate that finds them (count, least, greatest, XOR of ids); only larger
+ones are joined again. In these each set is paired with the least, then, as
+long as a bucket holds several components, with the greatest, and with sets
+that a hash of the bucket chooses, another in each bucket, which joins most of
+a large group. Sets of a bucket that are then still in different components are
+paired completely, so no link between components is missed; links inside a
+component can't change it. No step collects ids, links or groups.
 
 A second sketch of ``BITS`` bits, one flipped by each shingle, goes along with
 pairs: its Hamming distance is at most the symmetric difference, so pairs in
 which it is too great are no links, and their sets aren't fetched.
 
 Null and empty texts, and texts without words, have no shingles and link with
-nothing. Texts with fewer words than k have one shingle, all their words.
-Rows that repeat a doc_id count once for links and are all returned. Rows with a
-null id are returned as their own class, without component.
+nothing. Texts with fewer words than k have one shingle, all their words. Very
+long texts are used whole, one at a time. Rows that repeat a doc_id are one
+document with several sets: it has the links of all of them, and each row is
+returned with its own size. Rows with a null id are returned as their own
+class, without component. Extra columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,20 +52,28 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textvec as tv
 from graphloom.llm.components import components
-from graphloom.llm.store import written
+from graphloom.llm.store import Scratch, written
 
 SEEDS = 4
-GROWTH = 1.5
+GROWTH = 2
 BITS = 1024
 #: Rounds of hashed pivots before sets in different components are paired completely.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+#: Copies from which a class is joined back by broadcast, and the most such classes that are (32 bytes each).
+HOT_COPIES, HOT_CLASSES = 1000, 100_000
 
 
-def _spare(parts: int, least: int) -> int:
+def _apart(n: int, high: int, percent: int) -> int:
+    """The most shingles by which a set of ``n`` differs from a partner of at most ``high``."""
+    # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|), and |b| <= |a| / t.
+    return (100 - percent) * (n + max(min(high, n * 100 // percent), n)) // (100 + percent)
+
+
+def _spare(least: int, high: int, percent: int) -> int:
     """The fewest spare parts that cover the empty ones by three deviations; for small sets, those that come nearest to it."""
     best, most = 0, -math.inf
     for spare in range(least + 1):
-        empty = (parts + spare) * math.exp(-least / (parts + spare))
+        empty = (_apart(least, high, percent) + 1 + spare) * math.exp(-least / (_apart(high, high, percent) + 1 + spare))
         margin = (spare - empty) / math.sqrt(empty)
         if margin >= 3:
             return spare
@@ -76,10 +88,8 @@ def bands(percent: int, most: int) -> list[tuple[int, int, int, int]]:
     out, low = [], 1
     while low <= most:
         high = max(low, math.ceil(low * GROWTH) - 1)
-        # |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|), sizes at most ``high``.
-        apart = (100 - percent) * 2 * high // (100 + percent)
-        least = -(-percent * low // 100)
-        spare = _spare(apart + 1, least) if apart else 0
+        apart = _apart(high, high, percent)
+        spare = _spare(-(-percent * low // 100), high, percent) if apart else 0
         out.append((low, high, apart + 1 + spare, spare))
         low = high + 1
     return out
@@ -92,20 +102,23 @@ def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         # As the greater of a pair the set is in its own band, as the lesser one in any that its size still fits.
         if n > high or n * 100 < percent * low:
             continue
+        first_parts = min(parts, _apart(n, high, percent) + 1 + spare)
         for seed in range(SEEDS):
             dealt = tv.mix(hashes + tv.U64(seed * 2 + 1) * tv.STEP)
             part = ((dealt >> tv.U64(32)) * tv.U64(parts) >> tv.U64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             filled, first = np.unique(part[order], return_index=True)
             sketch = np.bitwise_xor.reduceat(dealt[order], first)
+            used = int(np.searchsorted(filled, first_parts))
+            filled, sketch = filled[:used], sketch[:used]
             label = (number * SEEDS + seed) << 40
             keys = tv.mix(sketch ^ tv.mix(np.array(filled + label, tv.U64) * tv.BASE))
             out.append(keys)
-            missing = parts - len(filled)
+            missing = first_parts - used
             if missing <= spare:
                 break
             if seed == SEEDS - 1:
-                absent = np.setdiff1d(np.arange(parts), filled) + label + (1 << 32)
+                absent = np.setdiff1d(np.arange(first_parts), filled) + label + (1 << 32)
                 out.append(tv.mix(absent.astype(tv.U64) * tv.BASE))
     return np.concatenate(out) if out else np.zeros(0, tv.U64)
 
@@ -171,15 +184,17 @@ def possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return both.where(_may_link(("na", "bits_a"), ("nb", "bits_b"), percent)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, base: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
     """Of the candidate pairs (a, b), those whose sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(shingle_table(base.join(ids, F.col("doc") == F.col("id"), "left_semi"), k), "sets")
+    sets = tables.write(shingle_table(base.join(ids, F.col("doc") == F.col("id"), "left_semi"), k), "sets")
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
-    return both.where(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b")
+    links = tables.write(both.where(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b").distinct(), "links")
+    tables.drop("sets")
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,73 +203,101 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     n_equal counts the documents with the same set; component_id is the least
     document that links reach.
     """
-    base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text_"))
-    known = written(sketches(base, k, percent), "sketches")
-    full = known.where("n_shingles > 0 and doc is not null")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep"), F.count("*").alias("n_equal"))
-    reps = classes.select("rep")
-    keyed = full.join(reps, F.col("doc") == F.col("rep"), "left_semi").select("doc", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = written(met, "buckets")
-    twos = met.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = keyed.join(met.where("n > 2").select(F.col("key").alias("met_key"), "low", "high"), F.col("key") == F.col("met_key"))
-    ends = more.select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("high").alias("b")))))
-    pairs = written(twos.union(ends).where("a < b").distinct(), "pairs")
-    marks = full.join(reps, F.col("doc") == F.col("rep"), "left_semi").select("doc", "n_shingles", "bits")
-    links = written(verified(written(possible(pairs, marks, percent), "possible"), base, k, percent), "links")
-    found = written(components(links), "components")
-
-    # Buckets in which a pair failed to link and its two sets are in different components.
-    failed = pairs.join(links, ["a", "b"], "left_anti")
-    failed = _other_component(failed, found).select("a", "b")
-    open_sets = written(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "open")
-    if not open_sets.isEmpty():
-        open_keys = keyed.join(open_sets, F.col("doc") == F.col("id"), "left_semi").select(F.col("key").alias("open_key")).distinct()
-        crowded = met.where("n > 2").select(F.col("key").alias("met_key"))
-        rest = keyed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi").join(crowded, F.col("key") == F.col("met_key"), "left_semi")
-        rest = written(rest, "open_buckets")
-        for turn in range(PIVOT_ROUNDS):
-            mixed = _mixed(rest, found)
-            pivots = mixed.groupBy(F.col("key").alias("pivot_key")).agg(F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), "doc", "c")).alias("pivot"))
-            near = mixed.join(pivots, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c")))
-            near = near.select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
-            near = written(possible(near.join(pairs, ["a", "b"], "left_anti"), marks, percent), "possible")
-            found = _joined(found, verified(near, base, k, percent))
-        mixed = written(_mixed(rest, found).join(marks, "doc"), "mixed")
-        other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
-        apart = (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))
-        across = mixed.join(other, apart & _may_link(("n_shingles", "bits"), ("nb", "bits_b"), percent)).select(F.col("doc").alias("a"), "b").distinct()
-        across = written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = _joined(found, verified(across, base, k, percent))
-
-    root = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", "n_equal", F.coalesce("component", "rep").alias("root"))
-    out = known.select("doc", "n_shingles", "d1", "d2").join(root, ["d1", "d2", "n_shingles"], "left")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text_"))
+    with Scratch(docs.sparkSession) as tables:
+        known = tables.write(sketches(base, k, percent), "sketches")
+        sizes = tables.write(known.select("doc", "n_shingles", "d1", "d2"), "sizes")
+        full = sizes.where("n_shingles > 0 and doc is not null")
+        classes = tables.write(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep"), F.count("*").alias("n_equal")), "classes")
+        keyed = known.where("n_shingles > 0").join(classes.select("rep"), F.col("doc") == F.col("rep"), "left_semi")
+        keyed = tables.write(keyed.select("doc", "n_shingles", "bits", "keys"), "keyed")
+        tables.drop("sketches")
+        found = _components_of(keyed, _same_id(full, classes), base, k, percent, tables)
+        root = classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", "n_equal", F.coalesce("component", "rep").alias("root"))
+        return written(_rows(sizes, root, doc_id), "near_duplicates")
+
+
+def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) the classes of documents whose id has several sets."""
+    own = F.struct("d1", "d2", "n_shingles")
+    several = full.groupBy("doc").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").select("doc")
+    reps = full.join(several, "doc", "left_semi").join(classes, ["d1", "d2", "n_shingles"]).select("doc", "rep")
+    least = reps.groupBy(F.col("doc").alias("id")).agg(F.min("rep").alias("a"))
+    return reps.join(least, F.col("doc") == F.col("id")).where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _components_of(sets: DataFrame, given: DataFrame, base: DataFrame, k: int, percent: int, tables: Scratch) -> DataFrame:
+    """(node, component) of the sets (doc, n_shingles, bits, keys) that link, and of the links ``given``."""
+    marks = sets.select("doc", "n_shingles", "bits")
+    every = sets.select("doc", F.explode("keys").alias("key"))
+    met = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"), F.bit_xor("doc").alias("odd")).where("low < high")
+    met = tables.write(met, "buckets")
+    large = met.where("n > 3").select(F.col("key").alias("met_key"), "low", "high")
+    crowd = tables.write(every.join(large, F.col("key") == F.col("met_key")).select("key", "doc", "low", "high"), "crowd")
+
+    def linked(now: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components after the pairs (x, y) that link; those within a component need no look."""
+        two = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        two = tables.write(possible(two, marks, percent), "possible")
+        if now is not None and two.isEmpty():
+            return now
+        links = verified(two, base, k, percent, tables)
+        if now is not None:
+            links = links.union(now.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        else:
+            links = links.union(given)
+        return components(tables.write(links, "edges"), tables, "components")
+
+    third = F.col("odd").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    few = met.where("n <= 3").select("low", "high", F.when(F.col("n") == 3, third).alias("mid"))
+    ends = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    few = few.select(F.inline(F.array(ends("low", "high"), ends("low", "mid"), ends("mid", "high")))).where("x is not null and y is not null")
+    found = linked(None, few.union(crowd.select(F.col("low").alias("x"), F.col("doc").alias("y"))))
+    for turn in range(-1, PIVOT_ROUNDS):
+        mixed = _mixed(crowd, found, tables)
+        if mixed.isEmpty():
+            return found
+        if turn < 0:
+            pivots = mixed.select(F.col("doc").alias("x"), F.col("high").alias("y"))
+        else:
+            chosen = mixed.groupBy(F.col("key").alias("pivot_key")).agg(F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), "doc", "c")).alias("pivot"))
+            pivots = mixed.join(chosen, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c"))).select(F.col("doc").alias("x"), F.col("pivot.doc").alias("y"))
+        found = linked(found, pivots)
+        crowd = mixed.select("key", "doc", "low", "high")
+    # What is left is paired completely across components; the bit sketches rule most pairs out inside the join.
+    mixed = tables.write(_mixed(crowd, found, tables).join(marks, "doc"), "marked")
+    other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
+    apart = (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))
+    across = mixed.join(other, apart & _may_link(("n_shingles", "bits"), ("nb", "bits_b"), percent)).select(F.col("doc").alias("x"), F.col("b").alias("y")).distinct()
+    return linked(found, tables.write(across, "across"))
+
+
+def _rows(sizes: DataFrame, root: DataFrame, doc_id: str) -> DataFrame:
+    """Each row with its class's component; classes with many copies are broadcast, so no task gets all of one."""
+    key = ["d1", "d2", "n_shingles"]
+    hot = root.where(F.col("n_equal") >= HOT_COPIES)
+    n_hot = hot.count()
+    if 0 < n_hot <= HOT_CLASSES:
+        rest = sizes.join(F.broadcast(hot.select(*key)), key, "left_anti").join(root.where(F.col("n_equal") < HOT_COPIES), key, "left")
+        out = sizes.join(F.broadcast(hot), key).unionByName(rest)
+    else:
+        out = sizes.join(root, key, "left")
     own = F.when((F.col("n_shingles") == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("root"))
     return out.select(F.col("doc").alias(doc_id), "n_shingles", F.coalesce("n_equal", F.lit(1)).alias("n_equal"), own.alias("component_id"))
 
 
-def _mixed(rest: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc, c): the buckets of ``rest`` with sets of several components."""
-    labelled = rest.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    labelled = written(labelled, "labelled")
+def _mixed(crowd: DataFrame, found: DataFrame, tables: Scratch) -> DataFrame:
+    """The rows of ``crowd`` in buckets with sets of several components ``c``."""
+    labelled = crowd.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "low", "high", F.coalesce("component", "doc").alias("c"))
+    labelled = tables.write(labelled, "labelled")
     spread = labelled.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select(F.col("key").alias("mixed"))
-    return labelled.join(spread, F.col("key") == F.col("mixed"), "left_semi")
-
-
-def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components (node, component) after ``links`` (a, b) are added."""
-    stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return written(components(written(stars.union(links), "links")), "components")
-
-
-def _other_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return tables.write(labelled.join(spread, F.col("key") == F.col("mixed"), "left_semi"), "mixed")
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, its least; documents without shingles all stay."""
+    """``docs`` with one document of each component, its least; documents without shingles all stay.
+
+    Rows that repeat the id of a document that stays are rows of that document, and stay.
+    """
     later = near_duplicates(docs, k, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("later_")).distinct()
     return docs.join(later, docs[doc_id].eqNullSafe(later["later_"]), "left_anti")
