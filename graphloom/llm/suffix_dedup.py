@@ -1,30 +1,31 @@
-"""Operator 4: exact removal of repeated byte strings by suffix sorting.
+"""Operator 4: exact removal of repeated byte strings by deep-shallow suffix sorting.
 
 A byte is removed where a ``LENGTH``-byte string (50) that covers it also starts
 in a document with a smaller id. Strings are judged on the input.
 
 1. Each string has an anchor: the least hash of its ``GRAM``-byte grams. Equal
    strings have equal anchors, so strings whose anchor occurs in one document
-   only are settled. Neighbouring strings with one anchor form a run, and only
-   runs (about one for 17 bytes) are shuffled.
-2. Runs with equal bytes are one class (a 64-bit hash of all bytes beside the
-   64-bit anchor); all but those in its smallest document are repeats as a
-   whole.
-3. Where an anchor has several classes, each class's first run is cut finer, by
-   anchors of ``FINE``-byte grams. Of pieces with equal bytes, all but those in
-   the smallest document are repeats as a whole. Where a finer anchor has
-   several pieces, their strings are suffix-sorted in Python workers, a bounded buffer
-   at a time, by multikey quicksort and blind tries. A buffer gives one row for each string
-   and document; equal strings of different buffers meet in an aggregation on
-   the string itself, byte by byte.
-
-Every grouping is a minimum and a maximum combined before its shuffle, so a
-passage that a third of the documents hold is one row a task. Per-document
-lists are bounded by the document's own length.
-
-Null texts are empty; empty and short texts lose nothing. A null id counts as
-the smallest. Rows that repeat an id don't count as earlier than each other; each is
-judged on its own. Extra columns aren't read.
+   only are settled. Only anchors are shuffled for this, about one for 17 bytes.
+2. Neighbouring strings of a document with one live anchor form a piece. Pieces
+   meet by anchor and go, with their bytes, to suffix sorting in Python workers,
+   as many whole groups at a time as fit a buffer.
+3. Multikey quicksort and blind tries order the pieces of each group; equal
+   ones stand together, and all but those of their smallest document are
+   repeats as a whole. Then the suffixes of the different pieces of a group are
+   sorted in the same way, to ``LENGTH`` bytes; of equal ones, those of later documents go.
+   Bytes alone decide: hashes only bring together what may be equal.
+4. Anchors of more than ``HOT`` documents are cut finer, by anchors of
+   ``FINE``-byte grams, and dealt over as many salts as keep about HOT documents
+   in each. The pieces that stay the first of their kind under a salt are
+   sorted once more without it, a few for each different piece.
+
+Anchors' least and greatest documents are combined before their shuffle. Lists
+are by document and bounded by the document's own length.
+
+Null texts are empty; empty and short texts lose nothing. Very long texts are
+handled whole, one at a time. A null id counts as the smallest. Rows that
+repeat an id don't count as earlier than each other; each is judged on its own.
+Extra columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textvec as tv
-from graphloom.llm.store import written
-from graphloom.llm.suffix_sort import equal_groups
+from graphloom.llm.store import Scratch, written
+from graphloom.llm.suffix_sort import equal_suffixes
 
 LENGTH, GRAM, FINE = 50, 18, 36
-RUN_SCHEMA = "doc long, same long, anchor long, run long, start int, n int"
-#: Strings that one suffix sort takes; a document with more is sorted in several buffers.
-BUFFER = 1 << 18
+#: Documents of an anchor from which its strings are cut finer and salted.
+HOT = 4096
+#: Bytes of pieces that are sorted together.
+BUFFER = 8 << 20
+PIECE = "key long, salt int, doc long, same long, start int, n int, piece binary"
 
 
 def _least(sums: np.ndarray, inverse: np.ndarray, gram: int) -> np.ndarray:
@@ -68,155 +71,181 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document, anchor, hash, start (in the buffer) and count of the runs of strings of each document."""
-    empty = (np.zeros(0, np.int64), np.zeros(0, tv.U64), np.zeros(0, tv.U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def anchors_of(data: np.ndarray, off: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place (in the buffer), document and anchor of each string that lies within a document."""
     if len(data) < LENGTH:
-        return empty
-    sums, inverse = _sums(data)
-    least = _least(sums, inverse, GRAM)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, tv.U64)
+    least = _least(*_sums(data), gram)
     at = np.arange(len(least))
-    doc = np.searchsorted(off, at, "right") - 1
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
     inside = at + LENGTH <= off[doc + 1]
-    at, doc, least = at[inside], doc[inside], least[inside]
-    if not len(at):
-        return empty
-    new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(at)))
-    start = at[first]
-    end = start + count - 1 + LENGTH
-    run = tv.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(tv.U64))
-    return doc[first], least[first], run, start, count
+    return at[inside], doc[inside], least[inside]
 
 
-def runs(base: DataFrame) -> DataFrame:
-    """The runs of each document of ``base`` (doc, same, text_)."""
+def anchors(base: DataFrame) -> DataFrame:
+    """(anchor, doc) of the strings of each row of ``base`` (doc, same, text_), each once."""
     tv.arrow_limits(base.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.rounds(batch, "text_"):
-                data, off = tv.flat(part.column("text_"))
-                doc, anchor, run, start, count = runs_of(data, off)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc").take(pa.array(doc)),
-                        part.column("same").take(pa.array(doc)),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(run.view(np.int64)),
-                        pa.array((start - off[doc]).astype(np.int32)),
-                        pa.array(count.astype(np.int32)),
-                    ],
-                    ["doc", "same", "anchor", "run", "start", "n"],
-                )
-
-    return base.mapInArrow(emit, RUN_SCHEMA)
-
+                _, doc, least = anchors_of(*tv.flat(part.column("text_")), GRAM)
+                new = np.ones(len(doc), bool)
+                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                doc, least = doc[new], least[new]
+                order = np.lexsort((least, doc))
+                doc, least = doc[order], least[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), part.column("doc").take(pa.array(doc[new]))], ["anchor", "doc"])
 
-def _positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All positions of the ranges, each once."""
-    total = int(counts.sum())
-    ramp = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.unique(np.repeat(starts, counts) + ramp)
+    return base.mapInArrow(emit, "anchor long, doc long")
 
 
-def finer_runs(texts: DataFrame) -> DataFrame:
-    """(fine, doc, same, start, n, piece): each document's ``ranges``, cut where the FINE-byte anchor changes, with their bytes."""
+def pieces(texts: DataFrame) -> DataFrame:
+    """The pieces of each row of ``texts`` (doc, same, text_, live): maximal runs of strings with one live anchor, hot ones cut by finer anchors."""
     tv.arrow_limits(texts.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.rounds(batch, "text_"):
                 data, off = tv.flat(part.column("text_"))
-                wanted, chosen = part.column("ranges"), []
+                at, doc, least = anchors_of(data, off, GRAM)
+                key, salt, wanted = least.view(np.int64).copy(), np.full(len(at), -1, np.int32), np.zeros(len(at), bool)
+                cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                 for i in range(len(part)):
-                    pairs = wanted[i].values
-                    chosen.append(off[i] + _positions(pairs.field("start").to_numpy().astype(np.int64), pairs.field("n").to_numpy().astype(np.int64)))
-                at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                if not len(at):
-                    continue
-                fine = _least(*_sums(data), FINE)[at]
-                doc = np.searchsorted(off, at, "right") - 1
+                    own = slice(cuts[i], cuts[i + 1])
+                    live = part.column("live")[i].values
+                    known, salts = live.field("anchor").to_numpy(), live.field("salt").to_numpy()
+                    order = np.argsort(known)
+                    place = order[np.minimum(np.searchsorted(known, key[own], sorter=order), len(known) - 1)]
+                    wanted[own] = known[place] == key[own]
+                    salt[own] = salts[place]
+                hot = wanted & (salt >= 0)
+                if hot.any():
+                    key[hot] = _least(*_sums(data), FINE)[at[hot]].view(np.int64)
+                at, doc, key, salt = at[wanted], doc[wanted], key[wanted], salt[wanted]
                 new = np.ones(len(at), bool)
-                new[1:] = (fine[1:] != fine[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (salt[1:] != salt[:-1])
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(at)))
                 start, owner, raw = at[first], pa.array(doc[first]), data.tobytes()
-                pieces = [raw[s : s + c - 1 + LENGTH] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(fine[first].view(np.int64)),
+                        pa.array(key[first]),
+                        pa.array(salt[first]),
                         part.column("doc").take(owner),
                         part.column("same").take(owner),
                         pa.array((start - off[doc[first]]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
-                        pa.array(pieces, pa.binary()),
+                        pa.array([raw[s : s + c - 1 + LENGTH] for s, c in zip(start.tolist(), count.tolist(), strict=True)], pa.binary()),
                     ],
-                    ["fine", "doc", "same", "start", "n", "piece"],
+                    ["key", "salt", "doc", "same", "start", "n", "piece"],
                 )
 
-    return texts.mapInArrow(emit, "fine long, doc long, same long, start int, n int, piece binary")
+    return texts.mapInArrow(emit, PIECE)
 
 
-def sorted_strings(pieces: DataFrame) -> DataFrame:
-    """(string, doc, same, at): the strings of the pieces, sorted by buffers; one row for each string and document of a buffer."""
-    tv.arrow_limits(pieces.sparkSession)
+def _ranges(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first place and length of the maximal runs of set flags; places of an owner follow one another."""
+    at = np.flatnonzero(flags)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+    first = np.flatnonzero(new)
+    return owner[at[first]], place[at[first]], np.diff(np.append(first, len(at)))
+
+
+def judged(key: np.ndarray, doc: np.ndarray, n: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces in whole groups of ``key``: row, first place and count of strings that an earlier document has, and which rows stay the first of their kind."""
+    rows = np.arange(len(key))
+    kind = equal_suffixes(data, off[:-1], n.astype(np.int64) + LENGTH - 1, [key.view(tv.U64) ^ tv.U64(1 << 63), n.astype(tv.U64)])
+    kinds = int(kind.max()) + 1
+    low = np.full(kinds, np.iinfo(np.int64).max)
+    np.minimum.at(low, kind, doc)
+    later = doc > low[kind]
+    whole = rows[later]
+    # One row stands for each kind; kinds of a group with several are compared string by string.
+    stand = np.full(kinds, -1)
+    stand[kind[~later][::-1]] = rows[~later][::-1]
+    group = key[stand]
+    several = np.zeros(kinds, bool)
+    order = np.argsort(group, kind="stable")
+    same = group[order][1:] == group[order][:-1]
+    several[order[1:][same]] = True
+    several[order[:-1][same]] = True
+    chosen = stand[several]
+    owner = np.repeat(np.flatnonzero(several), n[chosen])
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n[chosen]) - n[chosen], n[chosen])
+    at = off[stand[owner]] + place
+    string = equal_suffixes(data, at, np.full(len(at), LENGTH), [key[stand[owner]].view(tv.U64)])
+    first = np.full(int(string.max()) + 1 if len(string) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(first, string, low[owner])
+    found, begin, count = _ranges(first[string] < low[owner], owner, place)
+    # Each row of such a kind and of its first document loses these strings.
+    kept = rows[~later]
+    kept = kept[np.argsort(kind[kept], kind="stable")]
+    a, b = np.searchsorted(kind[kept], found), np.searchsorted(kind[kept], found, "right")
+    each = np.repeat(np.arange(len(found)), b - a)
+    row = kept[np.arange(len(each)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[each]]
+    return np.concatenate([whole, row]), np.concatenate([np.zeros(len(whole), np.int64), begin[each]]), np.concatenate([n[whole].astype(np.int64), count[each]]), ~later
+
+
+def sorted_pieces(given: DataFrame) -> DataFrame:
+    """Of ``given`` (PIECE): rows without a piece are ranges (start, n) to remove; of salted groups, rows with one are the first of their kind."""
+    dealt = given.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tv.rounds(batch, "piece"):
-                data, off = tv.flat(part.column("piece"))
-                docs, sames, start, n = (part.column(c).to_numpy() for c in ("doc", "same", "start", "n"))
-                row = np.repeat(np.arange(len(part)), n)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = off[row] + place
-                for low in range(0, len(at), BUFFER):
-                    string, which, places = [], [], []
-                    for s, found in equal_groups(data, at[low : low + BUFFER], LENGTH):
-                        owner = np.searchsorted(off, found, "right") - 1
-                        own: dict[tuple, list] = {}
-                        for i, p in zip(owner.tolist(), found.tolist(), strict=True):
-                            own.setdefault((docs[i], sames[i]), [i]).append(p - off[i] + start[i])
-                        for first, *spots in own.values():
-                            string.append(s)
-                            which.append(first)
-                            places.append(spots)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(string, pa.binary()), pa.array(docs[which]), pa.array(sames[which]), pa.array(places, pa.list_(pa.int32()))],
-                        ["string", "doc", "same", "at"],
-                    )
-
-    return pieces.mapInArrow(emit, "string binary, doc long, same long, at array<int>")
-
-
-def repeats(base: DataFrame) -> DataFrame:
+        for table in _whole_groups(batches):
+            data, off = tv.flat(table.column("piece"))
+            key, salt, doc, n = (table.column(c).to_numpy() for c in ("key", "salt", "doc", "n"))
+            row, begin, count, first = judged(key, doc, n, data, off)
+            stay = np.flatnonzero(first & (salt >= 0))
+            gone = table.take(pa.array(row))
+            start = (gone.column("start").to_numpy() + begin).astype(np.int32)
+            out = [*(gone.column(c) for c in ("key", "salt", "doc", "same")), pa.array(start), pa.array(count.astype(np.int32)), pa.nulls(len(row), pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, table.schema.names)
+            if len(stay):
+                yield table.take(pa.array(stay))
+
+    return dealt.mapInArrow(emit, PIECE)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BUFFER bytes that hold whole groups of (key, salt); rows come in that order."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < BUFFER:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key, salt = table.column("key").to_numpy(), table.column("salt").to_numpy()
+        cut = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1]))[-1]) + 1 if (key[0], salt[0]) != (key[-1], salt[-1]) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = [table.slice(cut)]
+        size = BUFFER // 2 if cut else 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def repeats(base: DataFrame, tables: Scratch) -> DataFrame:
     """(gone_doc, gone_same, gone): of each document, the ranges (start, n) of strings that an earlier one has."""
-    found = written(runs(base), "runs")
-    ends = found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    live = written(found.join(ends.select("anchor", "low"), "anchor"), "live")
-    classes = live.groupBy("anchor", "run").agg(F.min(F.struct("doc", "same", "start", "n")).alias("first"))
-    classes = written(classes, "classes")
-    many = classes.groupBy("anchor").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("anchor")
-
-    whole = live.where("doc > low").join(classes.select("anchor", "run", F.col("first.doc").alias("first_doc")), ["anchor", "run"]).where("doc > first_doc").select("doc", "same", "start", "n")
-    # The first run of each class stands for it; other runs of a class in that very document are judged alongside it.
-    stand = live.join(classes.select("anchor", "run", F.col("first.doc").alias("first_doc")), ["anchor", "run"]).where("doc = first_doc")
-    stand = stand.join(many, "anchor", "left_semi").select("doc", "same", "start", "n")
-    ranges = stand.groupBy(F.col("doc").alias("range_doc"), F.col("same").alias("range_same")).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    texts = base.join(ranges, (F.col("doc") == F.col("range_doc")) & (F.col("same") == F.col("range_same")))
-    fine = written(finer_runs(texts.select("doc", "same", "text_", "ranges")), "fine")
-    firsts = written(fine.groupBy("fine", "piece").agg(F.min("doc").alias("first_doc")), "pieces")
-    open_ = firsts.groupBy(F.col("fine").alias("met")).agg(F.count("*").alias("n_pieces"), F.min("first_doc").alias("low"), F.max("first_doc").alias("high"))
-    open_ = open_.where("n_pieces > 1 and low < high").select("met")
-    judged = fine.join(firsts, ["fine", "piece"])
-    equal = judged.where("doc > first_doc").select("doc", "same", "start", "n")
-    pieces = judged.where("doc = first_doc").join(open_, F.col("fine") == F.col("met"), "left_semi")
-    strings = written(sorted_strings(pieces.select("doc", "same", "start", "n", "piece")), "strings")
-    shared = strings.groupBy(F.col("string").alias("shared")).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("shared", "low")
-    single = strings.join(shared, F.col("string") == F.col("shared")).where("doc > low").select("doc", "same", F.explode("at").alias("start"), F.lit(1).alias("n"))
-    return whole.union(equal).union(single).groupBy(F.col("doc").alias("gone_doc"), F.col("same").alias("gone_same")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    every = tables.write(anchors(base), "anchors")
+    ends = every.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("docs")).where("low < high")
+    salts = F.when(F.col("docs") > HOT, F.ceil(F.col("docs") / HOT).cast("long"))
+    shared = tables.write(ends.select(F.col("anchor").alias("met"), salts.alias("salts")), "shared")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"), F.lit(-1))
+    live = every.join(shared, F.col("anchor") == F.col("met")).groupBy(F.col("doc").alias("live_doc")).agg(F.collect_set(F.struct("anchor", salt.alias("salt"))).alias("live"))
+    live = tables.write(live, "live")
+    tables.drop("anchors", "shared")
+    texts = base.join(live, F.col("doc") == F.col("live_doc")).select("doc", "same", "text_", "live")
+    once = tables.write(sorted_pieces(pieces(texts)), "once")
+    tables.drop("live")
+    again = sorted_pieces(once.where("piece is not null").withColumn("salt", F.lit(-1)))
+    spans = once.where("piece is null").unionByName(again)
+    gone = spans.groupBy(F.col("doc").alias("gone_doc"), F.col("same").alias("gone_same")).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    return written(gone, "gone")
 
 
 def cut(text: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, int]:
@@ -234,7 +263,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     given = docs.select(F.col(doc_id).cast("long").alias("id_"), key.alias("doc"), F.coalesce(text, F.lit("")).alias("text_"))
     given = given.withColumn("same", F.xxhash64("text_"))
-    gone = repeats(given.select("doc", "same", "text_"))
+    with Scratch(docs.sparkSession) as tables:
+        gone = repeats(given.select("doc", "same", "text_"), tables)
     joined = given.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("same") == F.col("gone_same")), "left").select("id_", "text_", "gone")
     tv.arrow_limits(docs.sparkSession)
 

@@ -1,47 +1,50 @@
 """Deep-shallow suffix sorting of chosen positions of a byte buffer.
 
 Multikey quicksort orders the suffixes to a shallow depth, eight bytes (one
-"character" of a large alphabet) at a time. Suffixes that still agree there
-have a long common prefix; blind tries order these groups to the full depth.
+"character" of a large alphabet) at a time; segments that are small enough are
+sorted directly on the characters that are left. Suffixes that still agree
+there have a long common prefix; blind tries order these groups to the full
+depth, and tell which of them are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 #: Characters of eight bytes that the quicksort looks at, and the segment size below which it sorts directly.
-SHALLOW, SMALL = 2, 64
+SHALLOW, SMALL = 4, 1 << 14
 
 
 class _Node:
-    __slots__ = ("children", "depth", "leaf")
+    __slots__ = ("children", "depth", "leaf", "places")
 
-    def __init__(self, depth: int, leaf: bytes | None):
-        self.depth, self.leaf, self.children = depth, leaf, {}
+    def __init__(self, depth: int, leaf: bytes | None, place: int = -1):
+        self.depth, self.leaf, self.children, self.places = depth, leaf, {}, [place]
 
 
-def blind_trie(strings: list[bytes]) -> list[bytes]:
-    """Distinct strings of one length in order: inner nodes hold only the depth at which their strings part."""
-    root = _Node(len(strings[0]), strings[0])
-    for s in strings[1:]:
+def blind_trie(strings: list[bytes]) -> list[list[int]]:
+    """The places of strings of one length, in order, equal ones together; inner nodes hold only the depth at which their strings part."""
+    size = len(strings[0])
+    root = _Node(size, strings[0], 0)
+    for place, s in enumerate(strings[1:], 1):
         path, node = [], root
         while node.children:
             path.append(node)
             node = node.children.get(s[node.depth]) or next(iter(node.children.values()))
         other = node.leaf
-        common = next((i for i, (x, y) in enumerate(zip(s, other, strict=True)) if x != y), len(s))
-        if common == len(s):
+        if other == s:
+            node.places.append(place)
             continue
+        parted = int.from_bytes(s) ^ int.from_bytes(other)
+        common = size - (parted.bit_length() + 7) // 8
         path.append(node)
         at = next(i for i, n in enumerate(path) if n.depth >= common)
-        place, leaf = path[at], _Node(len(s), s)
-        if place.children and place.depth == common:
-            place.children[s[common]] = leaf
+        below, leaf = path[at], _Node(size, s, place)
+        if below.children and below.depth == common:
+            below.children[s[common]] = leaf
             continue
         fork = _Node(common, None)
-        fork.children = {other[common]: place, s[common]: leaf}
+        fork.children = {other[common]: below, s[common]: leaf}
         if at:
             path[at - 1].children[s[path[at - 1].depth]] = fork
         else:
@@ -52,54 +55,58 @@ def blind_trie(strings: list[bytes]) -> list[bytes]:
         if node.children:
             stack.extend(node.children[c] for c in sorted(node.children, reverse=True))
         else:
-            out.append(node.leaf)
+            out.append(node.places)
     return out
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one big-endian number."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(data)]
-    return out
+def characters(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The first SHALLOW characters of the suffixes at ``at``, as big-endian numbers."""
+    padded = np.concatenate([data, np.zeros(8 * SHALLOW, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, np.dtype(">u8"), padded, strides=(1,))
+    return [eight[at + 8 * i].astype(np.uint64) for i in range(SHALLOW)]
 
 
-def _shallow(words: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Multikey quicksort: segments of ``at`` in order, each with equal first SHALLOW characters."""
-    stack = [(at, 0)]
+def multikey_quicksort(chars: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their characters."""
+    done, stack = [], [(np.arange(len(chars[0])), 0)]
     while stack:
         seg, level = stack.pop()
-        if len(seg) == 1 or level == SHALLOW:
-            yield seg
-            continue
-        key = words[seg + 8 * level]
-        if len(seg) <= SMALL:
-            order = np.argsort(key, kind="stable")
-            seg, key = seg[order], key[order]
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            stack.extend((part, level + 1) for part in reversed(np.split(seg, cuts)))
-            continue
-        sample = np.sort(key[:: max(1, len(key) // 9)])
-        pivot = sample[len(sample) // 2]
-        less, more = key < pivot, key > pivot
-        for mask, to in ((more, level), (~(less | more), level + 1), (less, level)):
-            part = seg[mask]
-            if len(part):
-                stack.append((part, to))
-
-
-def equal_groups(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """In suffix order, each distinct ``length``-byte string at the positions ``at``, and its positions."""
-    if not len(at):
-        return
-    raw, words = data.tobytes(), _words(data)
-    for seg in _shallow(words, at):
-        if len(seg) == 1:
-            yield raw[seg[0] : seg[0] + length], seg
-            continue
-        found: dict[bytes, list[int]] = {}
-        for p in seg.tolist():
-            found.setdefault(raw[p : p + length], []).append(p)
-        for s in blind_trie(list(found)):
-            yield s, np.array(found[s])
+        if level == len(chars) or len(seg) < 2:
+            done.append(seg)
+        elif len(seg) <= SMALL:
+            done.append(seg[np.lexsort([c[seg] for c in reversed(chars[level:])])])
+        else:
+            key = chars[level][seg]
+            sample = np.sort(key[:: max(1, len(key) // 9)])
+            pivot = sample[len(sample) // 2]
+            less, more = key < pivot, key > pivot
+            stack += [(seg[more], level), (seg[~(less | more)], level + 1), (seg[less], level)]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+def equal_suffixes(data: np.ndarray, at: np.ndarray, size: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+    """The class of each string of ``size`` bytes at ``at``: equal numbers for equal strings, rising in their order.
+
+    ``first`` are numbers by which strings differ before their bytes count (a
+    group's key, their size). Strings are at least 8 * SHALLOW bytes long.
+    """
+    n = len(at)
+    if not n:
+        return np.zeros(0, np.int64)
+    chars = [*first, *characters(data, at)]
+    order = multikey_quicksort(chars)
+    new = np.ones(n, bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in chars], axis=0)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, n))
+    raw = data.tobytes()
+    for s, c in zip(start[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+        seg = order[s : s + c]
+        ends = zip(at[seg].tolist(), size[seg].tolist(), strict=True)
+        groups = blind_trie([raw[a : a + b] for a, b in ends])
+        if len(groups) > 1:
+            order[s : s + c] = seg[np.array([i for g in groups for i in g])]
+            new[s + np.cumsum([len(g) for g in groups[:-1]])] = True
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out

@@ -39,20 +39,37 @@ def compare(spark, rows):
     assert key(found) == key(brute(rows))
 
 
-def test_blind_trie_orders_distinct_strings():
+def test_blind_trie_orders_strings():
     rng = random.Random(3)
     for _ in range(200):
-        strings = list({bytes(rng.choice(b"ab\x00") for _ in range(12)) for _ in range(rng.randint(1, 60))})
-        assert suffix_sort.blind_trie(strings) == sorted(strings)
+        strings = [bytes(rng.choice(b"ab\x00") for _ in range(12)) for _ in range(rng.randint(1, 60))]
+        groups = suffix_sort.blind_trie(strings)
+        assert [strings[g[0]] for g in groups] == sorted(set(strings))
+        assert all(strings[i] == strings[g[0]] for g in groups for i in g) and sorted(i for g in groups for i in g) == list(range(len(strings)))
 
 
-def test_suffix_order():
+def test_suffix_order(monkeypatch):
+    monkeypatch.setattr(suffix_sort, "SMALL", 50)
     rng = random.Random(5)
     data = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(3000)) + b"x" * 40 + bytes(rng.choice(b"ab") for _ in range(200)), np.uint8)
-    at = np.arange(len(data) - 50)
-    groups = list(suffix_sort.equal_groups(data, at, 50))
-    assert [s for s, _ in groups] == sorted({data[p : p + 50].tobytes() for p in at})
-    assert sorted(int(p) for _, places in groups for p in places) == at.tolist()
+    at = np.array([p for p in range(len(data) - 50) for _ in range(1 + p % 2)])
+    kinds = suffix_sort.equal_suffixes(data, at, np.full(len(at), 50), [])
+    order = {s: i for i, s in enumerate(sorted({data[p : p + 50].tobytes() for p in at}))}
+    assert kinds.tolist() == [order[data[p : p + 50].tobytes()] for p in at]
+
+
+def test_given_documents_against_brute_force(spark):
+    compare(spark, [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()])
+
+
+def test_hot_anchors_and_small_buffers(spark, monkeypatch):
+    """Anchors of more than five documents are hot, and buffers hold a few groups."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 2000)
+    rng = random.Random(2)
+    base = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
+    rows = [(i, base if i % 3 else base[: 20 * i % 300] + str(i) + base[20 * i % 300 :]) for i in range(40)]
+    compare(spark, [*rows, (3, base), (50, "x" + base[40:160] + "y"), (51, base * 3)])
 
 
 def test_edges(spark):
