@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ from graphloom.llm.suffix_sort import equal_suffixes
 LENGTH, GRAM, FINE = 50, 18, 36
 #: Documents of an anchor from which its strings are cut finer and salted.
 HOT = 4096
+#: Passes over the live texts, each with its share of the keys, so that fewer pieces are in a shuffle at once.
+PASSES = 2
 #: Bytes of pieces that are sorted together.
 BUFFER = 8 << 20
 PIECE = "key long, salt int, doc long, same long, start int, n int, piece binary"
@@ -102,8 +105,11 @@ def anchors(base: DataFrame) -> DataFrame:
     return base.mapInArrow(emit, "anchor long, doc long")
 
 
-def pieces(texts: DataFrame) -> DataFrame:
-    """The pieces of each row of ``texts`` (doc, same, text_, live): maximal runs of strings with one live anchor, hot ones cut by finer anchors."""
+def pieces(texts: DataFrame, turn: int) -> DataFrame:
+    """The pieces of each row of ``texts`` (doc, same, text_, live): maximal runs of strings with one live anchor, hot ones cut by finer anchors.
+
+    Only those whose key falls to this turn of PASSES.
+    """
     tv.arrow_limits(texts.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +130,7 @@ def pieces(texts: DataFrame) -> DataFrame:
                 hot = wanted & (salt >= 0)
                 if hot.any():
                     key[hot] = _least(*_sums(data), FINE)[at[hot]].view(np.int64)
+                wanted &= key.view(tv.U64) % tv.U64(PASSES) == turn
                 at, doc, key, salt = at[wanted], doc[wanted], key[wanted], salt[wanted]
                 new = np.ones(len(at), bool)
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (salt[1:] != salt[:-1])
@@ -177,7 +184,7 @@ def judged(key: np.ndarray, doc: np.ndarray, n: np.ndarray, data: np.ndarray, of
     owner = np.repeat(np.flatnonzero(several), n[chosen])
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n[chosen]) - n[chosen], n[chosen])
     at = off[stand[owner]] + place
-    string = equal_suffixes(data, at, np.full(len(at), LENGTH), [key[stand[owner]].view(tv.U64)])
+    string = equal_suffixes(data, at, np.full(len(at), LENGTH), [key[stand[owner]].view(tv.U64)], low[owner])
     first = np.full(int(string.max()) + 1 if len(string) else 0, np.iinfo(np.int64).max)
     np.minimum.at(first, string, low[owner])
     found, begin, count = _ranges(first[string] < low[owner], owner, place)
@@ -240,7 +247,8 @@ def repeats(base: DataFrame, tables: Scratch) -> DataFrame:
     live = tables.write(live, "live")
     tables.drop("anchors", "shared")
     texts = base.join(live, F.col("doc") == F.col("live_doc")).select("doc", "same", "text_", "live")
-    once = tables.write(sorted_pieces(pieces(texts)), "once")
+    turns = [tables.write(sorted_pieces(pieces(texts, turn)), f"once{turn}") for turn in range(PASSES)]
+    once = reduce(DataFrame.unionByName, turns)
     tables.drop("live")
     again = sorted_pieces(once.where("piece is not null").withColumn("salt", F.lit(-1)))
     spans = once.where("piece is null").unionByName(again)

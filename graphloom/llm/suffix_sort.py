@@ -25,6 +25,8 @@ class _Node:
 def blind_trie(strings: list[bytes]) -> list[list[int]]:
     """The places of strings of one length, in order, equal ones together; inner nodes hold only the depth at which their strings part."""
     size = len(strings[0])
+    if strings.count(strings[0]) == len(strings):
+        return [list(range(len(strings)))]
     root = _Node(size, strings[0], 0)
     for place, s in enumerate(strings[1:], 1):
         path, node = [], root
@@ -84,11 +86,12 @@ def multikey_quicksort(chars: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
-def equal_suffixes(data: np.ndarray, at: np.ndarray, size: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+def equal_suffixes(data: np.ndarray, at: np.ndarray, size: np.ndarray, first: list[np.ndarray], matters: np.ndarray | None = None) -> np.ndarray:
     """The class of each string of ``size`` bytes at ``at``: equal numbers for equal strings, rising in their order.
 
     ``first`` are numbers by which strings differ before their bytes count (a
-    group's key, their size). Strings are at least 8 * SHALLOW bytes long.
+    group's key, their size). Strings are at least 8 * SHALLOW bytes long. Strings
+    that agree to the shallow depth and in ``matters`` may share a number.
     """
     n = len(at)
     if not n:
@@ -99,14 +102,17 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, size: np.ndarray, first: li
     new[1:] = np.any([c[order][1:] != c[order][:-1] for c in chars], axis=0)
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, n))
-    raw = data.tobytes()
-    for s, c in zip(start[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-        seg = order[s : s + c]
-        ends = zip(at[seg].tolist(), size[seg].tolist(), strict=True)
-        groups = blind_trie([raw[a : a + b] for a, b in ends])
+    deep = count > 1
+    if matters is not None:
+        deep &= np.minimum.reduceat(matters[order], start) < np.maximum.reduceat(matters[order], start)
+    raw, begin, end = data.tobytes(), at[order].tolist(), (at + size)[order].tolist()
+    for s, c in zip(start[deep].tolist(), count[deep].tolist(), strict=True):
+        groups = blind_trie([raw[begin[i] : end[i]] for i in range(s, s + c)])
         if len(groups) > 1:
-            order[s : s + c] = seg[np.array([i for g in groups for i in g])]
-            new[s + np.cumsum([len(g) for g in groups[:-1]])] = True
+            order[s : s + c] = order[s : s + c][[i for g in groups for i in g]]
+            for g in groups[:-1]:
+                s += len(g)
+                new[s] = True
     out = np.empty(n, np.int64)
     out[order] = np.cumsum(new) - 1
     return out

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import suffix_dedup, suffix_sort
@@ -101,3 +102,12 @@ def test_against_brute_force(spark, seed):
     parts = [" ".join(rng.choices(words, k=rng.randint(4, 40))) for _ in range(12)]
     rows = [(rng.randrange(60), " ".join(rng.choice(parts) if rng.random() < 0.6 else rng.choice(words) for _ in range(rng.randint(1, 12)))) for _ in range(70)]
     compare(spark, rows)
+
+
+def test_buffers_hold_whole_groups(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 300)
+    keys = sorted(random.Random(1).choices(range(12), k=200))
+    given = pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "salt": pa.array([k % 2 for k in keys], pa.int32())})
+    out = [b.column("key").to_pylist() for b in suffix_dedup._whole_groups(given.slice(i, 7) for i in range(0, 200, 7))]
+    assert sum(out, []) == keys and len(out) > 3
+    assert all(a[-1] != b[0] for a, b in zip(out, out[1:], strict=False))
