@@ -2,8 +2,9 @@
 
 Each whole text gives a few counts. Six transformed statistics of them form a
 vector; for every language and source a minimum-covariance-determinant
-estimate is made from all rows: start from medians and median deviations, then
-concentration steps that keep the half of the rows, (n + p + 1) / 2 of n, with
+estimate is made from all rows. Of two starts, medians with median deviations
+and the plain mean and covariance, the one that ends with the least determinant
+is taken. From each go concentration steps that keep the half of the rows, (n + p + 1) / 2 of n, with
 the smallest Mahalanobis distances and re-estimate mean and covariance from
 these. The covariance of the half is then scaled so that the half ends at the
 median of chi-square, and estimated once more from all rows within its 0.975
@@ -12,10 +13,13 @@ are grouped aggregates with map-side combining, so a source that holds a third
 of the rows is no more than one row a task in a shuffle. The half is found from
 a histogram of distances, so no group is sorted or collected.
 
-A group with fewer than ``MIN_ROWS`` rows uses its language's estimate, and a
+Estimates are broadcast as long as the groups are few, so rows of a hot group
+stay where they are. A group with fewer than ``MIN_ROWS`` rows uses its language's estimate, and a
 language with fewer uses that of all rows. Null or empty texts have no words
 and fail the base rules. Null languages and sources are groups of their own.
-Repeated rows count as often as they occur.
+Repeated rows count as often as they occur. Very long texts are counted whole,
+one at a time. Extra columns are kept but for those named like counts, and an
+empty table gives no rows. Rows that tie at the end of the half are all in it.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textvec as tv
-from graphloom.llm.store import written
+from graphloom.llm.store import Scratch, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines", "n_distinct"]
 FEATURES = 6
 #: Rows that a group needs for an estimate of its own, and concentration steps.
 MIN_ROWS, STEPS = 200, 4
+#: Groups up to which estimates (about 700 bytes each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 10_000
 #: Medians of chi-square by degrees of freedom, to scale the covariance of the half.
 MEDIANS = [0.0, 0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481]
 #: Squared distance within which rows are estimated from at last (chi-square with 6 degrees of freedom at 0.975), and its consistency factor.
@@ -156,8 +162,8 @@ def _inverse(mean: np.ndarray, cov: np.ndarray) -> list[float]:
 
 
 def _estimate(moments: DataFrame, factor: float = 1.0) -> DataFrame:
-    """From count, sums and products of each group: mean, covariance times ``factor``, its inverse. One row a group."""
-    schema = "g string, mean array<double>, cov array<double>, inv array<double>"
+    """From count, sums and products of each group: mean, covariance times ``factor``, its inverse and log-determinant. One row a group."""
+    schema = "g string, mean array<double>, cov array<double>, inv array<double>, spread double"
 
     def run(batches):
         for pdf in batches:
@@ -171,7 +177,8 @@ def _estimate(moments: DataFrame, factor: float = 1.0) -> DataFrame:
                 means.append(mean.tolist())
                 covs.append(cov.ravel().tolist())
                 inverses.append(_inverse(mean, cov))
-            yield pdf[["g"]].assign(mean=means, cov=covs, inv=inverses)
+            spreads = [-float(np.linalg.slogdet(np.array(x).reshape(FEATURES, FEATURES))[1]) for x in inverses]
+            yield pdf[["g"]].assign(mean=means, cov=covs, inv=inverses, spread=spreads)
 
     return moments.mapInPandas(run, schema)
 
@@ -195,20 +202,25 @@ def _scaled(fit: DataFrame, tops: DataFrame) -> DataFrame:
     return fit.join(tops, "g").mapInPandas(run, "g string, mean array<double>, inv array<double>")
 
 
+def _small(groups: DataFrame, few: bool) -> DataFrame:
+    """A table of one row a group, to be broadcast if the groups are few."""
+    return F.broadcast(groups) if few else groups
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)]
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in _pairs()]
     return rows.groupBy("g").agg(F.count("*").alias("n"), *sums, *products)
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """Rows with their squared Mahalanobis distance ``d2`` from their group's estimate."""
-    joined = rows.join(fit, "g")
+    joined = rows.join(_small(fit, few), "g")
     terms = F.lit(0.0)
     for i, j in _pairs():
         gap = (F.col(f"x{i}") - F.col("mean")[i]) * (F.col(f"x{j}") - F.col("mean")[j])
         terms = terms + gap * F.col("inv")[i * FEATURES + j] * (1.0 if i == j else 2.0)
-    return joined.withColumn("d2", F.greatest(terms, F.lit(0.0))).drop("mean", "cov", "inv")
+    return joined.withColumn("d2", F.greatest(terms, F.lit(0.0))).drop("mean", "cov", "inv", "spread")
 
 
 def _bin(d2):
@@ -228,32 +240,39 @@ def _tops(rows: DataFrame) -> DataFrame:
     return below.where(F.col("before") < (F.col("all") + FEATURES + 1) / 2).groupBy("g").agg(F.max("b").alias("top"))
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, few: bool) -> DataFrame:
     """The nearer half of each group's rows."""
-    return rows.join(_tops(rows), "g").where(_bin(F.col("d2")) <= F.col("top")).drop("top")
+    return rows.join(_small(_tops(rows), few), "g").where(_bin(F.col("d2")) <= F.col("top")).drop("top")
 
 
 def _medians(rows: DataFrame, columns: list) -> DataFrame:
     return rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(columns)))
 
 
-def _first_fit(rows: DataFrame) -> DataFrame:
+def _first_fit(rows: DataFrame, few: bool) -> DataFrame:
     """Medians and median-deviation variances, without covariances."""
     centre = written(_medians(rows, [F.col(f"x{i}") for i in range(FEATURES)]).select("g", F.array(*(f"m{i}" for i in range(FEATURES))).alias("mean")), "mcd")
-    deviations = _medians(rows.join(centre, "g"), [F.abs(F.col(f"x{i}") - F.col("mean")[i]) for i in range(FEATURES)])
+    deviations = _medians(rows.join(_small(centre, few), "g"), [F.abs(F.col(f"x{i}") - F.col("mean")[i]) for i in range(FEATURES)])
     noise = 1 / (4 * F.greatest(F.expm1(F.col("mean")[0]), F.lit(1.0)))
     spread = [F.greatest(F.pow(1.4826 * F.col(f"m{i}"), 2), noise if least is None else F.lit(least)) for i, least in enumerate(FLOOR)]
     inverse = [1 / spread[i] if i == j else F.lit(0.0) for i in range(FEATURES) for j in range(FEATURES)]
     return centre.join(deviations, "g").select("g", "mean", F.array(*inverse).alias("inv"))
 
 
-def fit(rows: DataFrame) -> DataFrame:
+def fit(rows: DataFrame, few: bool) -> DataFrame:
     """(g, mean, inv) of each group of ``rows`` (g, x0 .. x5); each step's estimates are written."""
-    estimate = written(_first_fit(rows), "mcd")
-    for _ in range(STEPS):
-        estimate = written(_estimate(_moments(_nearest(_distance(rows, estimate)))), "mcd")
-    estimate = written(_scaled(estimate, _tops(_distance(rows, estimate))), "mcd")
-    return written(_estimate(_moments(_distance(rows, estimate).where(F.col("d2") <= NEAR)), NEAR_FACTOR).drop("cov"), "mcd")
+    with Scratch(rows.sparkSession) as tables:
+        names = F.explode(F.array(F.lit("a"), F.lit("b")))
+        both = rows.select("*", names.alias("start")).withColumn("g", F.concat("start", "g")).drop("start")
+        classical = _estimate(_moments(both.where(F.col("g").startswith("b"))))
+        estimate = tables.write(_first_fit(both.where(F.col("g").startswith("a")), few).unionByName(classical.select("g", "mean", "inv")), "mcd")
+        for _ in range(STEPS):
+            estimate = tables.write(_estimate(_moments(_nearest(_distance(both, estimate, few), few))), "mcd")
+        ended = F.min(F.struct("spread", F.substring("g", 1, 1).alias("start"), "mean", "cov", "inv")).alias("e")
+        best = estimate.groupBy(F.expr("substring(g, 2)").alias("g")).agg(ended).select("g", "e.mean", "e.cov", "e.inv", "e.spread")
+        best = tables.write(best, "best")
+        scaled = tables.write(_scaled(best, _tops(_distance(rows, best, few))), "scaled")
+        return written(_estimate(_moments(_distance(rows, scaled, few).where(F.col("d2") <= NEAR)), NEAR_FACTOR).select("g", "mean", "inv"), "mcd")
 
 
 def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -274,17 +293,18 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     xs = [f"x{i}" for i in range(FEATURES)]
     fitted = counted.where(~failed).select(fine.alias("fine"), coarse.alias("coarse"), *xs)
     enough = lambda key: fitted.groupBy(key).count().where(F.col("count") >= MIN_ROWS).select(key)
-    sizes = written(enough("fine").select(F.col("fine").alias("g")).union(enough("coarse")).union(counted.sparkSession.createDataFrame([("0",)], "g string")), "groups")
+    sizes = written(enough("fine").select(F.col("fine").alias("g")).union(enough("coarse")).union(counted.sparkSession.range(1).select(F.lit("0").alias("g"))), "groups")
+    few = sizes.count() < MOST_BROADCAST
     levels = [fitted.select(g.alias("g"), *xs) for g in (F.col("fine"), F.col("coarse"), F.lit("0"))]
-    pool = levels[0].unionByName(levels[1]).unionByName(levels[2]).join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "g", "left_semi")
-    estimate = fit(pool)
+    pool = levels[0].unionByName(levels[1]).unionByName(levels[2]).join(_small(sizes, few), "g", "left_semi")
+    estimate = fit(pool, few)
     own = sizes.select(F.col("g").alias("fine"), F.lit(True).alias("has_fine"))
     wide = sizes.select(F.col("g").alias("coarse"), F.lit(True).alias("has_coarse"))
-    rows = counted.withColumns({"fine": fine, "coarse": coarse}).join(own, "fine", "left").join(wide, "coarse", "left")
+    rows = counted.withColumns({"fine": fine, "coarse": coarse}).join(_small(own, few), "fine", "left").join(_small(wide, few), "coarse", "left")
     rows = rows.withColumn("g", F.when(F.col("has_fine"), F.col("fine")).when(F.col("has_coarse"), F.col("coarse")).otherwise(F.lit("0")))
     # Without any fitted row there is no estimate: then nothing is an outlier.
-    ready = rows.join(estimate.select("g"), "g", "left_anti").withColumn("d2", F.lit(0.0))
-    scored = _distance(rows, estimate).unionByName(ready)
+    ready = rows.join(_small(estimate.select("g"), few), "g", "left_anti").withColumn("d2", F.lit(0.0))
+    scored = _distance(rows, estimate, few).unionByName(ready)
     return scored.select(
         *([text] if keep_text else []), *others, *COUNTS,
         failed.alias("base_failed"), (~failed & (F.col("d2") <= CUTOFF)).alias("kept"), F.col("d2").alias("distance"),

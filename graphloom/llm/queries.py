@@ -19,7 +19,7 @@ URL_RULES = [
     url_filter.Rule("block", "org", "/es/"),
 ]
 #: Advert hosts, by their first label after ``www.`` and ``m.``, whose URLs make up the list.
-ADVERT_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets"]
+ADVERT_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -85,7 +85,8 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TURN).alias("text"))
     return chat_windows.conversation_digests(chat_windows.chat_windows(turns.unionByName(added)))
 
 
@@ -139,7 +140,7 @@ with rest as (
 ), named as (
   select *, case when host = '' then '' else regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') end as canon from parts
 ), listed as (
-  select distinct canon from named where string_split(canon, '.')[1] in ('ads-track', 'casino-win', 'cheap-pills', 'free-bets')
+  select distinct canon from named where string_split(canon, '.')[1] in ('ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm')
 ), rules(v, h, p) as (
   values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), best as (

@@ -78,8 +78,12 @@ def similarity(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best window of each document for each item."""
     item = items.select(F.col(item_id).alias("item"), shingles(F.col(text)).alias("bag")).where(F.size("bag") > 0)
-    item = item.groupBy("bag").agg(F.collect_set("item").alias("same"), F.min("item").alias("rep"))
-    item = written(item.select("rep", "same", "bag", F.size("bag").alias("length"), simhash(F.col("bag")).alias("item_fp"), tagged(F.col("bag")).alias("item_set")), "items")
+    item = written(item, "item_bags")
+    members = item.select("item", F.sha2(F.to_json("bag"), 256).alias("digest")).distinct()
+    reps = members.groupBy("digest").agg(F.min("item").alias("rep"))
+    members = members.join(reps, "digest").select(F.col("rep").alias("member_rep"), "item")
+    item = item.groupBy("bag").agg(F.min("item").alias("rep"))
+    item = written(item.select("rep", "bag", F.size("bag").alias("length"), simhash(F.col("bag")).alias("item_fp"), tagged(F.col("bag")).alias("item_set")), "items")
     total = item.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     small = F.broadcast if total <= BROADCAST_SHINGLES else lambda df: df
 
@@ -106,12 +110,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     near = sides[0].join(small(sides[1]), met).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select(F.col("doc").alias("near_doc"), F.col("start").alias("near_start"), F.col("length").alias("near_length"), F.col("rep").alias("near_item")).distinct()
     pairs = near.join(cut, F.col("near_doc").eqNullSafe(F.col("doc")) & (F.col("near_start") == F.col("start")) & (F.col("near_length") == F.col("length")))
-    pairs = pairs.join(small(item.select("rep", "same", "item_set")), F.col("near_item") == F.col("rep"))
+    pairs = pairs.join(small(item.select("rep", "item_set")), F.col("near_item") == F.col("rep"))
     sure = pairs.withColumn("similarity", similarity(tagged(F.col("window")), F.col("item_set"))).where(F.col("similarity") >= LEAST)
-    best = sure.groupBy("doc", "rep", "same").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best"))
-    return best.select(
+    best = sure.groupBy("doc", "rep").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best"))
+    # Items with equal words meet their representative's matches last, so no list of them is made.
+    return best.join(members, F.col("rep") == F.col("member_rep")).select(
         F.col("doc").alias(doc_id),
-        F.explode("same").alias(item_id),
+        F.col("item").alias(item_id),
         (-F.col("best.back")).cast("long").alias("start"),
         (F.col("best.length") + K - 1).cast("long").alias("n_words"),
         F.col("best.similarity").alias("similarity"),

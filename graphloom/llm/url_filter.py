@@ -52,7 +52,7 @@ def _rest(url: Column) -> Column:
 def canonical(host: Column, path: Column) -> Column:
     """Host without ``www.`` or ``m.``, path without ``.html`` or a last ``/``; empty where the host is."""
     bare = F.regexp_replace(host, r"^(www|m)\.", "")
-    return F.when(host == "", F.lit("")).otherwise(F.concat(bare, F.regexp_replace(path, r"(\.html|/)$", "")))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(bare, F.regexp_replace(path, r"(\.html|/)\z", "")))
 
 
 def first_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:

@@ -11,18 +11,25 @@ the folder may be any URI that these know. A file's name holds its partition
 and task attempt; only names that a finished task returned are used later, so
 an attempt that was lost leaves nothing that counts.
 
-Of records with equal payloads the one with the smallest page_id is a response
+A stream that is cut short, isn't gzip, or has a record without a length or id
+is put in quarantine whole: its row has the error and no path. ``round_trip``
+fails if one of its own archives does.
+
+Of records with equal payloads (by SHA-256) the one with the smallest page_id is a response
 and the others are revisits that name it, unless the payload is shorter than
 ``least``. Groups of equal payloads meet only as one row a group and task.
 Null html counts as an empty payload; null urls as an empty target. Rows that
 repeat a page_id are records of their own; the first of equal ones is by page
-id alone, so all of them are responses.
+id alone, so all of them are responses. Payloads of any length are read and
+written whole, in pieces where they are inflated. Extra columns aren't read; an
+empty table has no archive.
 """
 
 from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -33,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.skew import hot_keys, salted_join
 from graphloom.llm.store import fresh_path, written
 from graphloom.llm.textvec import arrow_limits
 
@@ -40,16 +48,18 @@ from graphloom.llm.textvec import arrow_limits
 PIECE, ARCHIVE_BYTES = 1 << 18, 64 << 20
 #: Payload bytes from which equal payloads become revisits.
 LEAST = 0
+#: Tasks at least that archives are dealt over, if there are as many.
+TASKS = 200
 EPOCH = "2020-01-01T00:00:00Z"
 
 
 def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, sha (hex), refers_to (null for responses)."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("sha", F.sha1("payload"))
-    first = base.select("page_id", "sha").groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    shared = first.where("copies > 1").select(F.col("sha").alias("shared_sha"), "first_id")
-    joined = base.join(shared, F.col("sha") == F.col("shared_sha"), "left")
+    base = base.withColumns({"sha": F.sha1("payload"), "same": F.sha2("payload", 256)})
+    first = base.select("page_id", "same").groupBy("same").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+    shared = written(first.where("copies > 1"), "shared")
+    joined = salted_join(base, shared.drop("copies"), "same", ["page_id", "url"], hot_keys(shared, "same", "copies"), "left")
     later = (F.length("payload") >= least) & (F.col("page_id") > F.col("first_id"))
     return joined.select("page_id", "url", "payload", "sha", F.when(later, F.col("first_id")).alias("refers_to"))
 
@@ -175,6 +185,8 @@ def split_members(source, target) -> list[tuple[int, int, str]]:
         if head is None:
             return index
         head = head.lstrip(b"\r\n")
+        if not head:
+            continue
         headers = _headers(head)
         engine, size = zlib.compressobj(6, zlib.DEFLATED, 31), 0
         size += target.write(engine.compress(head))
@@ -199,30 +211,43 @@ class _Counted:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Normalise each archive named in ``archives.path``; returns (path, index_path, n_records)."""
+    """Normalise each archive named in ``archives.path``; returns (source, path, index_path, n_records, error)."""
+
+    def one(source_path: str) -> tuple:
+        system, root = _open(folder)
+        name = source_path.rpartition("/")[2].removesuffix(".warc.gz") + f"-{_attempt()}"
+        from_system, from_path = _open(source_path)
+        try:
+            with from_system.open_input_stream(from_path, compression=None) as source, system.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as target:
+                index = split_members(source, _Counted(target))
+        except (EOFError, KeyError, ValueError, zlib.error) as error:
+            system.delete_file(f"{root}/{name}.warc.gz")
+            return source_path, None, None, 0, f"{type(error).__name__}: {error}"
+        lines = "".join(f"{offset} {length} {record}\n" for offset, length, record in index)
+        with system.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
+            out.write(lines.encode())
+        return source_path, f"{folder}/{name}.warc.gz", f"{folder}/{name}.idx", len(index), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
+        names = ["source", "path", "index_path", "n_records", "error"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                name = path.rpartition("/")[2].removesuffix(".warc.gz") + f"-{_attempt()}"
-                from_system, from_path = _open(path)
-                with from_system.open_input_stream(from_path, compression=None) as source, system.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as target:
-                    index = split_members(source, _Counted(target))
-                lines = "".join(f"{offset} {length} {record}\n" for offset, length, record in index)
-                with system.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
-                    out.write(lines.encode())
-                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.warc.gz"], "index_path": [f"{folder}/{name}.idx"], "n_records": pa.array([len(index)], pa.int64())})
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one(path), kinds, strict=True)], names)
 
-    return archives.select("path").mapInArrow(run, "path string, index_path string, n_records long")
+    return archives.select("path").mapInArrow(run, "source string, path string, index_path string, n_records long, error string")
 
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
 def read_records(members: DataFrame) -> DataFrame:
-    """The records of normalised archives, by their indexes; revisits have no payload of their own."""
+    """The records of normalised archives, by their indexes; revisits have no payload of their own.
+
+    A response's length and digest are those of the body that was read; a header that says otherwise is an error.
+    """
     number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
@@ -243,7 +268,10 @@ def read_records(members: DataFrame) -> DataFrame:
                         head, _, rest = gzip.decompress(f.read(int(length))).partition(b"\r\n\r\n")
                         h = _headers(head)
                         body = rest[: int(h["content-length"])]
-                        rows.append((number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], body, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), number(h["warc-refers-to"]) if "warc-refers-to" in h else None))
+                        told = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")
+                        if h["warc-type"] == "response" and told != (found := (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())):
+                            raise ValueError(f"{own}: a payload was read back as {found}, but written as {told}")
+                        rows.append((number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], body, *told, number(h["warc-refers-to"]) if "warc-refers-to" in h else None))
                         size += len(body)
                         if size >= 8 << 20 or len(rows) >= 512:
                             yield made(rows)
@@ -254,11 +282,20 @@ def read_records(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, RECORD)
 
 
+def _dealt(archives: DataFrame) -> DataFrame:
+    """The rows of a written table of archives over as many tasks, or as many as keep the cluster busy."""
+    spark = archives.sparkSession
+    tasks = max(TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return archives.repartitionByRange(max(1, min(archives.count(), tasks)), "path")
+
+
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write ``pages`` as archives, normalise these and read them back."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     whole = written(write_archives(classified(pages, least), f"{folder}/whole"), "archives")
-    spread = whole.repartition("path")
-    members = written(normalise(spread, f"{folder}/members"), "members")
-    return read_records(members.repartition("path"))
+    members = written(normalise(_dealt(whole), f"{folder}/members"), "members")
+    broken = members.where("error is not null").first()
+    if broken:
+        raise ValueError(f"{broken.source}: {broken.error}")
+    return read_records(_dealt(members))

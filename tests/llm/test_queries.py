@@ -11,7 +11,7 @@ import sentencepiece
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from graphloom.llm import line_chunks, ordinal_classifier, quality_rules, simhash_windows
+from graphloom.llm import line_chunks, ordinal_classifier, quality_rules, simhash_windows, skew
 from graphloom.llm.queries import SENTENCE_MODEL
 
 #: Clashing names of extra columns.
@@ -177,6 +177,49 @@ def test_decontaminate_finds_near_passages(spark):
     assert sorted(r.doc_id for r in simhash_windows.clean(docs, items).collect()) == [2, 3]
 
 
+def brute_windows(docs, items, least=0.8):
+    """(doc, item) -> the greatest similarity of any window of the document, of the item's length, to the item."""
+    bags = lambda t: [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", (t or "").lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for item, text in items:
+        want = grams(bags(text))
+        if not want:
+            continue
+        count = Counter(want)
+        for doc, body in docs:
+            have, best = grams(bags(body)), 0.0
+            if not set(have) & set(want):
+                continue
+            for start in range(max(1, len(have) - len(want) + 1)):
+                window = Counter(have[start : start + len(want)])
+                best = max(best, sum((window & count).values()) / sum((window | count).values()))
+            if best >= least:
+                out[doc, item] = best
+    return out
+
+
+def test_decontaminate_against_all_windows(spark):
+    """Every window of every document, on given documents and on passages with edits, repeats and gaps."""
+    sf, rng = "/root/testdata/sf0.001", __import__("random").Random(4)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    passages = [w for _, t in items if t and len(w := t.split()) >= 20]
+    for i in range(500):
+        words = list(passages[i % len(passages)])
+        for _ in range(rng.randint(0, max(1, len(words) // 25))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = ["edit"] * rng.randint(0, 2)
+        docs.append((10_000 + i, " ".join(rng.choices("pre fix words of any kind".split(), k=rng.randint(0, 9)) + words + words[: rng.randint(0, 9)])))
+    want = brute_windows(docs, items)
+    got = simhash_windows.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.similarity for r in got.collect()}
+    near = {k: v for k, v in want.items() if v < 1}
+    assert len(near) > 40 and set(found) <= set(want)
+    assert sum(abs(found.get(k, 0) - v) < 1e-9 for k, v in near.items()) >= 0.9 * len(near)
+    assert all(found[k] == 1 for k, v in want.items() if v == 1)
+
+
 def test_held_out_grades(spark):
     """Fitted on even documents, judged on odd ones."""
     sf = "/root/testdata/sf0.01"
@@ -189,6 +232,8 @@ def test_held_out_grades(spark):
     clean = [r.tail_1 for r in held if r.toxic == 0]
     above = sum((a > b) + 0.5 * (a == b) for a in clean for b in toxic) / (len(clean) * len(toxic))
     assert above > 0.8
+    usual = [sorted(r.expected_grade for r in held if (0 if r.toxic else 1 if r.quality == 0 else 2) == g) for g in range(3)]
+    assert usual[0][len(usual[0]) // 2] < usual[1][len(usual[1]) // 2] < usual[2][len(usual[2]) // 2]
     assert all(r.tail_1 >= r.tail_2 and abs(r.tail_1 + r.tail_2 - r.expected_grade) < 1e-9 for r in held)
 
 
@@ -224,6 +269,19 @@ def test_line_chunks_keep_one(spark):
     assert found[3].text is None and found[4].text == "alone"
 
 
+def test_hot_chunks_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PER_TASK", 3)
+    body = "\n".join(f"line {i} of a passage" for i in range(40))
+    given = [(i, f"head {i}\n" + body) for i in range(30)] + [(50 + i, "\n".join(f"own {i} {j}" for j in range(9))) for i in range(4)]
+    plain, salted = [], []
+    for out, per in ((plain, 1000), (salted, 3)):
+        monkeypatch.setattr(skew, "PER_TASK", per)
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        for f in (line_chunks.dedup, line_chunks.dedup_passages):
+            out.append(sorted((r.doc_id, r.text, r.n_removed_) for r in f(docs).collect()))
+    assert plain == salted and all(n > 20 for i, _, n in plain[0] if 0 < i < 30) and all(n == 40 for i, _, n in plain[1] if 0 < i < 30)
+
+
 def test_short_passages_go_from_the_pipeline(spark):
     """Passages of two to five lines between other lines, by brute force."""
     given = {}
