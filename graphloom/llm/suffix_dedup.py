@@ -45,7 +45,7 @@ from graphloom.llm.suffix_sort import equal_suffixes
 
 LENGTH, GRAM, FINE = 50, 18, 36
 #: Documents of an anchor from which its strings are cut finer and salted.
-HOT = 4096
+HOT = 1000
 #: Passes over the live texts, each with its share of the keys, so that fewer pieces are in a shuffle at once.
 PASSES = 2
 #: Bytes of pieces that are sorted together.
