@@ -56,7 +56,7 @@ def mine(pages: DataFrame, materials: DataFrame) -> DataFrame:
     near = F.exists(_starts(F.col("low"), F.col("m")), lambda x: F.exists(_starts(F.col("low"), F.col("phrase")), lambda y: F.abs(x - y) <= NEAR))
     p, m = (F.concat(F.lit(r"\b\Q"), F.col(c), F.lit(r"\E\b")) for c in ("phrase", "m"))
     of = F.regexp_like("low", F.concat(p, F.lit(r"\s+of\s+"), m))
-    has = F.regexp_like("low", F.concat(m, F.lit(".*"), p))
+    has = F.regexp_like("low", F.concat(m, F.lit(r"\s+.*?"), p))
     both = both.where(near & (of | has))
     groups = [F.regexp_extract_all("sentence", F.lit(VALUE_UNIT), F.lit(g)) for g in (1, 2, 3)]
     found = both.select("page_id", "no", "material", "property", F.trim("sentence").alias("context"), F.explode_outer(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("v", "s", "u"), strict=True)))).alias("hit"))

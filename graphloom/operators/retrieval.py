@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import is_generic, query_entities
-from graphloom.operators.graph import edge_weights, weighted_search
+from graphloom.functions.text import canonical_key, is_generic, query_entities
+from graphloom.operators.graph import small, weighted_search
+from graphloom.operators.steps import cut
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -17,14 +20,38 @@ def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def vector_top_each(vectors: DataFrame, asked: DataFrame, k: int, names: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score): the ``k`` nearest of each of the few queries ``asked`` (query_id, query), which are broadcast.
+
+    With ``names`` (id, name), of nodes with one canonical name only the best counts.
+    """
+    dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    scored = vectors.join(F.broadcast(asked)).select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    if names is None:
+        return top.select("query_id", "id", "score")
+    named = top.join(names.select("id", canonical_key(F.coalesce("name", F.lit(""))).alias("canon")), "id")
+    return named.groupBy("query_id", "canon").agg(F.min_by(F.struct("id", "score"), "place").alias("b")).select("query_id", "b.id", "b.score")
+
+
+def merged_seeds(*hits: DataFrame) -> DataFrame:
+    """(id, score): the best score of each node over the question's and its parts' hits."""
+    return reduce(DataFrame.unionByName, [h.select("id", "score") for h in hits]).groupBy("id").agg(F.max("score").alias("score"))
+
+
 def ranked(things: DataFrame, edges: DataFrame, vectors: DataFrame, question: str, query: list[float], k: int = 12, hops: int = 1) -> DataFrame:
     """The ``k`` best nodes by semantic, graph, lexical and evidence score."""
-    semantic = vector_top(vectors, query, 2 * k)
-    graph = weighted_search(edge_weights(edges, things), semantic, hops)
+    return ranked_from(things, cut(edges), cut(vector_top(vectors, query, 2 * k)), question, k, hops)
+
+
+def ranked_from(things: DataFrame, edges: DataFrame, semantic: DataFrame, question: str, k: int = 12, hops: int = 1) -> DataFrame:
+    """``ranked`` from given hits (id, score); ``edges`` and ``semantic`` are read several times."""
+    graph = weighted_search(edges, things, semantic.orderBy(F.desc("score"), "id").limit(2 * k), hops)
     both = semantic.select("id", F.col("score").alias("sem")).join(graph.select("id", F.col("score").alias("graph"), "depth"), "id", "full_outer")
-    both = both.na.fill({"sem": 0.0, "graph": 0.0, "depth": 0})
-    out = edges.groupBy(F.col("subject").alias("from")).agg(F.count("*").alias("out_degree"))
-    rows = things.join(both, "id").join(out, F.col("id") == F.col("from"), "left")
+    both = cut(both.na.fill({"sem": 0.0, "graph": 0.0, "depth": 0}))
+    out = edges.join(small(both.select(F.col("id").alias("from"))), F.col("subject") == F.col("from")).groupBy("from").agg(F.count("*").alias("out_degree"))
+    rows = things.join(small(both), "id").join(out, F.col("id") == F.col("from"), "left")
     entities = query_entities(F.lit(question))
     text = F.lower(F.concat_ws(" ", "name", "description"))
     lexical = F.sqrt(F.size(F.filter(entities, lambda e: F.contains(text, e)))) / F.greatest(F.lit(1), F.size(entities))

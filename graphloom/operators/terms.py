@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.similarity import sequence_udf
 from graphloom.functions.text import importance, normalize_term
 
 
@@ -37,3 +38,52 @@ def merge_mentions(mentions: DataFrame) -> DataFrame:
         F.col("spots.paper").alias("source_papers"),
         importance(occurrences, papers).alias("importance"),
     )
+
+
+def filled_content(mentions: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, columns): per term the first value that isn't empty, among its first mention's and those of mentions with ontology data (``chebi``)."""
+    keyed = mentions.where(F.trim("term") != "").withColumn("key", normalize_term(F.col("term")))
+    first = keyed.groupBy(F.col("key").alias("k")).agg(F.min("ordinal").alias("first_ordinal"))
+    rows = keyed.join(first, F.col("key") == F.col("k")).where((F.col("ordinal") == F.col("first_ordinal")) | (F.coalesce("chebi", F.lit("")) != ""))
+    return rows.groupBy("key").agg(*(F.min_by(F.when(F.coalesce(c, F.lit("")) != "", F.col(c)), F.when(F.coalesce(c, F.lit("")) != "", F.col("ordinal"))).alias(c) for c in columns))
+
+
+def merged_relations(mentions: DataFrame) -> DataFrame:
+    """(key, relation, related_term, verified): each relation of a term once, as first said, from mentions with an array ``relations``."""
+    each = mentions.where(F.trim("term") != "").select(normalize_term(F.col("term")).alias("key"), "ordinal", F.posexplode("relations").alias("place", "r"))
+    return each.groupBy("key", "r.relation", "r.related_term").agg(F.min_by("r.verified", F.struct("ordinal", "place")).alias("verified"))
+
+
+def attached_properties(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, property, value, unit, uncertainty, context, verified): normalised properties of known materials, each (property, value, unit, context) once."""
+    known = terms.select("key").distinct()
+    rows = found.withColumn("key", normalize_term(F.col("material"))).join(known, "key", "left_semi")
+    same = ["key", "property", F.col("normalized_value").alias("value"), F.col("normalized_unit").alias("unit"), "context"]
+    return rows.groupBy(*same).agg(F.min_by(F.struct(F.col("uncertainty_value").alias("u"), (~F.col("unit_conversion_failed")).alias("ok")), "ordinal").alias("f")).select(
+        "key", "property", "value", "unit", F.col("f.u").alias("uncertainty"), "context", F.col("f.ok").alias("verified")
+    )
+
+
+def older_merge(mentions: DataFrame) -> DataFrame:
+    """(key, pages, source_papers, total_occurrences, paper_count): pages and papers without repeats, each on their own; pages in order, papers as first seen."""
+    keyed = mentions.where(F.trim("term") != "").withColumn("key", normalize_term(F.col("term")))
+    pages = keyed.groupBy("key").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.count("*").alias("total_occurrences"))
+    seen = keyed.groupBy("key", "paper").agg(F.min("ordinal").alias("at")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "paper"))).alias("seen"))
+    return pages.join(seen, "key").select("key", "pages", F.col("seen.paper").alias("source_papers"), "total_occurrences", F.size("seen").cast("long").alias("paper_count"))
+
+
+def run_counters(pages: DataFrame, mentions: DataFrame) -> DataFrame:
+    """One row: files, pages, pages with terms and different terms."""
+    read = pages.agg(F.countDistinct("paper").alias("files"), F.count("*").alias("pages"))
+    named = mentions.where(F.trim("term") != "")
+    found = named.agg(F.countDistinct("paper", "page").alias("pages_with_terms"), F.countDistinct(normalize_term(F.col("term"))).alias("unique_terms"))
+    return read.join(found)
+
+
+def first_like(mentions: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
+    """(term, match): the first known name (name, ordinal) whose matching blocks cover more than ``least`` of both; names meet by their first letter, different ones only."""
+    asked = mentions.select(normalize_term(F.col("term")).alias("term")).distinct().withColumn("b", F.left("term", F.lit(1)))
+    names = known.select(normalize_term(F.col("name")).alias("name"), "ordinal").groupBy("name").agg(F.min("ordinal").alias("ordinal")).withColumn("b", F.left("name", F.lit(1)))
+    # The ratio can't pass ``least`` where the lengths are further apart than this.
+    apart = F.abs(F.length("term") - F.length("name")) <= (1 - least) / least * F.least(F.length("term"), F.length("name")) * 2
+    return asked.join(names, "b").where(apart).where(sequence_udf("term", "name") > least).groupBy("term").agg(F.min_by("name", "ordinal").alias("match"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import units
-from graphloom.operators import graph, metrics, properties, retrieval, terms, years
+from graphloom.functions.similarity import partial_ratio
+from graphloom.operators import checkpoints, graph, metrics, properties, retrieval, terms, years
 
 QUESTION = "Which small green device, or part, contains steel?"
 
@@ -28,7 +29,7 @@ def things(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplied = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.lit("rel:suppz").alias("predicate"), F.concat(F.lit("supplier:"), "l_suppkey").alias("object")).distinct()
+    supplied = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.lit("rel:SUPPLIED_BY").alias("predicate"), F.concat(F.lit("supplier:"), "l_suppkey").alias("object")).distinct()
     lives = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("subject"), F.lit("rel:RELATED_TO").alias("predicate"), F.concat(F.lit("nation:"), "s_nationkey").alias("object"))
     return supplied.unionByName(lives)
 
@@ -64,7 +65,7 @@ def graph_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([("part:1",), ("part:2",)], "id string")
+    seeds = spark.range(1, 3).select(F.concat(F.lit("part:"), "id").alias("id"))
     return graph.k_hop(edges(spark, sf_dir), seeds, 4)
 
 
@@ -165,14 +166,15 @@ def best_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest run of each model."""
-    return _runs(spark, sf_dir)[0].groupBy("model").agg(F.max("papers").alias("papers"))
+    """The largest run of each model, with its figures."""
+    runs = metrics.structure(*_whole_runs(spark, sf_dir))
+    return checkpoints.last_run(runs).select("model", "papers", "entities", "relations")
 
 
 QUERIES = {f.__name__: f for f in [retrieve_ranked, vector_top, context_budget, graph_degree, graph_strong, graph_k_hop, graph_things, graph_associations, schema_closure, merge_terms, usable_pages, term_keys, snippets, mine_properties, normalize_units, graph_structure, graph_growth, graph_structure_whole, graph_growth_whole, year_votes, best_per_node, last_runs]}
 
 _EDGES = """edges as (
-  select distinct 'part:' || l_partkey as subject, 'rel:suppz' as predicate, 'supplier:' || l_suppkey as object from lineitem
+  select distinct 'part:' || l_partkey as subject, 'rel:SUPPLIED_BY' as predicate, 'supplier:' || l_suppkey as object from lineitem
   union all select 'supplier:' || s_suppkey, 'rel:RELATED_TO', 'nation:' || s_nationkey from supplier
 )"""
 _VECTOR = """hits as (
@@ -194,7 +196,7 @@ with {_EDGES}, {_VECTOR}, names as (
 ), damp as (
   select *, case when regexp_matches(name, '(generic|material|property|parameter|technique|process|device)s?$', 'i') then 0.8 else 1.0 end as damp from names
 ), w as (
-  select subject, object, (case when predicate = 'rel:suppz' then 1.5 else 2.2 end) * coalesce(damp, 1.0) as weight from edges left join damp on object = id
+  select subject, object, (case when predicate = 'rel:SUPPLIED_BY' then 1.5 + {partial_ratio('rel:SUPPLIED_BY', 'RELATED_TO') / 100!r} else 2.2 end) * coalesce(damp, 1.0) as weight from edges left join damp on object = id
 ), h1 as (
   select object as id, max(score * weight) as score from hits join w on id = subject group by object
 ), h2 as (
@@ -283,10 +285,13 @@ from c left join n on n.model = c.model and n.papers = c.earlier
 """,
     "year_votes": "select o_orderkey as doc_id, cast(year(o_orderdate) as int) as year from orders",
     "best_per_node": "select user_id, max(value) as score from events group by user_id",
-    "last_runs": f"with {_RUNS} select model, max(papers) as papers from o group by model",
 }
 
 _WHOLE_RUNS = """o as (
   select o_orderpriority as model, year(o_orderdate) - 1900 as papers, 'c' || o_custkey as id, o_orderstatus as predicate, 'c' || o_orderkey as object from orders
 )"""
+ORACLE_SQL["last_runs"] = f"""
+with {_WHOLE_RUNS}, r as (select model, papers, count(distinct id) as entities, count(distinct (id, predicate, object)) as relations from o group by all)
+select * from r qualify row_number() over (partition by model order by papers desc) = 1
+"""
 ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(_RUNS, _WHOLE_RUNS) for name in ("graph_structure", "graph_growth")}

@@ -64,3 +64,67 @@ def append_gaps(gaps: DataFrame, path: str) -> None:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("question"))
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o) of N-Triples lines; literals without quotes, language and type."""
+    line = spark.read.text(path).where(F.trim("value").rlike(r"^[<_].*\.$"))
+    part = lambda g: F.regexp_extract("value", r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")', g)
+    bare = lambda x: F.regexp_replace(x, r'^[<"]|[>"]$', "")
+    return line.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), bare(part(3)).alias("o"))
+
+
+def write_triples(triples: DataFrame, path: str) -> None:
+    """N-Triples; objects that are no IRIs are written as literals."""
+    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    obj = F.when(F.col("o").rlike(r"^(https?://|urn:)\S+$"), iri(F.col("o"))).otherwise(quoted)
+    triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), obj, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper, path, length) of the PDF files of a folder, whatever the case of their suffix; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.lower("path").endswith(".pdf")).select(F.substring_index("path", "/", -1).alias("paper"), "path", "length")
+
+
+def whole_texts(pages: DataFrame) -> DataFrame:
+    """(paper, text): each paper's pages (paper, page, text) in order, joined by newlines."""
+    parts = pages.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("parts"))
+    return parts.select("paper", F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "\n").alias("text"))
+
+
+def write_terms(terms: DataFrame, path: str) -> None:
+    """Parquet, with empty lists of properties where there are none."""
+    kind = dict(terms.dtypes).get("properties", "array<string>")
+    filled = F.coalesce(F.col("properties") if "properties" in terms.columns else F.lit(None), F.array().cast(kind))
+    terms.withColumn("properties", filled).write.mode("overwrite").parquet(path)
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, as for metrics and for years of papers."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_grouped(rows: DataFrame, key: str, path: str) -> None:
+    """JSON lines, one a key with its rows in a list."""
+    rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != key)))).alias("rows")).write.mode("overwrite").json(path)
+
+
+def append_answers(answers: DataFrame, path: str) -> None:
+    """A batch of answers to questions, appended as JSON lines."""
+    answers.write.mode("append").json(path)
+
+
+def read_schema(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, slots) of a LinkML schema in YAML: (name, description, is_a, pos) and (name, description, is_a, domain, range, pos)."""
+    import yaml
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    given = yaml.safe_load(text) or {}
+
+    def made(kind: str, fields: list[str]) -> DataFrame:
+        rows = [(n, *((d or {}).get(f) for f in fields), i) for i, (n, d) in enumerate((given.get(kind) or {}).items())]
+        return spark.createDataFrame(rows, f"name string, {', '.join(f'{f} string' for f in fields)}, pos int")
+
+    return made("classes", ["description", "is_a"]), made("slots", ["description", "is_a", "domain", "range"])

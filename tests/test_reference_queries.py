@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
+from graphloom.plans import more
 from graphloom.plans import queries as plans
 
+QUERIES, ORACLE_SQL = plans.QUERIES | more.QUERIES, plans.ORACLE_SQL | more.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -24,13 +26,13 @@ def plain(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) and len(QUERIES) == len(plans.QUERIES) + len(more.QUERIES)
 
 
-@pytest.mark.parametrize("name", plans.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_same_rows(spark, duck, name):
-    df = plans.QUERIES[name](spark, SF)
-    want = duck.execute(plans.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), columns)
