@@ -70,15 +70,15 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of N-Triples lines; literals without quotes, language and type."""
     line = spark.read.text(path).where(F.trim("value").rlike(r"^[<_].*\.$"))
     part = lambda g: F.regexp_extract("value", r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")', g)
-    bare = lambda x: F.regexp_replace(x, r'^[<"]|[>"]$', "")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r'^[<"]|[>"]$', ""), r'\\(["\\])', "$1")
     return line.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), bare(part(3)).alias("o"))
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
     """N-Triples; objects that are no IRIs are written as literals."""
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    iri = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     quoted = F.concat(F.lit('"'), F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    obj = F.when(F.col("o").rlike(r"^(https?://|urn:)\S+$"), iri(F.col("o"))).otherwise(quoted)
+    obj = F.when(F.col("o").rlike(r"^(https?://|urn:|_:)\S+$"), iri(F.col("o"))).otherwise(quoted)
     triples.select(F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), obj, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
