@@ -17,9 +17,11 @@ def vote(texts: DataFrame, latest: int, key: str = "doc_id", text: str = "text")
     don't cross lines, so a year inside the 40 characters after another one has
     its plain vote only.
     """
-    plain = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"({YEAR})"), F.lit(1))).alias("year"), F.lit(1).alias("w"))
-    around = [F.regexp_extract_all(F.col(text), F.lit(rf"(.{{0,40}})({YEAR})(.{{0,40}})"), F.lit(g)) for g in (0, 2)]
-    near = texts.select(key, F.explode(F.arrays_zip(around[0].alias("span"), around[1].alias("year"))).alias("v")).select(key, "v.year", "v.span")
+    lines = texts.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(YEAR))
+    plain = lines.select(key, F.explode(F.regexp_extract_all("line", F.lit(rf"({YEAR})"), F.lit(1))).alias("year"), F.lit(1).alias("w"))
+    around = rf"(.{{0,40}})({YEAR})(.{{0,40}})"
+    near = lines.select(key, F.explode(F.regexp_extract_all("line", F.lit(around), F.lit(0))).alias("span"))
+    near = near.select(key, F.regexp_extract("span", around, 2).alias("year"), "span")
     boost = sum((F.when(F.col("span").rlike(f"(?i){words}"), 2).otherwise(0) for words in NEAR_WORDS), F.lit(0))
     votes = plain.unionByName(near.select(key, "year", boost.alias("w"))).withColumn("year", F.col("year").cast("int"))
     return votes.where(F.col("year").between(1900, latest)).groupBy(key, "year").agg(F.sum("w").alias("w")).groupBy(key).agg(F.max(F.struct("w", "year"))["year"].alias("year"))

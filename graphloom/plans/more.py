@@ -29,7 +29,7 @@ SENTENCES = [
 
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document, the snippet about its last word."""
-    last = F.regexp_extract("text", r"(\S+)\s*$", 1)
+    last = F.coalesce(F.try_element_at(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.lit(-1)), F.lit(""))
     return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.snippet(F.col("text"), last).alias("snippet"))
 
 
