@@ -19,16 +19,18 @@ keeps its empty parts. Nothing is lost at any step.
 Equal sets are one class, joined through its least document. A bucket is the
 sets that agree in a sketch. Buckets of two or three are known from the one
 aggregate that finds them (count, least, greatest, XOR of ids); only larger
-ones are joined again. In these each set is paired with the least, then, as
-long as a bucket holds several components, with the greatest, and with sets
-that a hash of the bucket chooses, another in each bucket, which joins most of
-a large group. Sets of a bucket that are then still in different components are
-paired completely, so no link between components is missed; links inside a
-component can't change it. No step collects ids, links or groups.
-
-A second sketch of ``BITS`` bits, one flipped by each shingle, goes along with
-pairs: its Hamming distance is at most the symmetric difference, so pairs in
-which it is too great are no links, and their sets aren't fetched.
+ones are joined again. Of these each set is paired with one other set, the
+least of all its buckets, then, for a few rounds and as long as its buckets
+hold several components, with the one that a hash of a bucket chooses. This
+joins most of a large group with one pair a set and round. Sets of a bucket
+that are then still in different components are paired completely, so no link
+between components is missed; links inside a component can't change it. No
+step collects ids, links or groups.
+
+A second sketch, of at least two bits a shingle, of which each shingle flips
+one, is compared before sets are fetched: its Hamming distance is at most the
+symmetric difference, so pairs in which it is too great are no links. Sketches
+of two lengths are compared after the longer one is folded.
 
 Null and empty texts, and texts without words, have no shingles and link with
 nothing. Texts with fewer words than k have one shingle, all their words. Very
@@ -42,8 +44,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,8 @@ from graphloom.llm.store import Scratch, written
 
 SEEDS = 4
 GROWTH = 2
-BITS = 1024
+#: Bits of the least and greatest bit sketch.
+BITS, MOST_BITS = 1024, 1 << 20
 #: Rounds of hashed pivots before sets in different components are paired completely.
 PIVOT_ROUNDS = 3
 #: Copies from which a class is joined back by broadcast, and the most such classes that are (32 bytes each).
@@ -129,16 +131,22 @@ def _round_up(n: int) -> int:
 
 
 def bit_sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parities of the shingles that fall to each of ``BITS`` bits, as longs."""
-    odd = np.bincount((tv.mix(hashes ^ tv.STEP) % tv.U64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """The parities of the shingles that fall to each bit, as longs; a power of two of bits, twice the shingles or more."""
+    bits = min(max(BITS, 1 << (2 * len(hashes) - 1).bit_length()), MOST_BITS) if len(hashes) else BITS
+    odd = np.bincount((tv.mix(hashes ^ tv.STEP) % tv.U64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(tv.U64)
 
 
 def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
     """Whether two sets, each (name of its size, name of its bit sketch), can reach the threshold."""
-    flipped = reduce(add, (F.bit_count(F.get(a[1], i).bitwiseXOR(F.get(b[1], i))) for i in range(BITS // 64)))
+    size_a, size_b = F.col(a[0]), F.col(b[0])
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    level = lambda x, y: F.when(F.size(x) > F.size(y), fold(F.col(x))).otherwise(F.col(x))
+    flipped = F.aggregate(F.zip_with(level(a[1], b[1]), level(b[1], a[1]), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
     # 100 * shared >= percent * union, in terms of the symmetric difference.
-    return flipped.cast("long") * (100 + percent) <= (F.col(a[0]) + F.col(b[0])) * (100 - percent)
+    near = flipped.cast("long") * (100 + percent) <= (size_a + size_b) * (100 - percent)
+    return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent) & F.coalesce(near, F.lit(True))
 
 
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -232,8 +240,8 @@ def _components_of(sets: DataFrame, given: DataFrame, base: DataFrame, k: int, p
     every = sets.select("doc", F.explode("keys").alias("key"))
     met = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"), F.bit_xor("doc").alias("odd")).where("low < high")
     met = tables.write(met, "buckets")
-    large = met.where("n > 3").select(F.col("key").alias("met_key"), "low", "high")
-    crowd = tables.write(every.join(large, F.col("key") == F.col("met_key")).select("key", "doc", "low", "high"), "crowd")
+    large = met.where("n > 3").select(F.col("key").alias("met_key"), "low")
+    crowd = tables.write(every.join(large, F.col("key") == F.col("met_key")).select("key", "doc", "low"), "crowd")
 
     def linked(now: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """Components after the pairs (x, y) that link; those within a component need no look."""
@@ -252,20 +260,19 @@ def _components_of(sets: DataFrame, given: DataFrame, base: DataFrame, k: int, p
     few = met.where("n <= 3").select("low", "high", F.when(F.col("n") == 3, third).alias("mid"))
     ends = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
     few = few.select(F.inline(F.array(ends("low", "high"), ends("low", "mid"), ends("mid", "high")))).where("x is not null and y is not null")
-    found = linked(None, few.union(crowd.select(F.col("low").alias("x"), F.col("doc").alias("y"))))
-    for turn in range(-1, PIVOT_ROUNDS):
+    least = crowd.groupBy("doc").agg(F.min("low").alias("y")).select(F.col("doc").alias("x"), "y")
+    found = linked(None, few.union(least))
+    for turn in range(PIVOT_ROUNDS):
         mixed = _mixed(crowd, found, tables)
         if mixed.isEmpty():
             return found
-        if turn < 0:
-            pivots = mixed.select(F.col("doc").alias("x"), F.col("high").alias("y"))
-        else:
-            chosen = mixed.groupBy(F.col("key").alias("pivot_key")).agg(F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), "doc", "c")).alias("pivot"))
-            pivots = mixed.join(chosen, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c"))).select(F.col("doc").alias("x"), F.col("pivot.doc").alias("y"))
-        found = linked(found, pivots)
-        crowd = mixed.select("key", "doc", "low", "high")
-    # What is left is paired completely across components; the bit sketches rule most pairs out inside the join.
-    mixed = tables.write(_mixed(crowd, found, tables).join(marks, "doc"), "marked")
+        chosen = mixed.groupBy(F.col("key").alias("pivot_key")).agg(F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), "doc", "c")).alias("pivot"))
+        pivots = mixed.join(chosen, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c")))
+        found = linked(found, pivots.groupBy(F.col("doc").alias("x")).agg(F.min_by("pivot.doc", F.xxhash64("key", F.lit(turn))).alias("y")))
+        crowd = mixed.select("key", "doc")
+    # What is left is paired completely across components; short bit sketches rule most pairs out inside the join.
+    short = marks.withColumn("bits", F.when(F.size("bits") <= BITS // 64, F.col("bits")))
+    mixed = tables.write(_mixed(crowd, found, tables).join(short, "doc"), "marked")
     other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
     apart = (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))
     across = mixed.join(other, apart & _may_link(("n_shingles", "bits"), ("nb", "bits_b"), percent)).select(F.col("doc").alias("x"), F.col("b").alias("y")).distinct()
@@ -288,7 +295,7 @@ def _rows(sizes: DataFrame, root: DataFrame, doc_id: str) -> DataFrame:
 
 def _mixed(crowd: DataFrame, found: DataFrame, tables: Scratch) -> DataFrame:
     """The rows of ``crowd`` in buckets with sets of several components ``c``."""
-    labelled = crowd.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "low", "high", F.coalesce("component", "doc").alias("c"))
+    labelled = crowd.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
     labelled = tables.write(labelled, "labelled")
     spread = labelled.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select(F.col("key").alias("mixed"))
     return tables.write(labelled.join(spread, F.col("key") == F.col("mixed"), "left_semi"), "mixed")
