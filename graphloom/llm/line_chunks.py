@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrays import let
 from graphloom.llm.skew import hot_keys, salted_join
-from graphloom.llm.store import written
+from graphloom.llm.store import Scratch, written
 
 WINDOW, DIVISOR, LEAST_LINES = 3, 4, 2
 #: Factors of the rolling hash, of the line itself and those before it.
@@ -84,7 +84,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     every = many.select("key_", "text_hash_", F.inline(F.transform(chunks(F.col("text_")), lambda c: F.struct(c["no"].alias("no"), c["n_solid"].alias("n_solid"), F.xxhash64(c["body"]).alias("chunk")))))
     every = every.where(F.col("n_solid") >= LEAST_LINES).select("key_", "text_hash_", "no", "chunk")
     found = every.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
-    repeated = written(found.where("first <> last").select("chunk", "first", "copies"), "repeated")
+    tables = Scratch(docs.sparkSession)
+    repeated = tables.write(found.where("first <> last").select("chunk", "first", "copies"), "repeated")
     hot = hot_keys(repeated, "chunk", "copies")
     flagged = salted_join(every, repeated.drop("copies"), "chunk", ["key_", "text_hash_", "no"], hot).select("key_", "text_hash_", F.struct("no", "chunk", (place == F.col("first")).alias("is_first")).alias("mark"))
     marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.collect_set("mark").alias("marks"))
@@ -93,10 +94,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     texts = small.join(marks, (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash")))
     wanted = let(chunks(F.col("text_")), lambda all_: F.transform(F.col("marks"), lambda m: F.struct(m["chunk"].alias("chunk"), m["is_first"].alias("is_first"), m["no"].alias("no"), F.get(all_, m["no"])["n_lines"].alias("n_lines"), F.get(all_, m["no"])["body"].alias("body"))))
     bodies = texts.select("key_", "text_hash_", F.inline(wanted))
-    bodies = written(bodies, "bodies")
+    bodies = tables.write(bodies, "bodies")
     firsts = bodies.where("is_first").groupBy("chunk").agg(F.min("body").alias("first_body"))
     equal = salted_join(bodies.where("not is_first"), firsts, "chunk", ["key_", "text_hash_", "no"], hot).where(F.col("body") == F.col("first_body"))
     gone = equal.groupBy(F.col("key_").alias("gone_key"), F.col("text_hash_").alias("gone_hash")).agg(F.collect_set(F.struct("no", "n_lines")).alias("gone"))
+    gone = written(gone, "gone")
+    tables.drop("repeated", "bodies")
 
     out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     numbers = F.transform("gone", lambda g: g["no"])
@@ -139,7 +142,8 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     many = small.where(F.instr("text_", "\n") > 0)
     every = many.select("key_", "text_hash_", F.inline(F.transform(pairs(F.col("text_")), lambda p: F.struct(p["start"].alias("start"), F.xxhash64(p["body"]).alias("pair")))))
     found = every.groupBy("pair").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
-    repeated = written(found.where("first <> last").select("pair", "first", "copies"), "repeated")
+    tables = Scratch(docs.sparkSession)
+    repeated = tables.write(found.where("first <> last").select("pair", "first", "copies"), "repeated")
     hot = hot_keys(repeated, "pair", "copies")
     flagged = salted_join(every, repeated.drop("copies"), "pair", ["key_", "text_hash_", "start"], hot).select("key_", "text_hash_", "start", "pair", (place == F.col("first")).alias("is_first"))
     marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("pair", "is_first")))).alias("marks"))
@@ -147,10 +151,12 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = small.join(marks, (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash"))).dropDuplicates(["key_", "text_hash_"])
     bodies = texts.select("key_", "text_hash_", "marks", F.inline(pairs(F.col("text_")))).withColumn("mark", F.col("marks")[F.col("start")]).where("mark is not null")
     bodies = bodies.select("key_", "text_hash_", "start", "end", "body", "mark.pair", "mark.is_first")
-    bodies = written(bodies, "bodies")
+    bodies = tables.write(bodies, "bodies")
     firsts = bodies.where("is_first").groupBy("pair").agg(F.min("body").alias("first_body"))
     equal = salted_join(bodies.where("not is_first"), firsts, "pair", ["key_", "text_hash_", "start"], hot).where(F.col("body") == F.col("first_body"))
     gone = equal.groupBy(F.col("key_").alias("gone_key"), F.col("text_hash_").alias("gone_hash")).agg(F.flatten(F.collect_set(F.sequence("start", "end"))).alias("gone"))
+    gone = written(gone, "gone")
+    tables.drop("repeated", "bodies")
 
     out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     lines = F.split(F.coalesce("text_", F.lit("")), "\n", -1)
