@@ -11,6 +11,7 @@ Chunks meet by a 64-bit hash first; only the repeated ones' texts are then
 shuffled and compared byte by byte, so a clash of hashes removes nothing.
 Counts are combined before each shuffle, and joins on frequent chunks are
 salted, so a chunk that a third of the documents hold is dealt over many tasks.
+Texts meet their marks by merge joins at every size: both sides grow with the corpus.
 
 Short passages seldom hold a whole chunk. ``dedup_passages`` finds those too: it
 compares each line with the next one that isn't blank, wherever the two stand.
@@ -91,7 +92,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.collect_set("mark").alias("marks"))
 
     # Their bytes: one text a document id, so repeated rows are compared once.
-    texts = small.join(marks, (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash")))
+    texts = small.join(marks.hint("merge"), (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash")))
     wanted = let(chunks(F.col("text_")), lambda all_: F.transform(F.col("marks"), lambda m: F.struct(m["chunk"].alias("chunk"), m["is_first"].alias("is_first"), m["no"].alias("no"), F.get(all_, m["no"])["n_lines"].alias("n_lines"), F.get(all_, m["no"])["body"].alias("body"))))
     bodies = texts.select("key_", "text_hash_", F.inline(wanted))
     bodies = tables.write(bodies, "bodies")
@@ -101,7 +102,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     gone = written(gone, "gone")
     tables.drop("repeated", "bodies")
 
-    out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
+    out = base.join(gone.hint("merge"), (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     numbers = F.transform("gone", lambda g: g["no"])
     rest = let(chunks(F.col("text_")), lambda all_: F.array_join(F.transform(F.array_except(F.transform(all_, lambda c: c["no"]), numbers), lambda no: F.get(all_, no)["body"]), "\n"))
     return out.select(
@@ -148,7 +149,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     flagged = salted_join(every, repeated.drop("copies"), "pair", ["key_", "text_hash_", "start"], hot).select("key_", "text_hash_", "start", "pair", (place == F.col("first")).alias("is_first"))
     marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("pair", "is_first")))).alias("marks"))
 
-    texts = small.join(marks, (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash"))).dropDuplicates(["key_", "text_hash_"])
+    texts = small.join(marks.hint("merge"), (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash"))).dropDuplicates(["key_", "text_hash_"])
     bodies = texts.select("key_", "text_hash_", "marks", F.inline(pairs(F.col("text_")))).withColumn("mark", F.col("marks")[F.col("start")]).where("mark is not null")
     bodies = bodies.select("key_", "text_hash_", "start", "end", "body", "mark.pair", "mark.is_first")
     bodies = tables.write(bodies, "bodies")
@@ -158,7 +159,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     gone = written(gone, "gone")
     tables.drop("repeated", "bodies")
 
-    out = base.join(gone, (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
+    out = base.join(gone.hint("merge"), (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     lines = F.split(F.coalesce("text_", F.lit("")), "\n", -1)
     rest = let(lines, lambda rows: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("gone")), lambda i: F.get(rows, i)), "\n"))
     return out.select(
