@@ -71,3 +71,21 @@ def mine(pages: DataFrame, materials: DataFrame) -> DataFrame:
         "context",
         F.col("hit").isNotNull().alias("verified"),
     )
+
+
+def from_relations(terms: DataFrame) -> DataFrame:
+    """Rows without a value, of the measured_property relations of terms (term, relations); a null name counts as empty."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    said = terms.select(strip(F.coalesce("term", F.lit(""))).alias("material"), F.inline("relations")).where("relation = 'measured_property'")
+    name = F.coalesce("related_term", F.lit(""))
+    known = F.create_map(*(F.lit(x) for pair in KEYWORDS.items() for x in pair))
+    none = F.lit(None).cast("string")
+    return said.withColumn("raw", F.lower(strip(name))).select(
+        "material",
+        F.coalesce(F.try_element_at(known, F.col("raw")), F.replace("raw", F.lit(" "), F.lit("_"))).alias("property"),
+        none.alias("raw_value"),
+        none.alias("raw_unit"),
+        none.alias("uncertainty"),
+        F.concat(F.lit("measured_property:"), name).alias("context"),
+        F.coalesce("verified", F.lit(False)).alias("verified"),
+    )

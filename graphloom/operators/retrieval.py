@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.similarity import token_set_udf
 from graphloom.functions.text import canonical_key, is_generic, query_entities
 from graphloom.operators.graph import small, weighted_search
 from graphloom.operators.steps import cut
@@ -40,6 +41,18 @@ def merged_seeds(*hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [h.select("id", "score") for h in hits]).groupBy("id").agg(F.max("score").alias("score"))
 
 
+def reranked(hits: DataFrame, nodes: DataFrame, question: str, k: int = 3) -> DataFrame:
+    """(id, exact, fuzzy): of the best six times ``k`` hits (id, score), the ``k`` nodes whose name stands in the question, then those most like it.
+
+    The hits left to compare are at most six times ``k`` rows; ties go to the better hit.
+    """
+    near = hits.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(6 * k)
+    both = nodes.select("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("description", F.lit("")).alias("description")).join(F.broadcast(near), "id")
+    exact = F.contains(F.lit(f" {question.lower()} "), F.concat(F.lit(" "), F.lower("name"), F.lit(" "))).cast("int")
+    fuzzy = token_set_udf(F.lit(question), F.concat_ws(" ", "name", "description"))
+    return both.select("id", "score", exact.alias("exact"), fuzzy.alias("fuzzy")).orderBy(F.desc("exact"), F.desc("fuzzy"), F.desc("score"), "id").limit(k).drop("score")
+
+
 def ranked(things: DataFrame, edges: DataFrame, vectors: DataFrame, question: str, query: list[float], k: int = 12, hops: int = 1) -> DataFrame:
     """The ``k`` best nodes by semantic, graph, lexical and evidence score."""
     return ranked_from(things, cut(edges), cut(vector_top(vectors, query, 2 * k)), question, k, hops)

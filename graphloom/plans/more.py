@@ -233,6 +233,14 @@ def attached_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.attached_properties(known, found)
 
 
+def relation_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose measured properties are phrases that name one, or types that don't."""
+    said = F.when(F.col("p_partkey") % 3 == 0, " Band Gap").when(F.col("p_partkey") % 3 == 1, F.col("p_type"))
+    measured = F.struct(F.lit("measured_property").alias("relation"), said.alias("related_term"), F.when(F.col("p_size") > 9, F.col("p_size") > 25).alias("verified"))
+    other = F.struct(F.lit("made_by").alias("relation"), F.col("p_brand").alias("related_term"), F.lit(True).alias("verified"))
+    return properties.from_relations(_t(spark, sf_dir, "part").select(F.concat(F.col("p_name"), F.lit(" ")).alias("term"), F.array(measured, other).alias("relations")))
+
+
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "documents").select(F.col("source").alias("paper"), F.col("doc_id").alias("page"), "text")
     return terms.run_counters(pages, _mentions(spark, sf_dir))
@@ -296,7 +304,7 @@ def class_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skos.class_triples(skos.classes(_triples(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in [context_snippet, hinted_snippet, json_terms, gap_capture, question_parts, text_forms, prompts, whole_talks, year_guess, file_years, run_names, property_mentions, formula_checks, ontology_lookup, category_repair, relation_validity, xrefs_by_source, edges_by_kind, path_length, isolated, additive_search, multi_query_seeds, label_search, bucket_25, first_buckets, cumulative_checkpoint, filled_content, merged_relations, older_merge, attached_properties, run_counters, node_content, joined_evidence, answer_context, class_hierarchy, narrower_inversion, class_triples]}
+QUERIES = {f.__name__: f for f in [context_snippet, hinted_snippet, json_terms, gap_capture, question_parts, text_forms, prompts, whole_talks, year_guess, file_years, run_names, property_mentions, formula_checks, ontology_lookup, category_repair, relation_validity, xrefs_by_source, edges_by_kind, path_length, isolated, additive_search, multi_query_seeds, label_search, bucket_25, first_buckets, cumulative_checkpoint, filled_content, merged_relations, older_merge, attached_properties, relation_properties, run_counters, node_content, joined_evidence, answer_context, class_hierarchy, narrower_inversion, class_triples]}
 
 _SENT = "string_split(regexp_replace({}, '([.?!])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
 _RS, _OS, _SK = skos.RDF, skos.RDFS, skos.SKOS
@@ -468,6 +476,11 @@ join (select key, string_agg(paper, ',' order by o) as source_papers, count(*) a
     "attached_properties": """
 select lower(p_name) as key, p_type as property, case when p_size > 9 then p_size / 4 end as value, 'K' as unit, cast(0.5 as double) as uncertainty, p_brand as context, arg_min(p_size > 9, p_partkey) as verified
 from part where lower(p_name) in (select lower(p_name) from part where p_partkey % 2 = 0) group by all
+""",
+    "relation_properties": """
+with s as (select p_name, p_size, case p_partkey % 3 when 0 then ' Band Gap' when 1 then p_type else '' end as said from part)
+select p_name as material, replace(lower(trim(said)), ' ', '_') as property, cast(null as varchar) as raw_value, cast(null as varchar) as raw_unit, cast(null as varchar) as uncertainty,
+       'measured_property:' || said as context, p_size > 25 as verified from s
 """,
     "run_counters": f"""
 with {_MENTIONS} select (select count(distinct source) from documents) as files, (select count(*) from documents) as pages, count(distinct (paper, page)) as pages_with_terms, count(distinct key) as unique_terms from m

@@ -128,3 +128,16 @@ def test_vector_ties_and_names(spark):
     names = spark.createDataFrame([("a", "Tin!"), ("b", "tin"), ("c", "x")], "id string, name string")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query array<float>")
     assert sorted((r.id, r.score) for r in retrieval.vector_top_each(vectors, asked, 3, names).collect()) == [("a", 1.0), ("c", 0.5)]
+
+
+def test_reranked_against_sorting(spark):
+    question = "How hard is Silicon carbide under load"
+    nodes = [(f"n{i}", name, text) for i, (name, text) in enumerate([("silicon carbide", ""), ("carbide", "hard load"), ("steel", "How hard is it"), (None, None), ("Silicon", "a load"), ("glass", "soft")])]
+    hits = [("n0", 0.1), ("n1", 0.9), ("n2", 0.8), ("n2", 0.3), ("n3", 0.7), ("n4", 0.6), ("n5", 0.5)]
+    found = retrieval.reranked(spark.createDataFrame(hits, "id string, score double"), spark.createDataFrame(nodes, "id string, name string, description string"), question)
+    name, best = {n: (a or "", b or "") for n, a, b in nodes}, {}
+    for n, score in hits:
+        best[n] = max(score, best.get(n, 0))
+    key = {n: (int(f" {name[n][0].lower()} " in f" {question.lower()} "), similarity.token_set_ratio(question, " ".join(name[n])), best[n]) for n in best}
+    expected = sorted(key, key=key.get, reverse=True)[:3]
+    assert [(r.id, r.exact) for r in found.collect()] == [(n, key[n][0]) for n in expected]
