@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 over the corpus tables, and their SQL where it can express them."""
+"""The thin queries op1 to op13 over the corpus tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe_backtrack, chat_windows, line_chunks, ordinal_classifier, parity_join, quality_rules, simhash_windows, suffix_dedup, url_filter, warc_members
+from graphloom.llm import (
+    ball_kmeans, bpe_backtrack, chat_windows, html_template, line_chunks, ordinal_classifier, parity_join, quality_rules, simhash_windows, suffix_dedup, token_align, url_filter, warc_members,
+)
 from graphloom.llm.store import written
 
-SENTENCE_MODEL = "piece_bpe_32k.model"
+SENTENCE_MODEL, BYTE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+KMEANS = {"k": 8, "rounds": 10, "seed": 3, "dims": 64}
 #: Fixed values of the URL rules.
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -95,6 +98,24 @@ def op10_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_kmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), **KMEANS)
+    sha = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.withColumn("centroid", sha).withColumnRenamed("centroid", "centroid_sha256")
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    sha = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_align.corpus_alignment(docs, path(BYTE_MODEL), path(SENTENCE_MODEL), path(BYTE_RANKS), public_tokenizers.PATTERN, keep_text=False, digest=sha)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_parity_join": op1_parity_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -106,6 +127,9 @@ QUERIES = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_chat_windows": op9_chat_windows,
     "op10_warc_members": op10_warc_members,
+    "op11_html_template": op11_html_template,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_token_align": op13_token_align,
 }
 
 ORACLE_SQL = {
