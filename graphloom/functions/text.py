@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.expressions import let
+
 #: Fixed value: names that say little.
 GENERIC = r"(?i)(generic|material|property|parameter|technique|process|device)s?$"
 
@@ -30,8 +32,12 @@ def sentences(x: Column) -> Column:
 
 
 def snippet(page: Column, term: Column, words: int = 50) -> Column:
-    """First words of the first sentence that holds the term, else of the page."""
-    found = F.get(F.filter(sentences(page), lambda s: F.contains(F.lower(s), F.lower(term))), F.lit(0))
+    """First words of the first sentence that holds the term, else of the page.
+
+    The term is computed once a row, not once a sentence, so the time grows with
+    the length of the page whatever expression the term is.
+    """
+    found = let(F.lower(term), lambda t: F.get(F.filter(sentences(page), lambda s: F.contains(F.lower(s), t)), F.lit(0)))
     return F.array_join(F.slice(F.split(F.trim(F.coalesce(found, page)), r"\s+"), 1, words), " ")
 
 
@@ -77,10 +83,14 @@ def without_escapes(x: Column) -> Column:
 
 
 def terms_object(reply: Column) -> Column:
-    """The longest JSON object in a reply, nested up to three levels, that parses and has ``terms``; as text."""
-    flat = r"\{[^{}]*\}"
-    two = rf"\{{(?:[^{{}}]|{flat})*\}}"
-    three = rf"(?s)\{{(?:[^{{}}]|{two})*\}}"
+    """The longest JSON object in a reply, nested up to three levels, that parses and has ``terms``; as text.
+
+    Runs and groups are possessive: what they take never has to be given back,
+    and Java's matcher then loops where it would recurse once a character.
+    """
+    flat = r"\{[^{}]*+\}"
+    two = rf"\{{(?:[^{{}}]++|{flat})*+\}}"
+    three = rf"\{{(?:[^{{}}]++|{two})*+\}}"
     found = F.regexp_extract_all(reply, F.lit(f"({three})"), F.lit(1))
     ordered = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
     return F.get(F.filter(ordered, lambda x: F.get_json_object(x, "$.terms").isNotNull()), F.lit(0))
@@ -119,7 +129,10 @@ def class_id(label: Column) -> Column:
 
 
 def scheme_id(label: Column) -> Column:
-    return F.replace(F.initcap(label), F.lit(" "), F.lit(""))
+    """A label in title case without spaces; a letter is a capital unless another letter is before it."""
+    words = F.regexp_extract_all(label, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    titled = F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    return F.replace(F.array_join(titled, ""), F.lit(" "), F.lit(""))
 
 
 def label_or_tail(label: Column, node: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.steps import FEW, cut
@@ -32,6 +32,52 @@ def cumulative(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
     return rows.join(F.broadcast(ends) if ends.count() <= FEW else ends, F.col(bucket) <= F.col("checkpoint"))
 
 
+def first_seen(rows: DataFrame, keys: list[str], bucket: str = "bucket") -> DataFrame:
+    """(keys, first): the earliest bucket of each key, by one aggregation that starts in the tasks."""
+    return rows.groupBy(*keys).agg(F.min(bucket).alias("first"))
+
+
+def running_counts(rows: DataFrame, keys: list[str], bucket: str = "bucket") -> DataFrame:
+    """(checkpoint, keys, rows): how many different keys and rows each checkpoint has with all earlier ones.
+
+    A key counts from the bucket that has it first, so rows aren't repeated for
+    each checkpoint; only the few rows that are left, one a bucket, are added up.
+    """
+    new = first_seen(rows, keys, bucket).groupBy(F.col("first").alias("b")).agg(F.count("*").alias("new"))
+    own = rows.groupBy(F.col(bucket).alias("checkpoint")).agg(F.count("*").alias("own"))
+    up_to = Window.orderBy("checkpoint").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.join(new, F.col("checkpoint") == F.col("b"), "left")
+    return both.select("checkpoint", F.sum(F.coalesce("new", F.lit(0))).over(up_to).alias("keys"), F.sum("own").over(up_to).alias("rows"))
+
+
+class CheckpointTable:
+    """Rows under ``path``, one partition a checkpoint; what a checkpoint has is its own rows and those of all before it.
+
+    Nothing is copied forward: a checkpoint that is written again replaces its
+    own files and no others, and every later state follows it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path, keys
+
+    def save(self, rows: DataFrame) -> None:
+        """Writes the checkpoints that ``rows`` (with a column ``checkpoint``) have, each whole."""
+        rows.hint("rebalance", "checkpoint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("checkpoint").parquet(self.path)
+
+    def own(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def state(self, checkpoint: int) -> DataFrame:
+        """One row a key with ``first_checkpoint``: those that a checkpoint has, from the partitions up to it."""
+        rows = self.own().where(F.col("checkpoint") <= checkpoint)
+        rest = [c for c in rows.columns if c not in (*self.keys, "checkpoint")]
+        held = rows.groupBy(*self.keys).agg(F.min(F.struct("checkpoint", *rest)).alias("f"))
+        return held.select(*self.keys, F.col("f.checkpoint").alias("first_checkpoint"), *(f"f.{c}" for c in rest))
+
+    def counts(self) -> DataFrame:
+        return running_counts(self.own(), self.keys, "checkpoint")
+
+
 def last_run(runs: DataFrame) -> DataFrame:
     """The row of each model's largest run."""
     order = Window.partitionBy("model").orderBy(F.desc("papers"))

@@ -57,3 +57,9 @@ def assembled(ranked: DataFrame, edges: DataFrame, names: DataFrame, papers: Dat
     kept = parts.withColumns({"prior": prior, "first": first}).where((F.col("prior") < budget) | (F.col("rank") == F.col("first")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section"))), lambda s: s["section"]), "\n\n")
     return kept.groupBy("question_id", "head").agg(body.alias("body")).select("question_id", F.concat("head", F.lit("\n\n"), "body").alias("context"))
+
+
+def without_evidence(ranked: DataFrame) -> DataFrame:
+    """(question_id, none): whether no ranked node of a question has evidence; without a question column one row, true also where nothing is ranked."""
+    none = F.coalesce(F.bool_and(F.col("evidence_ct") == 0), F.lit(True)).alias("none")
+    return ranked.groupBy("question_id").agg(none) if "question_id" in ranked.columns else ranked.agg(none)

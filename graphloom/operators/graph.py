@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import partial_ratio_udf, token_sort_udf
 from graphloom.functions.text import is_generic, make_id
-from graphloom.operators.steps import FEW, cut
+from graphloom.operators.steps import cut, small
 
 
 #: What a term's record brings to its node, with the empty value of a stub.
@@ -64,7 +64,8 @@ def strong(edges: DataFrame, least: int = 2) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
-    """(id, depth) of the nodes that out-edges reach from ``seeds`` (id), seeds included; each hop is written once."""
+    """(id, depth) of the nodes that out-edges reach from ``seeds`` (id), seeds included; the edges and each hop are written once."""
+    edges = cut(edges.select("subject", "object"))
     seen = cut(seeds.select("id", F.lit(0).alias("depth")).distinct())
     front = seen
     for depth in range(1, hops + 1):
@@ -76,11 +77,6 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
     return seen
 
 
-def small(front: DataFrame) -> DataFrame:
-    """A written frontier, to be broadcast if it is counted as small."""
-    return F.broadcast(front) if front.count() <= FEW else front
-
-
 def edge_weights(edges: DataFrame, names: DataFrame, *kept: str) -> DataFrame:
     """(subject, object, weight) and ``kept`` columns of all edges; predicates are compared once each, not once an edge."""
     predicates = edges.select(F.col("predicate").alias("p")).distinct()
@@ -126,9 +122,31 @@ def closure(parents: DataFrame) -> DataFrame:
     return pairs
 
 
+def groups(links: DataFrame) -> DataFrame:
+    """(node, group) of the nodes of links (a, b): the least node that a chain of links reaches.
+
+    Each round takes the least label among a node's neighbours and then that
+    label's own label, so long chains are halved a round; rounds end when no
+    label changes. Each is written once.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
+    both = cut(both.union(both.select("a", F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        of = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        moved = near.join(of, F.col("near") == F.col("via")).select(F.col("a").alias("node"), F.least("near", "further").alias("label"))
+        moved = cut(moved)
+        changed = moved.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old")
+        if changed.isEmpty():
+            return moved.withColumnRenamed("label", "group")
+        labels = moved
+
+
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(path): one shortest undirected path as an array of ids, the least of those that a level-by-level search keeps; no row if there is none."""
     both = edges.select("subject", "object").union(edges.select(F.col("object").alias("subject"), F.col("subject").alias("object"))).where("subject <> object")
+    both = cut(both)
     front = cut(edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.array(F.lit(source)).alias("path")))
     seen = front.select("id")
     while not front.isEmpty():

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.similarity import ratio_udf
 from graphloom.functions.text import cross_reference, normalize_term
 from graphloom.operators.graph import closure
+from graphloom.operators.similar import similar
 from graphloom.operators.steps import cut
 
 #: Fixed value: similarity from which a name is taken for another.
@@ -29,19 +29,18 @@ def lookup(terms: DataFrame, index: DataFrame, term: str = "term") -> DataFrame:
 def repaired(values: DataFrame, names: DataFrame, column: str, cutoff: float = CUTOFF) -> DataFrame:
     """``values`` with ``fixed``: the schema name that ``column`` is, is but for case, or is most like; null without one.
 
-    Only distinct values that no exact join settles are compared, with the
-    schema's names (name, pos), which are few: they are counted, and broadcast.
+    Only distinct values that no exact join settles are compared, and with those
+    of the schema's names (name, pos) that share grams with them; ties go to the
+    name that is written first.
     """
     clean = F.trim(F.coalesce(column, F.lit("")))
     distinct = values.select(clean.alias("asked")).distinct()
-    lower = names.groupBy(F.lower("name").alias("lowered")).agg(F.max_by("name", "pos").alias("by_case"))
-    exact = distinct.join(names.select(F.col("name").alias("same")), F.col("asked") == F.col("same"), "left").join(lower, F.lower("asked") == F.col("lowered"), "left")
+    lower = names.groupBy(F.lower("name").alias("lowered")).agg(F.max_by("name", "pos").alias("by_case"), F.min("pos").alias("pos"))
+    exact = distinct.join(names.select(F.col("name").alias("same")).distinct(), F.col("asked") == F.col("same"), "left").join(lower.drop("pos"), F.lower("asked") == F.col("lowered"), "left")
     exact = cut(exact.select("asked", F.coalesce("same", "by_case").alias("fixed")))
-    open_ = exact.where("fixed is null and asked <> ''").select("asked")
-    schema = lower.join(names.groupBy(F.lower("name").alias("l")).agg(F.min("pos").alias("pos")), F.col("lowered") == F.col("l")).select("lowered", "by_case", "pos")
-    if names.count() > 100_000:
-        raise ValueError("a schema has few names")
-    pairs = open_.join(F.broadcast(schema)).withColumn("score", ratio_udf(F.lower("asked"), F.col("lowered"))).where(F.col("score") >= cutoff)
+    open_ = exact.where("fixed is null and asked <> ''").select("asked", F.lower("asked").alias("asked_lower"))
+    near = similar(open_.select("asked_lower"), lower.select("lowered"), cutoff / 100)
+    pairs = open_.join(near, F.col("asked_lower") == F.col("left")).join(lower, F.col("right") == F.col("lowered"))
     fuzzy = pairs.groupBy("asked").agg(F.max_by("by_case", F.struct("score", -F.col("pos"))).alias("fuzzy"))
     both = exact.join(fuzzy, "asked", "left").select("asked", F.coalesce("fixed", "fuzzy").alias("fixed"))
     return values.withColumn("asked", clean).join(both, "asked", "left").drop("asked")

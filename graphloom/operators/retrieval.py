@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import token_set_udf
 from graphloom.functions.text import canonical_key, is_generic, query_entities
-from graphloom.operators.graph import small, weighted_search
-from graphloom.operators.steps import cut
+from graphloom.operators.graph import weighted_search
+from graphloom.operators.steps import cut, small
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -22,12 +22,12 @@ def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def vector_top_each(vectors: DataFrame, asked: DataFrame, k: int, names: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score): the ``k`` nearest of each of the few queries ``asked`` (query_id, query), which are broadcast.
+    """(query_id, id, score): the ``k`` nearest of each of the queries ``asked`` (query_id, query), by a scan of all vectors; queries that are counted as few are broadcast.
 
     With ``names`` (id, name), of nodes with one canonical name only the best counts.
     """
     dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.join(F.broadcast(asked)).select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)).alias("score"))
+    scored = vectors.crossJoin(small(cut(asked))).select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     if names is None:

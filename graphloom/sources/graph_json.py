@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The chemical properties of an ontology's entries.
+PROPERTIES = ["formula", "mass", "charge", "inchi", "inchikey", "smiles"]
 TERM = (
     "struct<term string, definition string, category string, formula string, "
     "relations array<struct<relation string, related_term string, verified boolean>>, pages array<int>, "
@@ -23,6 +25,12 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.inline(terms))
 
 
+def read_term_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(names with path and term, faults with path): the terms' names of each document, and the documents that are no object with a list of terms."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", "struct<terms array<struct<term string>>>")["terms"].alias("terms"))
+    return text.select("path", F.explode("terms.term").alias("term")).where("term is not null"), text.where("terms is null").select("path")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(things with an id, associations with subject, predicate and object)."""
     graph = spark.read.text(path, wholetext=True).select(F.from_json("value", GRAPH).alias("g"))
@@ -38,7 +46,12 @@ def write_graph(things: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, definition, synonyms, parents, roles) of each [Term] stanza."""
+    """(id, name, definition, synonyms, parents, roles, relationships, xrefs, and the chemical values of PROPERTIES) of each [Term] stanza.
+
+    A chemical value is the second word of the last property_value whose IRI ends
+    in ``/chebi/`` and its name, without quotes and type; what follows a space in
+    a value is lost. Of a value such as "1"^^xsd:string the quotes go on both sides.
+    """
     stanza = spark.read.option("lineSep", "\n\n").text(path).where(F.contains("value", F.lit("[Term]")))
 
     def one(tag: str):
@@ -54,9 +67,19 @@ def read_obo(spark: SparkSession, path: str) -> DataFrame:
         every('synonym: "([^"]*)"').alias("synonyms"),
         every(r"is_a: (\S+)").alias("parents"),
         every(r"relationship: has_role (\S+)").alias("roles"),
+        F.transform(every(r"relationship: (\S+ \S+)"), lambda r: F.struct(F.substring_index(r, " ", 1).alias("predicate"), F.substring_index(r, " ", -1).alias("target"))).alias("relationships"),
+        every(r"xref: (\S+)").alias("xrefs"),
+        *(property_value(F.col("value"), name).alias(name) for name in PROPERTIES),
     )
 
 
+def property_value(stanza: Column, name: str) -> Column:
+    """The last value of a chemical property in a stanza, or null."""
+    words = F.regexp_extract_all(stanza, F.lit(rf"(?m)^property_value: \S*/chebi/{name}[ \t]+(\S+)"), F.lit(1))
+    last = F.try_element_at(words, F.lit(-1))
+    return F.regexp_replace(F.regexp_replace(last, r'\^\^\S*$', ""), r'^"+|"+$', "")
+
+
 def append_gaps(gaps: DataFrame, path: str) -> None:
     """Knowledge gaps (query, entity, reason), stamped and appended as JSON lines."""
     gaps.withColumn("timestamp", F.unix_micros(F.current_timestamp()) / 1e6).write.mode("append").json(path)
@@ -69,7 +92,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of N-Triples lines; literals without quotes, language and type."""
     line = spark.read.text(path).where(F.trim("value").rlike(r"^[<_].*\.$"))
-    part = lambda g: F.regexp_extract("value", r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")', g)
+    part = lambda g: F.regexp_extract("value", r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]++|\\.)*+")', g)
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, r'^[<"]|[>"]$', ""), r'\\(["\\])', "$1")
     return line.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), bare(part(3)).alias("o"))
 
