@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import formula
 from graphloom.functions import text as T
-from graphloom.functions.similarity import token_sort_ratio
 from graphloom.operators import checkpoints, context, graph, ontology, properties, retrieval, skos, terms, years
 from graphloom.operators.steps import cut
 from graphloom.plans.queries import _EDGES, _ID, _t, edges, things
@@ -79,7 +78,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = ontology.schema_text(_t(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("a region").alias("description")), "Classes")
     pages = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
-    return pages.join(F.broadcast(schema)).select("doc_id", F.sha2(T.extraction_prompt(F.col("schema_text"), F.col("text")).cast("binary"), 256).alias("prompt_sha256"), F.length(T.answer_prompt(F.left("text", F.lit(20)), F.col("schema_text"))).cast("long").alias("answer_chars"))
+    return pages.join(F.broadcast(schema)).select("doc_id", F.sha2(T.extraction_prompt(F.col("schema_text"), F.col("text")).cast("binary"), 256).alias("prompt_sha256"), F.length(T.answer_prompt(F.col("text"), F.col("schema_text"))).cast("long").alias("answer_chars"))
 
 
 def whole_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +263,10 @@ def joined_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of five questions about the first forty parts."""
-    part = _t(spark, sf_dir, "part").where("p_partkey between 1 and 40")
+    """The context of five questions, among which all parts are dealt."""
+    part = _t(spark, sf_dir, "part")
     ranked = part.select((F.col("p_partkey") % 5).alias("question_id"), F.col("p_partkey").alias("rank"), F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), (F.col("p_size") / 7).alias("score_prp"), F.when(F.col("p_size") > 20, F.col("p_brand")).otherwise("").alias("description"), F.when(F.col("p_size") > 30, F.lit("H2O")).alias("formula"), F.array("p_brand", F.lit("none"), F.lit("Brand#1"), F.lit("Brand#2")).alias("source_papers"))
-    papers = _t(spark, sf_dir, "documents").where("doc_id < 30").select(F.concat(F.lit("Brand#"), "doc_id").alias("paper"), "text")
+    papers = _t(spark, sf_dir, "documents").select(F.concat(F.lit("Brand#"), "doc_id").alias("paper"), "text")
     names = things(spark, sf_dir).select("id", "name")
     return context.assembled(ranked, cut(edges(spark, sf_dir)), names, papers, ["ieren", "ung "], 4000)
 
@@ -373,7 +372,7 @@ from part
     "prompts": """
 with s as (select 'Classes:' || chr(10) || string_agg('- ' || r_name || ': a region', chr(10) order by r_name) as schema_text from region)
 select doc_id, sha256('Extract the scientific terms of the text as JSON.' || chr(10) || chr(10) || 'Schema:' || chr(10) || schema_text || chr(10) || chr(10) || 'Text:' || chr(10) || right(text, 8000)) as prompt_sha256,
-       cast(length('Answer from the context; mark other knowledge as [Domain Knowledge].' || chr(10) || chr(10) || 'Context:' || chr(10) || schema_text || chr(10) || chr(10) || 'Question: ' || left(text, 20)) as bigint) as answer_chars
+       cast(length('Answer from the context; mark other knowledge as [Domain Knowledge].' || chr(10) || chr(10) || 'Context:' || chr(10) || schema_text || chr(10) || chr(10) || 'Question: ' || text) as bigint) as answer_chars
 from documents, s where text is not null
 """,
     "whole_talks": "select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text from conversations group by conv_id",
@@ -439,9 +438,10 @@ select cast(min(nodes) as bigint) as nodes, 'part:1' as first, 'part:7' as last
 with {_EDGES}, near as (select object as id from edges where subject = 'supplier:1' union select subject from edges where object = 'supplier:1' union select 'supplier:1')
 select * from edges where subject in (select id from near) and object in (select id from near)
 """,
+    # RELATED_TO is all of 10 characters of rel:RELATED_TO (14); L, E, D and _ are what it shares with rel:SUPPLIED_BY (15).
     "additive_search": f"""
 with {_EDGES}, w as (
-  select subject, object, case when predicate = 'rel:RELATED_TO' then 1.2 else 1.5 end as w, case when predicate = 'rel:RELATED_TO' then {token_sort_ratio("rel:RELATED_TO", "RELATED_TO") / 100!r} else {token_sort_ratio("rel:SUPPLIED_BY", "RELATED_TO") / 100!r} end as f from edges
+  select subject, object, case when predicate = 'rel:RELATED_TO' then 1.2 else 1.5 end as w, case when predicate = 'rel:RELATED_TO' then (2 * 10 / 24) else (2 * 4 / 25) end as f from edges
 ), h0 as (select unnest(['part:1', 'part:2', 'part:3']) as id, cast(1 as double) as score),
 h1 as (select object as id, max(score * w + f) as score from h0 join w on id = subject group by 1),
 h2 as (select object as id, max(score * w + f / 2) as score from h1 join w on id = subject group by 1),
@@ -501,14 +501,14 @@ with {_EDGES}, names as (
   select 'part:' || p_partkey as id, p_name as name from part union all select 'supplier:' || s_suppkey, s_name from supplier union all select 'nation:' || n_nationkey, n_name from nation
 ), r as (
   select p_partkey % 5 as question_id, p_partkey as rank, 'part:' || p_partkey as id, p_name as name, p_type as category, p_size / 7 as score, case when p_size > 20 then p_brand else '' end as description, case when p_size > 30 then 'H2O' end as formula, [p_brand, 'none', 'Brand#1'] as papers
-  from part where p_partkey between 1 and 40
+  from part
 ), o as (select question_id, rank, r.name, predicate, object, string_split(predicate, ':')[-1] as p, coalesce(n.name, object) as target from edges join r on subject = r.id left join names n on n.id = object
 ), facts as (
   select question_id, string_agg('(' || name || ') -[' || p || ']-> (' || target || ')', chr(10) order by rank, predicate, object) as t from (select * from o qualify row_number() over (partition by question_id order by rank, predicate, object) <= 150) group by question_id
 ), snips as (
   select question_id, rank, string_agg('[PDF ' || paper || ']' || chr(10) || snip, chr(10) order by place) as t from (
     select question_id, rank, place, paper, case when length(text) <= 1000 then text else substr(text, coalesce(greatest(list_min(list_filter([instr(lower(text), 'ieren'), instr(lower(text), 'ung ')], lambda i: i > 0)) - 250, 1), 1), 1000) end as snip
-    from (select question_id, rank, unnest([1, 2, 3]) as place, unnest(papers) as paper from r) join (select 'Brand#' || doc_id as paper, coalesce(text, '') as text from documents where doc_id < 30) using (paper)
+    from (select question_id, rank, unnest([1, 2, 3]) as place, unnest(papers) as paper from r) join (select 'Brand#' || doc_id as paper, coalesce(text, '') as text from documents) using (paper)
   ) where snip <> '' group by all
 ), rels as (select question_id, rank, string_agg('- ' || p || ': ' || target, chr(10) order by predicate, object) as t from o group by all
 ), s as (

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import units
-from graphloom.functions.similarity import partial_ratio
 from graphloom.operators import checkpoints, graph, metrics, properties, retrieval, terms, years
 
 QUESTION = "Which small green device, or part, contains steel?"
@@ -188,6 +187,7 @@ _ID = "'matkg:' || regexp_replace({}, '[^A-Za-z0-9-]', '', 'g')"
 
 ORACLE_SQL = {
     "vector_top": f"with {_VECTOR} select id, round(score, 6) as score from hits",
+    # RELATED_TO shares L, E, D and _ with the last seven characters of rel:SUPPLIED_BY, LIED_BY.
     "retrieve_ranked": f"""
 with {_EDGES}, {_VECTOR}, names as (
   select 'part:' || p_partkey as id, p_name as name, p_type as description, 1 as papers from part
@@ -196,7 +196,7 @@ with {_EDGES}, {_VECTOR}, names as (
 ), damp as (
   select *, case when regexp_matches(name, '(generic|material|property|parameter|technique|process|device)s?$', 'i') then 0.8 else 1.0 end as damp from names
 ), w as (
-  select subject, object, (case when predicate = 'rel:SUPPLIED_BY' then 1.5 + {partial_ratio('rel:SUPPLIED_BY', 'RELATED_TO') / 100!r} else 2.2 end) * coalesce(damp, 1.0) as weight from edges left join damp on object = id
+  select subject, object, (case when predicate = 'rel:SUPPLIED_BY' then 1.5 + 2 * 4 / 17 else 2.2 end) * coalesce(damp, 1.0) as weight from edges left join damp on object = id
 ), h1 as (
   select object as id, max(score * weight) as score from hits join w on id = subject group by object
 ), h2 as (
