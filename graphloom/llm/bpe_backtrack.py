@@ -406,6 +406,26 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded
     return _mapped(df, ids, out, "string", Codec.decode_column, model_path, None)
 
 
+def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the ids of each whole text and the text that these decode to; columns of those names are replaced.
+
+    Both are made in one pass, so a task needs one Python worker that holds the
+    model, not two. Rows and texts are as in ``encode`` and ``decode``.
+    """
+    arrow_limits(df.sparkSession)
+    kept = [c for c in df.columns if c not in (ids, out)]
+    schema = df.select(*kept, F.lit(None).cast("array<int>").alias(ids), F.lit(None).cast("string").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for batch in batches:
+            for part in rounds(batch, text):
+                found = own.encode_column(part.column(text))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found, own.decode_column(found)], [*kept, ids, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def _mapped(df: DataFrame, source: str, out: str, kind: str, method, path: str, by: str | None) -> DataFrame:
     arrow_limits(df.sparkSession)
     kept = [c for c in df.columns if c != out]

@@ -37,8 +37,7 @@ def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(SENTENCE_MODEL)
-    ids = bpe_backtrack.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe_backtrack.decode(ids, path).select(
+    return bpe_backtrack.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe_backtrack.sha_of_ids(F.col("ids")).alias("ids_sha256"),
