@@ -18,8 +18,8 @@ stay where they are. A group with fewer than ``MIN_ROWS`` rows uses its language
 language with fewer uses that of all rows. Null or empty texts have no words
 and fail the base rules. Null languages and sources are groups of their own.
 Repeated rows count as often as they occur. Very long texts are counted whole,
-one at a time. Extra columns are kept but for those named like counts, and an
-empty table gives no rows. Rows that tie at the end of the half are all in it.
+one at a time. Extra columns are kept, whatever their names, but for those named
+like a column that is added, which it replaces. An empty table gives no rows. Rows that tie at the end of the half are all in it.
 """
 
 from __future__ import annotations
@@ -281,13 +281,14 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     Needs columns lang and source. The counts are written once; every step reads these alone.
     """
     made = [*COUNTS, "base_failed", "kept", "distance"]
-    docs = docs.drop(*(c for c in made if c in docs.columns and c != text))
-    others = [c for c in docs.columns if c != text]
-    counted = with_counts(docs, text, keep_text)
+    others = [c for c in docs.columns if c != text and c not in made]
+    # The columns of ``docs`` travel in a struct, so none is taken for one that is made here.
+    row = F.struct(*(F.col(c) for c in others)).alias("row_of_")
+    counted = with_counts(docs.select(row, F.col(text).alias("text_of_"), F.col("lang").alias("lang_of_"), F.col("source").alias("source_of_")), "text_of_", keep_text)
     counted = written(counted.withColumns({f"x{i}": x for i, x in enumerate(_statistics())}), "counts")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))
-    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    lang = F.coalesce(F.concat(F.lit("="), "lang_of_"), F.lit("null"))
+    source = F.coalesce(F.concat(F.lit("="), "source_of_"), F.lit("null"))
     fine = F.concat(F.lit("2"), F.length(lang).cast("string"), lang, source)
     coarse = F.concat(F.lit("1"), lang)
     xs = [f"x{i}" for i in range(FEATURES)]
@@ -306,6 +307,6 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     ready = rows.join(_small(estimate.select("g"), few), "g", "left_anti").withColumn("d2", F.lit(0.0))
     scored = _distance(rows, estimate, few).unionByName(ready)
     return scored.select(
-        *([text] if keep_text else []), *others, *COUNTS,
+        *([F.col("text_of_").alias(text)] if keep_text else []), *(F.col("row_of_")[c].alias(c) for c in others), *COUNTS,
         failed.alias("base_failed"), (~failed & (F.col("d2") <= CUTOFF)).alias("kept"), F.col("d2").alias("distance"),
     )
