@@ -10,10 +10,13 @@ their first six bytes, each level that an ASCII sign's density reaches, and the
 text's length alone and with its share of distinct words. They are made from whole texts.
 
 The model is fitted on at most ``MOST_RATED`` rated texts, those with the
-smallest hashes of their ids; that bound is the only sample. Every document is
-scored. Null and empty texts have only the level features. Documents rated more
-than once take part with each rating; null ratings don't. Without any rated
-text the score is 0 with thresholds at even odds.
+smallest hashes of their ids, and on fewer where their features together would
+pass ``MOST_FEATURES``; these bounds on rated texts are the only sample. Every
+document is scored. Null and empty texts have only the level features. A
+document that is rated more than once counts once, with the least of its grades;
+null ratings don't count. Without any rated text the score is 0 with thresholds
+at even odds. Other columns are kept, whatever their names, unless they are
+named like an output, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textvec as tv
+from graphloom.llm.store import Scratch
 
 BITS = 18
 #: Rated texts used for fitting, and rated texts that must have a feature for it to count.
 MOST_RATED, LEAST_TEXTS = 6000, 3
-#: Features of one rated text that the fit takes.
-MOST_FEATURES = 8192
+#: Features of all rated texts together that the fit takes (4 bytes each on the driver); one text has at most 2**BITS.
+MOST_FEATURES = 16_000_000
 EPOCHS, RATE, SHRINK = 400, 0.05, 4e-4
 SALT = tv.U64(0xA24BAED4963EE407)
 
@@ -137,21 +141,32 @@ def fit_ordinal(feature_lists: list[np.ndarray], grades: np.ndarray, n_grades: i
 def fit(rated: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Ordinal:
     """Fit on the bounded sample of ``rated`` (id, text, grade); features are made on the executors.
 
-    One row an id counts, the least of its grades and texts; of a very long text
-    the MOST_FEATURES features with the least numbers count, here only.
+    One row an id counts, the least of its grades and texts. Texts are taken
+    whole, in the order of their ids' hashes, as long as their features together
+    stay within MOST_FEATURES.
     """
     tv.arrow_limits(rated.sparkSession)
     one = F.min(F.struct(F.col(grade).cast("int").alias("grade_"), F.col(text).alias("text_"))).alias("one")
-    chosen = rated.where(F.col(grade).isNotNull()).groupBy(doc_id).agg(one).select("one.text_", "one.grade_")
+    order = F.xxhash64(F.lit("rated"), F.col(doc_id)).alias("order_")
+    chosen = rated.where(F.col(grade).isNotNull()).groupBy(doc_id).agg(one).select(order, "one.text_", "one.grade_").orderBy("order_", "grade_", "text_").limit(MOST_RATED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.rounds(batch, "text_"):
-                lists = pa.array([f[:MOST_FEATURES].tolist() for f in features(part.column("text_"))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists, part.column("grade_")], ["features", "grade_"])
-
-    got = chosen.mapInArrow(run, "features array<int>, grade_ int").toArrow()
-    lists = [np.array(x, np.int32) for x in got.column("features").to_pylist()]
+                found = features(part.column("text_"))
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("order_"), lists, part.column("grade_")], ["order_", "features", "grade_"])
+
+    with Scratch(rated.sparkSession) as tables:
+        made = tables.write(chosen.mapInArrow(run, "order_ bigint, features array<int>, grade_ int"), "features")
+        # At most MOST_RATED rows, so one task adds up their sizes.
+        up_to = Window.orderBy("order_").rowsBetween(Window.unboundedPreceding, 0)
+        within = made.withColumn("sum_", F.sum(F.size("features").cast("long")).over(up_to)).where(F.col("sum_") <= MOST_FEATURES)
+        got = within.select("features", "grade_").toArrow()
+    column = got.column("features").combine_chunks()
+    flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy()) if len(column) else np.zeros(0, np.int64)
+    lists = np.split(flat, ends[:-1]) if len(column) else []
     return fit_ordinal(lists, np.array(got.column("grade_").to_pylist(), np.int64).clip(0, n_grades - 1), n_grades)
 
 
