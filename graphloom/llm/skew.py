@@ -10,13 +10,15 @@ PER_TASK, MOST_KEYS = 1000, 100_000
 
 
 def hot_keys(counts: DataFrame, key: str, copies: str) -> DataFrame | None:
-    """(key, salts_) of the keys with more than PER_TASK rows; None if there are none, or too many to broadcast.
+    """(key, salts_) of the keys with more than PER_TASK rows; None if there are none.
 
-    Too many keys means none of them is large for its share: then Spark's own
-    splitting of skewed partitions is left to do it. ``counts`` is a written table.
+    Of more than MOST_KEYS such keys, those with the most rows are taken: what a
+    key beyond them has is then at most one of MOST_KEYS parts of all rows.
+    ``counts`` is a written table.
     """
     hot = counts.where(F.col(copies) > PER_TASK).select(key, F.ceil(F.col(copies) / PER_TASK).cast("long").alias("salts_"))
-    return hot if 0 < hot.count() <= MOST_KEYS else None
+    found = hot.count()
+    return None if not found else hot if found <= MOST_KEYS else hot.orderBy(F.desc("salts_"), key).limit(MOST_KEYS)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, by: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
