@@ -63,12 +63,15 @@ RESULT = StructType([StructField(n, IntegerType() if n == "mp_hits" else StringT
 
 @pandas_udf(RESULT)
 def validate_udf(formulas: pd.Series) -> pd.DataFrame:
-    """Whether each text is a formula in canonical spelling (ok), in another (corrected), or none (invalid)."""
+    """Whether each text without its white space is a formula in canonical spelling (ok), in another (corrected), or none (invalid).
+
+    Canonical spelling has spaces between elements, so only formulas of one element can be ok.
+    """
     rows = []
     for text in formulas:
         try:
             made = canonical(text or "")
-            rows.append((text, made, -1, "ok" if made == text else "corrected", None))
+            rows.append((text, made, -1, "ok" if made == re.sub(r"\s+", "", text) else "corrected", None))
         except ValueError as error:
             rows.append((text, None, -1, "invalid", f"parse-error: {error}"))
     return pd.DataFrame(rows, columns=["input", "canonical", "mp_hits", "status", "error"])

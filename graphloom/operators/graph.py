@@ -77,6 +77,11 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
     return seen
 
 
+def touching(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """The edges that start at a written frontier (id). A semi-join on a grouping key goes below a ``distinct`` of the edges, so only what is touched is made distinct."""
+    return edges.join(small(front.select(F.col("id").alias("from_"))), F.col("subject") == F.col("from_"), "left_semi")
+
+
 def edge_weights(edges: DataFrame, names: DataFrame, *kept: str) -> DataFrame:
     """(subject, object, weight) and ``kept`` columns of all edges; predicates are compared once each, not once an edge."""
     predicates = edges.select(F.col("predicate").alias("p")).distinct()
@@ -96,7 +101,7 @@ def weighted_search(edges: DataFrame, names: DataFrame, seeds: DataFrame, hops:
     best = cut(seeds.where("score > 0").select("id", "score", F.lit(0).alias("depth")))
     front = best
     for depth in range(hops):
-        touched = edges.join(small(front.select(F.col("id").alias("from"), "score")), F.col("subject") == F.col("from"))
+        touched = touching(edges, front).join(small(front.select(F.col("id").alias("from"), "score")), F.col("subject") == F.col("from"))
         weighed = edge_weights(cut(touched), names, "score")
         step = weighed.groupBy(F.col("object").alias("id")).agg(F.max(F.col("score") * F.col("weight") / (depth + 1)).alias("score"))
         step = step.where("score > 0").withColumn("depth", F.lit(depth + 1))

@@ -45,12 +45,12 @@ def _starts(text, phrase):
 def mine(pages: DataFrame, materials: DataFrame) -> DataFrame:
     """Values of properties of materials, from pages (page_id, text) and materials (page_id, material).
 
-    Materials meet pages by key; sentences without a phrase are dropped before
-    any of the costlier tests. A sentence without a number gives one row
+    Materials meet pages by key; sentences without a phrase are dropped by one
+    pattern before any of the costlier tests. A sentence without a number gives one row
     without a value.
     """
     phrases = F.broadcast(pages.sparkSession.createDataFrame(list(KEYWORDS.items()), "phrase string, property string"))
-    cut = pages.select("page_id", F.posexplode(sentences(F.col("text"))).alias("no", "sentence")).withColumn("low", F.lower("sentence"))
+    cut = pages.select("page_id", F.posexplode(sentences(F.col("text"))).alias("no", "sentence")).withColumn("low", F.lower("sentence")).where(F.col("low").rlike("|".join(KEYWORDS)))
     said = cut.join(phrases, F.contains("low", F.col("phrase")))
     both = said.join(materials, "page_id").withColumn("m", F.lower("material")).where(F.contains("low", F.col("m")))
     near = F.exists(_starts(F.col("low"), F.col("m")), lambda x: F.exists(_starts(F.col("low"), F.col("phrase")), lambda y: F.abs(x - y) <= NEAR))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import token_set_udf
 from graphloom.functions.text import canonical_key, is_generic, query_entities
-from graphloom.operators.graph import weighted_search
+from graphloom.operators.graph import touching, weighted_search
 from graphloom.operators.steps import cut, small
 
 
@@ -53,17 +53,22 @@ def reranked(hits: DataFrame, nodes: DataFrame, question: str, k: int = 3) -> Da
     return both.select("id", "score", exact.alias("exact"), fuzzy.alias("fuzzy")).orderBy(F.desc("exact"), F.desc("fuzzy"), F.desc("score"), "id").limit(k).drop("score")
 
 
+def named_like(things: DataFrame, part: str, k: int = 20, order: str = "id") -> DataFrame:
+    """The first ``k`` things, by ``order``, whose name has ``part`` in it, whatever its case: suggestions while a name is typed. One scan and a top-k."""
+    return things.where(F.contains(F.lower("name"), F.lit(part.lower()))).orderBy(order).limit(k)
+
+
 def ranked(things: DataFrame, edges: DataFrame, vectors: DataFrame, question: str, query: list[float], k: int = 12, hops: int = 1) -> DataFrame:
     """The ``k`` best nodes by semantic, graph, lexical and evidence score."""
-    return ranked_from(things, cut(edges), cut(vector_top(vectors, query, 2 * k)), question, k, hops)
+    return ranked_from(things, edges, cut(vector_top(vectors, query, 2 * k)), question, k, hops)
 
 
 def ranked_from(things: DataFrame, edges: DataFrame, semantic: DataFrame, question: str, k: int = 12, hops: int = 1) -> DataFrame:
-    """``ranked`` from given hits (id, score); ``edges`` and ``semantic`` are read several times."""
+    """``ranked`` from given hits (id, score). ``semantic`` is read several times; of ``edges`` each step reads those that its few nodes touch."""
     graph = weighted_search(edges, things, semantic.orderBy(F.desc("score"), "id").limit(2 * k), hops)
     both = semantic.select("id", F.col("score").alias("sem")).join(graph.select("id", F.col("score").alias("graph"), "depth"), "id", "full_outer")
     both = cut(both.na.fill({"sem": 0.0, "graph": 0.0, "depth": 0}))
-    out = edges.join(small(both.select(F.col("id").alias("from"))), F.col("subject") == F.col("from")).groupBy("from").agg(F.count("*").alias("out_degree"))
+    out = touching(edges, both).groupBy(F.col("subject").alias("from")).agg(F.count("*").alias("out_degree"))
     rows = things.join(small(both), "id").join(out, F.col("id") == F.col("from"), "left")
     entities = query_entities(F.lit(question))
     text = F.lower(F.concat_ws(" ", "name", "description"))

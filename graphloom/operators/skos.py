@@ -54,17 +54,24 @@ def _domain(label):
     return out
 
 
-def classes(triples: DataFrame) -> DataFrame:
+def classes(triples: DataFrame, by_broader: bool = False) -> DataFrame:
     """(class, title, description, parent): a class a node; its parent is its scheme's class, else the domain class in its title, else Material.
 
-    Of nodes that give one class the least id counts, since triples have no order.
+    Of nodes that give one class the least id counts, since triples have no
+    order. With ``by_broader``, the class of a concept's broader concept (the
+    least of several) goes before Material.
     """
     every = nodes(triples)
     own = F.when(F.col("kind") == "ConceptScheme", F.coalesce(_domain(F.col("label")), scheme_id(F.col("label")))).otherwise(class_id(F.col("label")))
     named = every.withColumn("class", own)
     scheme = named.select(F.col("id").alias("scheme_id"), F.col("class").alias("scheme_class"))
     both = named.join(scheme, F.col("scheme") == F.col("scheme_id"), "left").where(~F.col("class").isin(DOMAIN))
-    parent = F.coalesce("scheme_class", _domain(F.col("label")), F.lit("Material"))
+    wider = F.lit(None).cast("string")
+    if by_broader:
+        up = broader(triples).join(named.select(F.col("id").alias("up_id"), F.col("class").alias("up_class")), F.col("parent") == F.col("up_id"))
+        both = both.join(up.groupBy("child").agg(F.min("up_class").alias("wider")), F.col("id") == F.col("child"), "left")
+        wider = F.when(F.col("wider") != F.col("class"), F.col("wider"))
+    parent = F.coalesce("scheme_class", _domain(F.col("label")), wider, F.lit("Material"))
     return both.groupBy("class").agg(F.min(F.struct("id", F.col("label").alias("title"), F.coalesce("definition", F.lit("")).alias("description"), parent.alias("parent"))).alias("c")).select("class", "c.title", "c.description", "c.parent")
 
 

@@ -113,6 +113,24 @@ def records(mentions: DataFrame) -> DataFrame:
     )
 
 
+def as_mentions(known: DataFrame) -> DataFrame:
+    """Records as the mentions that give them again, before any with an ordinal from 0 on: a mention a page, of which the first has all else.
+
+    So a dictionary that was saved without its mentions can be continued: these
+    rows and new mentions together merge as if the old ones were still there.
+    ``known`` are records with a key each; those without a page have one mention.
+    """
+    extra = [c for c in OWN + CHEMICAL if c in known.columns]
+    named = known if "key" in known.columns else known.withColumn("key", normalize_term(F.col("term")))
+    one = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("paper"), F.lit(None).cast("string").alias("snippet"))
+    spots = F.transform(F.arrays_zip("pages", "source_papers", F.col("context_snippets.text").alias("said")), lambda s: F.struct(s["pages"].cast("int").alias("page"), s["source_papers"].alias("paper"), s["said"].alias("snippet")))
+    each = named.select("key", "term", "definition", "category", "relations", *extra, F.posexplode(F.when(F.size(spots) > 0, spots).otherwise(F.array(one))).alias("n", "spot"))
+    first = F.col("n") == 0
+    # Ordinals only order the mentions of one key, and tell all mentions apart.
+    ordinal = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("key"), F.lit(1 << 41)) * (1 << 20) + F.col("n")
+    return each.select("key", "term", F.when(first, F.col("definition")).alias("definition"), "category", F.when(first, F.col("relations")).alias("relations"), *(F.when(first, F.col(c)).alias(c) for c in extra), "spot.page", "spot.paper", "spot.snippet", ordinal.alias("ordinal"))
+
+
 def with_properties(terms: DataFrame, attached: DataFrame) -> DataFrame:
     """Records with the list ``properties`` of ``attached_properties``; an empty one where a term has none."""
     kind = "array<struct<property:string,value:double,unit:string,uncertainty:double,context:string,verified:boolean>>"

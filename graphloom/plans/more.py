@@ -14,8 +14,8 @@ from graphloom.sources.graph_json import whole_texts
 
 WS = r"[ \t\n\x0B\f\r]+"
 #: Made-up values that the queries below put into texts.
-FORMULAS = ["H2O", "H2 O1", "Ca(OH)2", "LiFePO4", "NaCl", "Xx2", "(H2", "Mg0.5Fe0.5O"]
-CANONICAL = ["H2 O1", "H2 O1", "Ca1 H2 O2", "Li1 Fe1 P1 O4", "Na1 Cl1", None, None, "Mg0.5 Fe0.5 O1"]
+FORMULAS = ["H2O", "H2 O1", "Ca(OH){n}", "LiFePO{n}", "Fe{n}", "Xx{n}", "(H{n}", "Mg0.5Fe0.5O{n}"]
+CANONICAL = ["H2 O1", "H2 O1", "Ca1 H{n} O{n}", "Li1 Fe1 P1 O{n}", "Fe{n}", None, None, "Mg0.5 Fe0.5 O{n}"]
 SENTENCES = [
     "The {p} of {m} is {n}.5 g/cm3.",
     "{m} shows a {p} of {n} ± 0.5 eV.",
@@ -118,8 +118,9 @@ def property_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, FORMULAS)), (F.col("p_partkey") % len(FORMULAS) + 1).cast("int")).alias("formula"))
-    hits = rows.where("p_partkey % 8 in (0, 2)").select(F.element_at(F.array(*map(F.lit, CANONICAL)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("formula"), F.lit(3).alias("hits")).distinct()
+    made = lambda given: F.replace(F.element_at(F.array(*map(F.lit, given)), (F.col("p_partkey") % len(given) + 1).cast("int")), F.lit("{n}"), F.col("p_size").cast("string"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_size", made(FORMULAS).alias("formula"))
+    hits = rows.where("p_partkey % 8 in (0, 2) or p_partkey % 8 = 4 and p_size % 2 = 0").select(made(CANONICAL).alias("formula"), F.lit(3).alias("hits")).distinct()
     return formula.checked(rows, hits).select("p_partkey", "formula_validation.canonical", "formula_validation.mp_hits", "formula_validation.status")
 
 
@@ -189,7 +190,8 @@ def multi_query_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").where(F.contains(F.lower("p_name"), F.lit("ring"))).orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
+    named = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return retrieval.named_like(named, "RING", 20, "p_partkey").select("p_partkey", F.col("name").alias("p_name"))
 
 
 def bucket_25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,8 +406,10 @@ select page_id, material, property, v[i] as raw_value, u[i] as raw_unit, nullif(
 from (select *, unnest(range(1, greatest(len(v), 1) + 1)) as i from f)
 """,
     "formula_checks": f"""
-with f as (select p_partkey, p_partkey % 8 as i, [{", ".join("null" if c is None else f"'{c}'" for c in CANONICAL)}][p_partkey % 8 + 1] as canonical from part)
-select p_partkey, canonical, cast(case when canonical is null then -1 when i in (0, 1, 2) then 3 else 0 end as int) as mp_hits, case when canonical is null then 'invalid' when i = 1 then 'ok' else 'corrected' end as status from f
+with f as (select p_partkey, p_size, p_partkey % 8 as i, replace([{", ".join("null" if c is None else f"'{c}'" for c in CANONICAL)}][p_partkey % 8 + 1], '{{n}}', cast(p_size as varchar)) as canonical from part),
+h as (select distinct canonical from f where i in (0, 2) or i = 4 and p_size % 2 = 0), k as (select f.*, h.canonical is not null as hit from f left join h using (canonical))
+select p_partkey, canonical, cast(case when canonical is null then -1 when hit then 3 else 0 end as int) as mp_hits,
+       case when canonical is null then 'invalid' when i = 4 and hit then 'ok' when i = 4 then 'invalid' else 'corrected' end as status from k
 """,
     "ontology_lookup": """
 with n as (

@@ -161,7 +161,8 @@ def year_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best score of each node over sub-queries."""
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("score"))
+    hits = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("value").alias("score"), "event_type")
+    return retrieval.merged_seeds(*(hits.where(F.col("event_type") == kind) for kind in ("click", "error", "purchase", "signup", "view"))).withColumnRenamed("id", "user_id")
 
 
 def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

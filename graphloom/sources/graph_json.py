@@ -12,6 +12,7 @@ TERM = (
     "relations array<struct<relation string, related_term string, verified boolean>>, pages array<int>, "
     "source_papers array<string>, context_snippets array<struct<text string, source_paper string, page int>>, "
     "properties array<struct<property string, value double, unit string, uncertainty double, context string, verified boolean>>, "
+    "formula_validation struct<input string, canonical string, mp_hits int, status string, error string>, chebi string, smiles string, charge string, inchi string, inchikey string, mass string, "
     "importance string>"
 )
 GRAPH = "struct<things array<struct<id string, name string, category string, description string, pages array<int>, source_papers array<string>>>, associations array<struct<subject string, predicate string, object string, has_evidence string>>>"
@@ -124,6 +125,50 @@ def write_terms(terms: DataFrame, path: str) -> None:
     terms.withColumn("properties", filled).write.mode("overwrite").parquet(path)
 
 
+#: Records of one JSON document that is written.
+PER_DOCUMENT = 1000
+
+
+def _documents(rows: DataFrame, field: str, total: int, per_file: int) -> DataFrame:
+    """(part, field) lists of about ``per_file`` rows each, dealt by their hashes."""
+    part = F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in rows.columns[:3])), F.lit(max(1, -(-total // per_file)))).alias("part")
+    return rows.select(part, F.struct(*rows.columns).alias("row")).groupBy("part").agg(F.array_sort(F.collect_list(F.to_json("row"))).alias(field))
+
+
+def export_terms(terms: DataFrame, path: str, per_file: int = PER_DOCUMENT) -> None:
+    """JSON documents ``{"terms": [...]}``, a file each, of about ``per_file`` records, as ``read_terms`` takes them; a record without properties has an empty list of them."""
+    kind = dict(terms.dtypes).get("properties", "array<string>")
+    filled = F.coalesce(F.col("properties") if "properties" in terms.columns else F.lit(None), F.array().cast(kind))
+    rows = terms.withColumn("properties", filled)
+    made = _documents(rows.select("term", *(c for c in rows.columns if c != "term")), "terms", rows.count(), per_file)
+    made.select(F.concat(F.lit('{"terms": ['), F.array_join("terms", ",\n"), F.lit("]}")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def export_graph(things: DataFrame, edges: DataFrame, path: str, per_file: int = PER_DOCUMENT) -> None:
+    """JSON documents ``{"things": [...], "associations": [...]}``, a file each, as ``read_graph`` takes them."""
+    total = max(things.count(), edges.count())
+    nodes, links = _documents(things, "things", total, per_file), _documents(edges, "associations", total, per_file).withColumnRenamed("part", "of")
+    both = nodes.join(links, F.col("part") == F.col("of"), "full_outer")
+    listed = lambda c: F.concat(F.lit(f'"{c}": ['), F.coalesce(F.array_join(c, ",\n"), F.lit("")), F.lit("]"))
+    both.select(F.concat(F.lit("{"), listed("things"), F.lit(", "), listed("associations"), F.lit("}")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+#: Classes and slots of a schema that is written as one document.
+MOST_IN_SCHEMA = 100_000
+
+
+def write_schema(classes: DataFrame, slots: DataFrame, path: str) -> None:
+    """A schema as one JSON document, which is YAML as well: classes and slots by name, as ``read_schema`` takes them. Schemas are small; larger ones are refused."""
+    import json
+
+    if classes.count() + slots.count() > MOST_IN_SCHEMA:
+        raise ValueError("too many classes and slots for one document")
+    order = lambda t: t.orderBy(*(["pos"] if "pos" in t.columns else []), "name").drop("pos")
+    named = lambda t: {r.name: {k: v for k, v in r.asDict().items() if k != "name" and v is not None} for r in order(t).collect()}
+    text = json.dumps({"classes": named(classes), "slots": named(slots)}, indent=2, ensure_ascii=False)
+    classes.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     """CSV files with a header, as for metrics and for years of papers."""
     rows.write.mode("overwrite").option("header", "true").csv(path)

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import checkpoints, graph, terms
+from graphloom.functions import formula
+from graphloom.operators import checkpoints, graph, retrieval, skos, terms
+from graphloom.sources import graph_json
 from graphloom.streaming import incremental
 
 SCHEMA = (
@@ -154,3 +156,46 @@ def test_checkpoint_table(spark, tmp_path):
     after = written(tmp_path / "t")
     assert {f for f in before if f in after} == {f for f in before if "checkpoint=50" not in f}
     assert {r.checkpoint for r in kept.own().select("checkpoint").distinct().collect()} == {25, 50, 75}
+
+
+def test_resume_from_saved_records(spark, tmp_path):
+    rows = made(120, 12)
+    early, late = (spark.createDataFrame(part, SCHEMA) for part in (rows[:60], rows[60:]))
+    graph_json.export_terms(terms.records(early).drop("ordinal"), f"{tmp_path}/out", per_file=2)
+    saved = graph_json.read_terms(spark, f"{tmp_path}/out/part-*")
+    assert saved.count() == 4 and len(list((tmp_path / "out").glob("part-*"))) >= 2 and saved.where("size(properties) = 0").count() == 4
+    continued = terms.records(terms.as_mentions(saved).unionByName(late, allowMissingColumns=True).drop("key"))
+    assert plain(continued.collect()) == whole(rows)
+    bare = spark.createDataFrame([("Tin", "d", "c", None, None, None, None)], "term string, definition string, category string, relations array<struct<relation:string,related_term:string,verified:boolean>>, pages array<int>, source_papers array<string>, context_snippets array<struct<text:string,source_paper:string,page:int>>")
+    assert [(r.term, r.page) for r in terms.as_mentions(bare).collect()] == [("Tin", None)]
+
+
+def test_graph_and_schema_documents(spark, tmp_path):
+    things = spark.createDataFrame([(f"n{i}", f"name {i}", "c", 'a "b"', [i], ["p"]) for i in range(25)], "id string, name string, category string, description string, pages array<int>, source_papers array<string>")
+    edges = spark.createDataFrame([(f"n{i}", "rel:x", f"n{i + 1}", None if i % 2 else "e") for i in range(7)], "subject string, predicate string, object string, has_evidence string")
+    graph_json.export_graph(things, edges, f"{tmp_path}/g", per_file=10)
+    back = graph_json.read_graph(spark, f"{tmp_path}/g/part-*")
+    assert sorted(map(str, back[0].collect())) == sorted(map(str, things.collect())) and sorted(map(str, back[1].collect())) == sorted(map(str, edges.collect()))
+    classes = spark.createDataFrame([("Thing", "any", None, 0), ("Tin", None, "Thing", 1)], "name string, description string, is_a string, pos int")
+    slots = spark.createDataFrame([("uses", None, None, "Thing", "xsd:float", 0)], "name string, description string, is_a string, domain string, range string, pos int")
+    graph_json.write_schema(classes, slots, f"{tmp_path}/schema")
+    found = graph_json.read_schema(spark, f"{tmp_path}/schema/part-*")
+    assert [sorted(map(tuple, f.collect()), key=str) for f in found] == [sorted(map(tuple, t.collect()), key=str) for t in (classes, slots)]
+
+
+def test_names_while_they_are_typed(spark):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(["Steel ring", "string", "tin", None, "RING"])], "id int, name string")
+    assert [r.id for r in retrieval.named_like(rows, "Ring", 2).collect()] == [0, 1]
+
+
+def test_formulas_without_white_space(spark):
+    rows = spark.createDataFrame([(f,) for f in ("H2 O1", "Na1", " Na 1 ", "Na", "Xx")], "formula string")
+    assert {r.formula: r.formula_validation.status for r in formula.checked(rows).collect()} == {"H2 O1": "corrected", "Na1": "ok", " Na 1 ": "ok", "Na": "corrected", "Xx": "invalid"}
+
+
+def test_broader_classes_where_nothing_else_is_said(spark):
+    kind, label, up = f"{skos.RDF}type", f"{skos.SKOS}prefLabel", f"{skos.SKOS}broader"
+    rows = [t for n, text in (("a", "alpha"), ("b", "beta"), ("m", "a method")) for t in ((n, kind, f"{skos.SKOS}Concept"), (n, label, text))] + [("b", up, "a"), ("m", up, "a"), ("a", up, "a")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    assert {r["class"]: r.parent for r in skos.classes(triples).collect()} == {"alpha": "Material", "beta": "Material", "a_method": "Method"}
+    assert {r["class"]: r.parent for r in skos.classes(triples, by_broader=True).collect()} == {"alpha": "Material", "beta": "alpha", "a_method": "Method"}
