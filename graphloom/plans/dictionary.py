@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import units
 from graphloom.functions import text as T
-from graphloom.operators import checkpoints, encoder, inference, ontology, retrieval, skos, terms, vector_index
+from graphloom.operators import checkpoints, encoder, graph, inference, metrics, ontology, retrieval, skos, terms, vector_index
 from graphloom.operators.steps import cut, fresh_folder
-from graphloom.plans.queries import _t
+from graphloom.plans.queries import _ID, _relations, _t, _terms, _whole_runs
 from graphloom.sources import graph_json, turtle
 from graphloom.streaming.incremental import TermStore
 
@@ -81,12 +81,12 @@ def concept_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _full_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mention a part: its name is the term, its brand the paper; some say a relation twice, some have ontology data."""
+    """A mention a part, some of them blank: its name is the term, its brand the paper; some say a relation twice, some have ontology data."""
     some = lambda n, c: F.when(F.col("p_partkey") % n == 0, F.concat(F.lit(c), "p_partkey"))
     relation = F.struct(F.col("p_brand").alias("relation"), F.col("p_type").alias("related_term"), (F.col("p_size") > 25).alias("verified"))
     said = F.when(F.col("p_partkey") % 2 == 0, F.array(relation)).when(F.col("p_partkey") % 7 == 0, F.array(relation, relation)).otherwise(F.array().cast("array<struct<relation:string,related_term:string,verified:boolean>>"))
     return _t(spark, sf_dir, "part").select(
-        F.col("p_name").alias("term"), F.col("p_type").alias("definition"), F.when(F.col("p_size") > 3, F.col("p_brand")).alias("category"), said.alias("relations"), F.concat(F.lit("s"), "p_partkey").alias("snippet"),
+        F.when(F.col("p_partkey") % 13 == 0, F.lit("  ")).otherwise(F.col("p_name")).alias("term"), F.col("p_type").alias("definition"), F.when(F.col("p_size") > 3, F.col("p_brand")).alias("category"), said.alias("relations"), F.concat(F.lit("s"), "p_partkey").alias("snippet"),
         F.col("p_brand").alias("paper"), F.col("p_size").alias("page"), F.col("p_partkey").alias("ordinal"), some(5, "c").alias("chebi"), some(3, "f").alias("formula"), some(10, "s").alias("smiles"),
     )
 
@@ -194,17 +194,97 @@ def long_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(T.terms_object(reply).cast("binary"), 256).alias("found_sha256"))
 
 
-QUERIES = {f.__name__: f for f in [vector_index_top, vector_top_many, encoded_neighbours, fuzzy_repair, first_like_names, concept_keys, term_records, incremental_resume, running_checkpoints, slot_inference, rdf_lists, slot_triples, turtle_parts, unit_rules, obo_entries, long_replies]}
+def saved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of half of the mentions, saved as JSON documents, read back and continued with the other half."""
+    rows = _full_mentions(spark, sf_dir)
+    size = rows.count() // 2
+    path = fresh_folder(spark, "saved")
+    graph_json.export_terms(terms.records(rows.where(F.col("ordinal") <= size)).drop("ordinal"), path, 20)
+    saved = terms.as_mentions(graph_json.read_terms(spark, f"{path}/part-*")).drop("key")
+    return _told(terms.records(saved.unionByName(rows.where(F.col("ordinal") > size), allowMissingColumns=True)))
+
+
+def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of parts and brands, written as JSON documents and read back: its edges with their ends' names."""
+    things, links = graph.build(_terms(spark, sf_dir), _relations(spark, sf_dir))
+    path = fresh_folder(spark, "graph")
+    graph_json.export_graph(things, links, path, 200)
+    things, links = graph_json.read_graph(spark, f"{path}/part-*")
+    name = lambda end: things.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    return links.join(name("subject"), "subject").join(name("object"), "object").select("subject_name", "predicate", "object_name", "has_evidence")
+
+
+def triples_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names and types with marks that need escapes, written as N-Triples and read back."""
+    literal = F.concat(F.lit('a "'), "p_name", F.lit('" \\ '), "p_type")
+    rows = _t(spark, sf_dir, "part").select(F.concat(F.lit("urn:part:"), "p_partkey").alias("s"), F.lit("urn:says").alias("p"), F.when(F.col("p_partkey") % 2 == 0, literal).otherwise(F.concat(F.lit("urn:size:"), "p_size")).alias("o"))
+    path = fresh_folder(spark, "triples")
+    graph_json.write_triples(rows, path)
+    return graph_json.read_triples(spark, path)
+
+
+def gap_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of conversations, appended to a log in two batches: how often each is in it, and whether all have a time."""
+    rows = _t(spark, sf_dir, "conversations").select(F.col("role").alias("query"), F.concat(F.lit("gap "), F.col("turn") % 5).alias("entity"), F.lit("not found").alias("reason"), "conv_id")
+    path = fresh_folder(spark, "gaps")
+    for even in (True, False):
+        graph_json.append_gaps(rows.where((F.col("conv_id") % 2 == 0) == F.lit(even)).drop("conv_id"), path)
+    return spark.read.json(path).groupBy("query", "entity").agg(F.count("*").alias("n"), F.bool_and(F.col("timestamp") > 1e9).alias("timed"))
+
+
+def questions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions read from lines, of which some are blank."""
+    line = F.when(F.col("p_partkey") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" What is "), "p_name", F.lit("? ")))
+    path = fresh_folder(spark, "questions")
+    _t(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return graph_json.read_questions(spark, path).groupBy("question").agg(F.count("*").alias("n"))
+
+
+def runs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of runs, written as CSV with a header and read back."""
+    path = fresh_folder(spark, "csv")
+    graph_json.write_table(metrics.structure(*_whole_runs(spark, sf_dir)), path)
+    found = spark.read.option("header", True).csv(path)
+    return found.select("model", F.col("papers").cast("int").alias("papers"), F.col("entities").cast("long").alias("entities"), F.col("relations").cast("long").alias("relations"))
+
+
+def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by nation, written as JSON lines with a list each and read back; answers are appended beside them in two batches."""
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name")
+    path = fresh_folder(spark, "grouped")
+    graph_json.write_grouped(rows, "nation", f"{path}/lists")
+    for even in (True, False):
+        graph_json.append_answers(rows.where((F.col("s_suppkey") % 2 == 0) == F.lit(even)), f"{path}/answers")
+    lists = spark.read.json(f"{path}/lists").select("nation", F.array_join(F.transform("rows", lambda r: r["s_name"]), ",").alias("names"))
+    counted = spark.read.json(f"{path}/answers").groupBy(F.col("nation").alias("of")).agg(F.count("*").alias("answers"))
+    return lists.join(counted, F.col("nation") == F.col("of")).select("nation", "names", "answers")
+
+
+def relation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of parts, misspelt like their names, repaired by those names as slots; some are called description or category."""
+    part = _t(spark, sf_dir, "part")
+    slots = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").cast("int").alias("pos"))
+    said = F.when(F.col("p_partkey") % 9 == 0, F.lit(" Description")).when(F.col("p_partkey") % 9 == 1, F.lit("category")).otherwise(_misspelt(F.col("p_name"), F.col("p_partkey")))
+    rows = part.select("p_partkey", said.alias("relation"), F.concat(F.lit(" "), "p_brand").alias("related_term"))
+    return ontology.repaired_relations(rows, slots).select("p_partkey", "relation", "related_term", "verified")
+
+
+QUERIES = {f.__name__: f for f in [vector_index_top, vector_top_many, encoded_neighbours, fuzzy_repair, first_like_names, concept_keys, term_records, incremental_resume, running_checkpoints, slot_inference, rdf_lists, slot_triples, turtle_parts, unit_rules, obo_entries, long_replies, saved_records, graph_documents, triples_file, gap_log, questions_file, runs_csv, grouped_rows, relation_repair]}
 
 _MISSPELT = "case p_partkey % 5 when 0 then 'q' || p_name when 1 then substr(p_name, 2) when 2 then left(p_name, length(p_name) - 3) || 'zz' || right(p_name, 1) when 3 then upper(p_name) else 'none ' || p_partkey end"
 #: Bits of the characters of a that equal x, and the length of the longest common subsequence of a and b by them (Hyyrö's recurrence); names are shorter than 60 characters.
 _BITS = "coalesce(list_sum(list_transform(range(length(a)), lambda i: case when substr(a, cast(i + 1 as int), 1) = x then cast(1 as hugeint) << cast(i as int) else 0 end)), 0)"
 _LCS = f"""length(a) - bit_count(cast(list_reduce(list_prepend((cast(1 as hugeint) << length(a)) - 1, list_transform(string_split(b, ''), lambda x: cast({_BITS} as hugeint))),
   lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((cast(1 as hugeint) << length(a)) - 1)) as bit))"""
+_REPAIR = f"""
+with names as (select p_name as name, min(p_partkey) as pos from part group by 1), asked as (select p_partkey, {_MISSPELT} as category from part),
+pairs as (select category, lower(category) as a, lower(name) as b, name, pos from (select distinct category from asked) cross join names where abs(length(category) - length(name)) <= (length(category) + length(name)) * 0.2 + 1),
+scored as (select category, name, pos, 200.0 * ({_LCS}) / (length(a) + length(b)) as score from pairs),
+best as (select category, arg_max(name, score * 1000000 - pos / 1000000.0) as fixed from scored where score >= 80 group by category)"""
 _MENTIONS = """m as (
   select p_name as term, lower(trim(p_name)) as key, p_type as definition, case when p_size > 3 then p_brand end as category, p_brand as paper, p_size as page, p_partkey as ordinal, 's' || p_partkey as snippet,
          case when p_partkey % 5 = 0 then 'c' || p_partkey end as chebi, case when p_partkey % 3 = 0 then 'f' || p_partkey end as formula, case when p_partkey % 10 = 0 then 's' || p_partkey end as smiles,
-         p_brand || '>' || p_type || case when p_size > 25 then '!' else '' end as said, p_brand || '>' || p_type as pair, case when p_partkey % 2 = 0 then 1 when p_partkey % 7 = 0 then 2 else 0 end as times from part
+         p_brand || '>' || p_type || case when p_size > 25 then '!' else '' end as said, p_brand || '>' || p_type as pair, case when p_partkey % 2 = 0 then 1 when p_partkey % 7 = 0 then 2 else 0 end as times from part where p_partkey % 13 > 0
 )"""
 _RECORDS = f"""
 with {_MENTIONS}, firsts as (select key, min(ordinal) as o from m group by key), chem as (select m.* from m join firsts using (key) where ordinal = o or chebi is not null),
@@ -239,12 +319,10 @@ d as (select q.id as query_id, e.id, sum(q.w * e.w) as dot from u q join u e usi
 every as (select q.doc_id as query_id, e.doc_id as id, greatest(0, least(1, (coalesce(dot, 0) + 1) / 2)) as s from documents q cross join documents e left join d on d.query_id = q.doc_id and d.id = e.doc_id where q.doc_id % 100 = 0)
 select query_id, round(s, 5) as score from every qualify row_number() over (partition by query_id order by s desc, id) <= 3
 """,
-    "fuzzy_repair": f"""
-with names as (select p_name as name, min(p_partkey) as pos from part group by 1), asked as (select p_partkey, {_MISSPELT} as category from part),
-pairs as (select category, lower(category) as a, lower(name) as b, name, pos from (select distinct category from asked) cross join names where abs(length(category) - length(name)) <= (length(category) + length(name)) * 0.2 + 1),
-scored as (select category, name, pos, 200.0 * ({_LCS}) / (length(a) + length(b)) as score from pairs),
-best as (select category, arg_max(name, score * 1000000 - pos / 1000000.0) as fixed from scored where score >= 80 group by category)
-select p_partkey, fixed from asked left join best using (category)
+    "fuzzy_repair": f"{_REPAIR} select p_partkey, fixed from asked left join best using (category)",
+    "relation_repair": f"""
+{_REPAIR} select a.p_partkey, case when fixed is null then category else fixed end as relation, p_brand as related_term, fixed is not null as verified
+from asked a join part p on p.p_partkey = a.p_partkey left join best using (category) where a.p_partkey % 9 > 1
 """,
     "concept_keys": """
 with t as (
@@ -259,6 +337,17 @@ select p_partkey, first_value(lower(term)) over (partition by concept order by p
 """,
     "term_records": _RECORDS,
     "incremental_resume": _RECORDS,
+    "saved_records": _RECORDS,
+    "graph_documents": f"""
+with named as (select {_ID.format("name")} as id, arg_min(name, k) as name from (select p_name as name, p_partkey * 2 as k from part union all select p_brand, p_partkey * 2 + 1 from part) group by 1),
+e as (select {_ID.format("p_name")} as s, {_ID.format("p_brand")} as o, arg_min(p_type, p_partkey) as t from part group by all)
+select a.name as subject_name, 'rel:BRANDED' as predicate, b.name as object_name, t as has_evidence from e join named a on a.id = s join named b on b.id = o
+""",
+    "triples_file": "select 'urn:part:' || p_partkey as s, 'urn:says' as p, case when p_partkey % 2 = 0 then 'a \"' || p_name || '\" \\ ' || p_type else 'urn:size:' || p_size end as o from part",
+    "gap_log": "select role as query, 'gap ' || (turn % 5) as entity, count(*) as n, true as timed from conversations group by all",
+    "questions_file": "select 'What is ' || p_name || '?' as question, count(*) as n from part where p_partkey % 4 > 0 group by all",
+    "runs_csv": "select o_orderpriority as model, cast(year(o_orderdate) - 1900 as int) as papers, count(distinct o_custkey) as entities, count(distinct (o_custkey, o_orderstatus, o_orderkey)) as relations from orders group by all",
+    "grouped_rows": "select cast(s_nationkey as bigint) as nation, string_agg(s_name, ',' order by s_suppkey) as names, count(*) as answers from supplier group by s_nationkey",
     "running_checkpoints": """
 with o as (select distinct cast(year(o_orderdate) as int) as b, o_custkey from orders)
 select c.b as checkpoint, count(distinct o_custkey) as keys, count(*) as rows from (select distinct b from o) c join o on o.b <= c.b group by c.b
