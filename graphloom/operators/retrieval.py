@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import token_set_udf
 from graphloom.functions.text import canonical_key, is_generic, query_entities
 from graphloom.operators.graph import touching, weighted_search
-from graphloom.operators.steps import cut, small
+from graphloom.operators.steps import FEW, cut, small
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -21,13 +24,72 @@ def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Scores (a vector with a query each) that a task holds at a time.
+AT_ONCE = 1 << 22
+#: Decimals to which scores of a query set are rounded before they are ranked, so that equal vectors tie whatever block they are in.
+DECIMALS = 12
+
+
+def _scanned(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the ``k`` best of each query in each task, by products of blocks; ``asked`` is written and few."""
+    rows = asked.collect()
+    queries = np.array([r.query for r in rows], float)
+    names = [r.query_id for r in rows]
+    shared = vectors.sparkSession.sparkContext.broadcast((names, queries))
+    usable = vectors.where((F.size("vec") == queries.shape[1]) & F.forall("vec", lambda x: x.isNotNull())).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    schema = asked.select("query_id", F.lit(0.0).alias("score")).join(vectors.select("id")).select("query_id", "id", "score").schema
+    kinds = [pa.int64() if f.dataType.typeName() in ("long", "integer", "short", "byte") else None for f in schema.fields]
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best columns of each row, ties by id."""
+        _, order = np.unique(ids, return_inverse=True)
+        first = np.lexsort((order.reshape(ids.shape), -scores), axis=1)[:, :k]
+        return np.take_along_axis(ids, first, 1), np.take_along_axis(scores, first, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_for, points = shared.value
+        kept_ids: np.ndarray | None = None
+        kept = np.zeros((len(points), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column("id").to_pylist(), object)
+            order = np.argsort(ids, kind="stable")
+            ids, matrix = ids[order], batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)[order]
+            some_ids, some = [], []
+            for start in range(0, len(points), max(1, AT_ONCE // len(ids))):
+                block = np.round(np.clip((points[start : start + max(1, AT_ONCE // len(ids))] @ matrix.T + 1) / 2, 0, 1), DECIMALS)
+                first = np.argsort(-block, axis=1, kind="stable")[:, :k]
+                some_ids.append(ids[first])
+                some.append(np.take_along_axis(block, first, 1))
+            new_ids, new = np.concatenate(some_ids), np.concatenate(some)
+            kept_ids, kept = best(new_ids if kept_ids is None else np.concatenate([kept_ids, new_ids], axis=1), np.concatenate([kept, new], axis=1))
+        if kept_ids is not None:
+            of = [n for n in asked_for for _ in range(kept.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(of, kinds[0]), pa.array(kept_ids.ravel().tolist(), kinds[1]), pa.array(kept.ravel())], ["query_id", "id", "score"])
+
+    casted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    wide = ", ".join(f"{f.name} {'bigint' if kind is not None else f.dataType.simpleString()}" for f, kind in zip(schema.fields, kinds, strict=True))
+    return usable.mapInArrow(run, wide).select(*casted)
+
+
 def vector_top_each(vectors: DataFrame, asked: DataFrame, k: int, names: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score): the ``k`` nearest of each of the queries ``asked`` (query_id, query), by a scan of all vectors; queries that are counted as few are broadcast.
+    """(query_id, id, score): the ``k`` nearest of each of the queries ``asked`` (query_id, query), by a scan of all vectors.
 
-    With ``names`` (id, name), of nodes with one canonical name only the best counts.
+    Queries that are counted as few go to every task, which multiplies blocks and
+    keeps ``k`` hits a query; more of them meet the vectors pair by pair. With
+    ``names`` (id, name), of nodes with one canonical name only the best counts.
+    Vectors that are null, have a null or another length than the queries are no
+    hits. Scores are rounded to DECIMALS, ties go to the lesser id.
     """
-    dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.crossJoin(small(cut(asked))).select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)).alias("score"))
+    asked = cut(asked.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null"))
+    sizes = [r.n for r in asked.select(F.size("query").alias("n")).distinct().limit(2).collect()]
+    if len(sizes) == 1 and asked.count() <= FEW:
+        scored = _scanned(vectors, asked, k)
+    else:
+        whole = F.forall("vec", lambda x: x.isNotNull()) & (F.size("vec") == F.size("query"))
+        dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+        scored = vectors.crossJoin(asked).where(whole).select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)), DECIMALS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     if names is None:

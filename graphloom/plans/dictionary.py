@@ -9,7 +9,7 @@ from graphloom.functions import units
 from graphloom.functions import text as T
 from graphloom.operators import checkpoints, encoder, graph, inference, metrics, ontology, retrieval, skos, terms, vector_index
 from graphloom.operators.steps import cut, fresh_folder
-from graphloom.plans.queries import _ID, _relations, _t, _terms, _whole_runs
+from graphloom.plans.queries import _ID, QUESTION, _query_vector, _relations, _t, _terms, _vectors, _whole_runs
 from graphloom.sources import graph_json, turtle
 from graphloom.streaming.incremental import TermStore
 
@@ -269,7 +269,14 @@ def relation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.repaired_relations(rows, slots).select("p_partkey", "relation", "related_term", "verified")
 
 
-QUERIES = {f.__name__: f for f in [vector_index_top, vector_top_many, encoded_neighbours, fuzzy_repair, first_like_names, concept_keys, term_records, incremental_resume, running_checkpoints, slot_inference, rdf_lists, slot_triples, turtle_parts, unit_rules, obo_entries, long_replies, saved_records, graph_documents, triples_file, gap_log, questions_file, runs_csv, grouped_rows, relation_repair]}
+def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five of a question's best hits whose names stand in it or whose words are most like it."""
+    part = _t(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    hits = retrieval.vector_top(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 48)
+    return retrieval.reranked(hits, part, QUESTION, 5).select("id", "exact", F.round("fuzzy", 6).alias("fuzzy"))
+
+
+QUERIES = {f.__name__: f for f in [vector_index_top, vector_top_many, encoded_neighbours, fuzzy_repair, first_like_names, concept_keys, term_records, incremental_resume, running_checkpoints, slot_inference, rdf_lists, slot_triples, turtle_parts, unit_rules, obo_entries, long_replies, saved_records, graph_documents, triples_file, gap_log, questions_file, runs_csv, grouped_rows, relation_repair, reranked_hits]}
 
 _MISSPELT = "case p_partkey % 5 when 0 then 'q' || p_name when 1 then substr(p_name, 2) when 2 then left(p_name, length(p_name) - 3) || 'zz' || right(p_name, 1) when 3 then upper(p_name) else 'none ' || p_partkey end"
 #: Bits of the characters of a that equal x, and the length of the longest common subsequence of a and b by them (Hyyrö's recurrence); names are shorter than 60 characters.
@@ -338,6 +345,21 @@ select p_partkey, first_value(lower(term)) over (partition by concept order by p
     "term_records": _RECORDS,
     "incremental_resume": _RECORDS,
     "saved_records": _RECORDS,
+    "reranked_hits": f"""
+with hits as (
+  select 'part:' || e.vec_id as id, greatest(0, least(1, (list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: cast(e.embedding[i] as double) * cast(q.embedding[i] as double))) + 1) / 2)) as score
+  from embeddings e, (select embedding from embeddings where vec_id = 0) q order by score desc, id limit 30
+), n as (
+  select id, score, cast(contains(' ' || lower('{QUESTION}') || ' ', ' ' || lower(p_name) || ' ') as int) as exact, list_distinct(string_split('{QUESTION}', ' ')) as x, list_distinct(string_split(p_name || ' ' || p_type, ' ')) as y
+  from hits join part on id = 'part:' || p_partkey
+), w as (
+  select *, array_to_string(list_sort(list_intersect(x, y)), ' ') as shared, array_to_string(list_sort(list_filter(x, lambda v: not list_contains(y, v))), ' ') as l, array_to_string(list_sort(list_filter(y, lambda v: not list_contains(x, v))), ' ') as r from n
+), p as (
+  select id, score, exact, shared, l, r, trim(shared || ' ' || l) as a, trim(shared || ' ' || r) as b from w union all select id, score, exact, shared, l, r, shared, trim(shared || ' ' || l) from w union all select id, score, exact, shared, l, r, shared, trim(shared || ' ' || r) from w
+), s as (select id, score, exact, case when shared <> '' and (l = '' or r = '') then 100.0 when a = '' or b = '' then 0.0 else 200.0 * ({_LCS}) / (length(a) + length(b)) end as ratio from p),
+f as (select id, score, exact, max(ratio) as fuzzy from s group by all)
+select id, exact, round(fuzzy, 6) as fuzzy from f order by exact desc, fuzzy desc, score desc, id limit 5
+""",
     "graph_documents": f"""
 with named as (select {_ID.format("name")} as id, arg_min(name, k) as name from (select p_name as name, p_partkey * 2 as k from part union all select p_brand, p_partkey * 2 + 1 from part) group by 1),
 e as (select {_ID.format("p_name")} as s, {_ID.format("p_brand")} as o, arg_min(p_type, p_partkey) as t from part group by all)
