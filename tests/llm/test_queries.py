@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -22,6 +24,7 @@ SCHEMAS = {
     "benchmark": "item_id long, text string, item long, bag string",
     "labels": "doc_id long, quality int, toxic int, grade string",
     "conversations": f"conv_id long, turn long, role string, text string, {EXTRA}",
+    "embeddings": "vec_id long, embedding array<float>, label int, cluster_ int, number string",
 }
 ITEM = " ".join(f"item{i}" for i in range(30))
 
@@ -48,7 +51,13 @@ def rows():
     talk = [(1, 0, "system", "be kind"), (1, 1, "user", "hi\\ <|im_end|>"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 5, "assistant", "w " * 3000), (2, 5, "assistant", "w"), (2, 5, "assistant", "w"), (3, 0, "a\nb", "")]
     talk += [(4, i, "assistant" if i % 2 else "user", f"turn {i} " * 40) for i in range(40)]
     labels = [(i, i % 2, int(i % 5 == 0), "x") for i in range(15)] + [(3, None, 1, "y"), (None, 1, 1, "z")]
-    return {"documents": docs, "pages": pages, "benchmark": [(1, ITEM, 5, "b"), (2, None, None, None), (3, "", None, None), (4, ITEM, 1, "b")], "labels": labels, "conversations": [(*t, *extra) for t in talk]}
+    return {"documents": docs, "pages": pages, "benchmark": [(1, ITEM, 5, "b"), (2, None, None, None), (3, "", None, None), (4, ITEM, 1, "b")], "labels": labels, "conversations": [(*t, *extra) for t in talk], "embeddings": vectors()}
+
+
+def vectors():
+    bad = [None, [], [0.5] * 63, [0.5] * 65, [float("nan")] + [0.0] * 63, [None] + [0.0] * 63, [float("-inf")] + [0.0] * 63]
+    good = [[math.sin(i * j + i) for j in range(64)] for i in range(30)] + [[0.25] * 64, [0.25] * 64]
+    return [(i, v, 1, 2, "n") for i, v in enumerate(good + bad)] + [(3, good[3], None, None, None), (None, good[4], 1, 1, "x")]
 
 
 @pytest.fixture(scope="module")
@@ -251,6 +260,36 @@ def test_chat_round_trip(spark, folders):
     assert not talks
 
 
+def test_main_texts_of_hard_pages(spark, folders):
+    wanted = {i: " ".join((h or "").split()) for i, _, h, *_ in rows()["pages"]}
+    assert {r.page_id: r.text for r in run(spark, folders, "op11_html_template")} == wanted
+    assert all(r.n_chars == len(r.text) for r in run(spark, folders, "op11_html_template"))
+
+
+def test_clusters_of_hard_vectors(spark, folders):
+    kept = [(i, np.array([math.floor(1024 * float(np.float32(x))) for x in v], np.int64)) for i, v, *_ in rows()["embeddings"] if v and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1].tolist()))
+    points, centres = np.array([v for _, v in kept]), np.array([v for _, v in order[:8]])
+    for last in [False] * 10 + [True]:
+        far = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+        mine = far.argmin(axis=1)
+        for j in range(0 if last else 8):
+            if (mine == j).any():
+                centres[j] = points[mine == j].sum(axis=0) // int((mine == j).sum())
+    own = far.min(axis=1)
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres.tolist()]
+    wanted = Counter((-1 if i is None else i, int(c), int(d), int(own[mine == c].sum()), int(own.sum()), sha[c]) for (i, _), c, d in zip(kept, mine, own, strict=True))
+    assert by_id(run(spark, folders, "op12_ball_kmeans"), "vec_id") == wanted
+
+
+def test_alignment_of_hard_texts(spark, folders):
+    found = run(spark, folders, "op13_token_align")
+    assert len(found) == len(rows()["documents"]) and all((r.groups_sha256 == "") == (r.n_groups == 0) for r in found)
+    words = {i: t for i, t, *_ in rows()["documents"]}
+    assert all(r.n_a == 0 for r in found if r.doc_id is not None and not words[r.doc_id]) and sum(r.n_groups > 0 for r in found) > 15
+    assert all(r.n_links == r.n_groups <= min(r.n_a, r.n_b) and r.n_best <= r.n_links <= r.count_sum for r in found if r.n_groups)
+
+
 def test_warc_records(spark, folders):
     first, want = {}, set()
     for i, _, html, *_ in rows()["pages"]:
