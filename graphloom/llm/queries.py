@@ -131,7 +131,33 @@ QUERIES = {
     "op13_token_align": op13_token_align,
 }
 
+def kmeans_sql(k: int, rounds: int, seed: int, dims: int) -> str:
+    """Plain k-means over all vectors and centroids, a few common table expressions a round."""
+    apart = "list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = "a{i} as materialized (select r, any_value(vec_id) as vec_id, any_value(p) as p, arg_min(c, d * {k} + c) as c, min(d) as d from (select v.r, v.vec_id, v.p, c.c, {apart} as d from v cross join c{last} c) group by r)"
+    parts = [
+        f"""v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as p
+  from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)""",
+        f"c0 as materialized (select row_number() over (order by h, p) - 1 as c, p from (select sha256('{seed}:' || coalesce(cast(vec_id as varchar), '')) as h, p from v order by h, p limit {k}))",
+    ]
+    for i in range(1, rounds + 1):
+        parts += [
+            near.format(i=i, last=i - 1, k=k, apart=apart),
+            f"s{i} as (select c, j, cast(sum(x) as bigint) as s, count(*) as n from (select c, unnest(p) as x, unnest(range({dims})) as j from a{i}) group by c, j)",
+            f"n{i} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as p from s{i} group by c)",
+            f"c{i} as materialized (select o.c, coalesce(n{i}.p, o.p) as p from c{i - 1} o left join n{i} using (c))",
+        ]
+    parts.append(near.format(i=rounds + 1, last=rounds, k=k, apart=apart))
+    return f"""with {", ".join(parts)}
+select vec_id, cast(a.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(c.p, ',')) as centroid_sha256
+from a{rounds + 1} a join c{rounds} c using (c)
+"""
+
+
 ORACLE_SQL = {
+    "op12_ball_kmeans": kmeans_sql(**KMEANS),
     "op5_line_chunks": r"""
 with lines as (
   select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
