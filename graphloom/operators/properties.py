@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.expressions import let
 from graphloom.functions.text import sentences
 
 #: Phrases and the properties they name.
@@ -36,10 +37,11 @@ NEAR = 30
 
 
 def _starts(text, phrase):
-    """Starts of all occurrences, from the lengths of the pieces between them."""
+    """Starts of all occurrences, from the lengths of the pieces between them; the text is split once."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), F.lit(-1))
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(phrase))
-    return F.slice(ends, 1, F.size(pieces) - 1)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(phrase)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all"))
+    return let(F.aggregate(pieces, none, step, lambda a: a["all"]), lambda ends: F.slice(ends, 1, F.size(ends) - 1))
 
 
 def mine(pages: DataFrame, materials: DataFrame) -> DataFrame:
@@ -51,13 +53,15 @@ def mine(pages: DataFrame, materials: DataFrame) -> DataFrame:
     """
     phrases = F.broadcast(pages.sparkSession.createDataFrame(list(KEYWORDS.items()), "phrase string, property string"))
     cut = pages.select("page_id", F.posexplode(sentences(F.col("text"))).alias("no", "sentence")).withColumn("low", F.lower("sentence")).where(F.col("low").rlike("|".join(KEYWORDS)))
-    said = cut.join(phrases, F.contains("low", F.col("phrase")))
-    both = said.join(materials, "page_id").withColumn("m", F.lower("material")).where(F.contains("low", F.col("m")))
-    near = F.exists(_starts(F.col("low"), F.col("m")), lambda x: F.exists(_starts(F.col("low"), F.col("phrase")), lambda y: F.abs(x - y) <= NEAR))
+    # Small files are few tasks, so sentences are dealt anew before the costly part.
+    said = cut.repartition("page_id").join(phrases, F.contains("low", F.col("phrase")))
+    both = said.join(materials, "page_id").withColumn("m", F.lower("material"))
+    near = let(_starts(F.col("low"), F.col("phrase")), lambda ys: F.exists(_starts(F.col("low"), F.col("m")), lambda x: F.exists(ys, lambda y: F.abs(x - y) <= NEAR)))
     p, m = (F.concat(F.lit(r"\b\Q"), F.col(c), F.lit(r"\E\b")) for c in ("phrase", "m"))
     of = F.regexp_like("low", F.concat(p, F.lit(r"\s+of\s+"), m))
     has = F.regexp_like("low", F.concat(m, F.lit(r"\s+.*?"), p))
-    both = both.where(near & (of | has))
+    # A case, so that no plan runs the costly tests on a pair that a search for both words rules out.
+    both = both.where(F.when(F.contains("low", F.col("phrase")) & F.contains("low", F.col("m")), (of | has) & near).otherwise(False))
     groups = [F.regexp_extract_all("sentence", F.lit(VALUE_UNIT), F.lit(g)) for g in (1, 2, 3)]
     found = both.select("page_id", "no", "material", "property", F.trim("sentence").alias("context"), F.explode_outer(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("v", "s", "u"), strict=True)))).alias("hit"))
     return found.select(
