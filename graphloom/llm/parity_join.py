@@ -59,6 +59,8 @@ SEEDS = 4
 GROWTH = 2
 #: Bits of the least and greatest bit sketch.
 BITS, MOST_BITS = 1024, 1 << 20
+#: Bits of the sketches that rows of the last join carry; longer ones are folded to these.
+JOIN_BITS = 1 << 14
 #: Rounds of hashed pivots before sets in different components are paired completely.
 PIVOT_ROUNDS = 3
 #: Copies from which a class is joined back by broadcast, and the most such classes that are (32 bytes each).
@@ -137,6 +139,14 @@ def bit_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(tv.U64)
 
 
+def _folded(bits: Column, most: int) -> Column:
+    """A bit sketch of at most ``most`` bits: the XOR of the pieces of a longer one, which shingles flip alike."""
+    longs = most // 64
+    piece = lambda i: F.slice(bits, i * longs + 1, F.lit(longs))
+    pieces = F.sequence(F.lit(1), (F.size(bits) / longs).cast("int") - 1)
+    return F.when(F.size(bits) <= longs, bits).otherwise(F.aggregate(pieces, F.slice(bits, 1, longs), lambda out, i: F.zip_with(out, piece(i), lambda p, q: p.bitwiseXOR(q))))
+
+
 def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
     """Whether two sets, each (name of its size, name of its bit sketch), can reach the threshold."""
     size_a, size_b = F.col(a[0]), F.col(b[0])
@@ -270,8 +280,8 @@ def _components_of(sets: DataFrame, given: DataFrame, base: DataFrame, k: int, p
         pivots = mixed.join(chosen, (F.col("key") == F.col("pivot_key")) & (F.col("c") != F.col("pivot.c")))
         found = linked(found, pivots.groupBy(F.col("doc").alias("x")).agg(F.min_by("pivot.doc", F.xxhash64("key", F.lit(turn))).alias("y")))
         crowd = mixed.select("key", "doc")
-    # What is left is paired completely across components; short bit sketches rule most pairs out inside the join.
-    short = marks.withColumn("bits", F.when(F.size("bits") <= BITS // 64, F.col("bits")))
+    # What is left is paired completely across components; bit sketches of all sets rule most pairs out inside the join.
+    short = marks.withColumn("bits", _folded(F.col("bits"), JOIN_BITS))
     mixed = tables.write(_mixed(crowd, found, tables).join(short, "doc"), "marked")
     other = mixed.select(F.col("key").alias("key_b"), F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
     apart = (F.col("key") == F.col("key_b")) & (F.col("doc") < F.col("b")) & (F.col("c") != F.col("c_b"))
