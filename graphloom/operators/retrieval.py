@@ -25,48 +25,75 @@ def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 #: Scores (a vector with a query each) that a task holds at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 #: Decimals to which scores of a query set are rounded before they are ranked, so that equal vectors tie whatever block they are in.
 DECIMALS = 12
 
 
-def _scanned(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): the ``k`` best of each query in each task, by products of blocks; ``asked`` is written and few."""
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` greatest of each row, the first of equal ones; only those that reach the row's ``k``-th are sorted."""
+    if scores.shape[1] <= k:
+        return np.argsort(-scores, axis=1, kind="stable")
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((column, -scores[row, column], row))
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    return column[order][starts[:, None] + np.arange(k)]
+
+
+def scanned(vectors: DataFrame, asked: DataFrame, k: int, cells: bool = False) -> DataFrame:
+    """(query_id, id, score): the ``k`` best of each query in each task, by products of blocks; ``asked`` (query_id, query) is written and few.
+
+    With ``cells`` a query meets only the vectors whose ``cell`` is one of its ``cells``, an array.
+    """
     rows = asked.collect()
     queries = np.array([r.query for r in rows], float)
     names = [r.query_id for r in rows]
-    shared = vectors.sparkSession.sparkContext.broadcast((names, queries))
-    usable = vectors.where((F.size("vec") == queries.shape[1]) & F.forall("vec", lambda x: x.isNotNull())).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    of_cell: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        for cell in r.cells if cells else [0]:
+            of_cell.setdefault(cell, []).append(i)
+    shared = vectors.sparkSession.sparkContext.broadcast((names, queries, {c: np.array(of) for c, of in of_cell.items()}))
+    usable = vectors.where((F.size("vec") == queries.shape[1]) & F.forall("vec", lambda x: x.isNotNull()))
+    usable = usable.select("id", F.col("vec").cast("array<double>").alias("vec"), (F.col("cell") if cells else F.lit(0)).cast("int").alias("cell"))
     schema = asked.select("query_id", F.lit(0.0).alias("score")).join(vectors.select("id")).select("query_id", "id", "score").schema
-    kinds = [pa.int64() if f.dataType.typeName() in ("long", "integer", "short", "byte") else None for f in schema.fields]
-
-    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best columns of each row, ties by id."""
-        _, order = np.unique(ids, return_inverse=True)
-        first = np.lexsort((order.reshape(ids.shape), -scores), axis=1)[:, :k]
-        return np.take_along_axis(ids, first, 1), np.take_along_axis(scores, first, 1)
+    whole = [f.dataType.typeName() in ("long", "integer", "short", "byte") for f in schema.fields]
+    kinds = [pa.int64() if x else None for x in whole]
+    kind = np.int64 if whole[1] and usable.where("id is null").isEmpty() else object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_for, points = shared.value
-        kept_ids: np.ndarray | None = None
-        kept = np.zeros((len(points), 0))
+        asked_for, points, of_cell = shared.value
+        kept_ids = np.full((len(points), k), 0 if kind is np.int64 else None, kind)
+        # Places without a hit yet have the score -1, below any.
+        kept = np.full((len(points), k), -1.0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column("id").to_pylist(), object)
-            order = np.argsort(ids, kind="stable")
-            ids, matrix = ids[order], batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)[order]
-            some_ids, some = [], []
-            for start in range(0, len(points), max(1, AT_ONCE // len(ids))):
-                block = np.round(np.clip((points[start : start + max(1, AT_ONCE // len(ids))] @ matrix.T + 1) / 2, 0, 1), DECIMALS)
-                first = np.argsort(-block, axis=1, kind="stable")[:, :k]
-                some_ids.append(ids[first])
-                some.append(np.take_along_axis(block, first, 1))
-            new_ids, new = np.concatenate(some_ids), np.concatenate(some)
-            kept_ids, kept = best(new_ids if kept_ids is None else np.concatenate([kept_ids, new_ids], axis=1), np.concatenate([kept, new], axis=1))
-        if kept_ids is not None:
-            of = [n for n in asked_for for _ in range(kept.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(of, kinds[0]), pa.array(kept_ids.ravel().tolist(), kinds[1]), pa.array(kept.ravel())], ["query_id", "id", "score"])
+            every = np.array(batch.column("id").to_pylist(), kind)
+            vecs, at = batch.column("vec").flatten().to_numpy().reshape(len(every), -1), batch.column("cell").to_numpy()
+            for cell in np.unique(at):
+                some = np.flatnonzero(at == cell)
+                # Nulls come first, as Spark sorts them.
+                some = some[np.argsort(every[some], kind="stable")] if kind is np.int64 else np.array(sorted(some, key=lambda i: nulls_first(every[i])), int)
+                ids, matrix, wanted = every[some], vecs[some], of_cell.get(int(cell), np.zeros(0, int))
+                step = max(1, AT_ONCE // len(ids))
+                for start in range(0, len(wanted), step):
+                    own = wanted[start : start + step]
+                    block = np.round(np.fmax(0, np.fmin(1, (points[own] @ matrix.T + 1) / 2)), DECIMALS)
+                    first = _best(block, k)
+                    scores = np.concatenate([kept[own], np.take_along_axis(block, first, 1)], axis=1)
+                    both = np.concatenate([kept_ids[own], ids[first]], axis=1)
+                    rank = np.unique(both, return_inverse=True)[1].reshape(both.shape) if kind is np.int64 else ranks(both)
+                    order = np.lexsort((rank, -scores), axis=1)[:, :k]
+                    kept[own], kept_ids[own] = np.take_along_axis(scores, order, 1), np.take_along_axis(both, order, 1)
+        row, column = np.nonzero(kept >= 0)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array([asked_for[i] for i in row], kinds[0]), pa.array(kept_ids[row, column].tolist(), kinds[1]), pa.array(kept[row, column])], ["query_id", "id", "score"])
+
+    def nulls_first(x: object) -> tuple:
+        return x is not None, 0 if x is None else x
+
+    def ranks(ids: np.ndarray) -> np.ndarray:
+        place = {x: i for i, x in enumerate(sorted(set(ids.ravel()), key=nulls_first))}
+        return np.array([place[x] for x in ids.ravel()]).reshape(ids.shape)
 
     casted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     wide = ", ".join(f"{f.name} {'bigint' if kind is not None else f.dataType.simpleString()}" for f, kind in zip(schema.fields, kinds, strict=True))
@@ -85,7 +112,7 @@ def vector_top_each(vectors: DataFrame, asked: DataFrame, k: int, names: DataFra
     asked = cut(asked.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null"))
     sizes = [r.n for r in asked.select(F.size("query").alias("n")).distinct().limit(2).collect()]
     if len(sizes) == 1 and asked.count() <= FEW:
-        scored = _scanned(vectors, asked, k)
+        scored = scanned(vectors, asked, k)
     else:
         whole = F.forall("vec", lambda x: x.isNotNull()) & (F.size("vec") == F.size("query"))
         dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)

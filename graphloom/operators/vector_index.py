@@ -19,8 +19,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.retrieval import vector_top_each
-from graphloom.operators.steps import cut, fresh_folder, small
+from graphloom.operators.retrieval import DECIMALS, scanned, vector_top_each
+from graphloom.operators.steps import FEW, cut, fresh_folder, small
 
 #: Fixed values of the number of cells: 64 at least, else twice the root of the number of vectors.
 LEAST_CELLS, PER_ROOT = 64, 2
@@ -102,8 +102,13 @@ def search(spark: SparkSession, path: str, asked: DataFrame, k: int, probes: int
     wanted = cut(cell_order(spark, path, asked, probes))
     cells = [r.cell for r in wanted.select("cell").distinct().collect()]
     vectors = stored(spark, path).where(F.col("cell").isin(cells))
-    dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.join(small(wanted), "cell").select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)).alias("score"))
+    # A query each, which go to every task; more of them meet the vectors of their cells pair by pair.
+    each = cut(wanted.groupBy("query_id", "query").agg(F.collect_list("cell").alias("cells")))
+    if cells and each.count() <= FEW:
+        scored = scanned(vectors, each, k, cells=True)
+    else:
+        dot = F.aggregate(F.zip_with("vec", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+        scored = vectors.join(small(wanted), "cell").select("query_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot + 1) / 2)), DECIMALS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
