@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.graph import closure
 from graphloom.operators.steps import cut, small
 
+#: Facts of a node on one side that a task should get.
+PER_TASK = 10_000
 #: The predicate that gives a thing its class.
 TYPE = "type"
 #: Slot, super-slot, domain, range, inverse, traits (s: symmetric, t: transitive).
@@ -78,6 +80,26 @@ def moves(slots: DataFrame) -> DataFrame:
     return found.select(F.col("name").alias("slot"), F.regexp_replace("ancestor", "<$", "").alias("to"), F.col("ancestor").endswith("<").alias("flipped")).distinct()
 
 
+def chained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(s, p, o): ends of two facts of one predicate that meet in a node.
+
+    A node with more than PER_TASK facts on a side has these dealt over salts,
+    and meets the other side's once a salt, so no task gets all of a node.
+    """
+    at = left.groupBy(F.col("p").alias("hub_p"), F.col("o").alias("hub")).agg(F.ceil(F.count("*") / PER_TASK).alias("lefts"))
+    of = right.groupBy(F.col("p").alias("hub_p"), F.col("s").alias("hub")).agg(F.ceil(F.count("*") / PER_TASK).alias("rights"))
+    hubs = cut(at.join(of, ["hub_p", "hub"]).where("lefts > 1 or rights > 1"))
+    one = F.lit(1).cast("long")
+    lefts, rights = F.coalesce("lefts", one), F.coalesce("rights", one)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = small(hubs)
+    before = left.join(few, (F.col("p") == F.col("hub_p")) & (F.col("o") == F.col("hub")), "left")
+    before = before.select("s", "p", "o", F.pmod(F.xxhash64("s"), lefts).alias("left_salt"), every(rights).alias("right_salt"))
+    after = right.join(few, (F.col("p") == F.col("hub_p")) & (F.col("s") == F.col("hub")), "left")
+    after = after.select(F.col("s").alias("o"), "p", F.col("o").alias("end"), every(lefts).alias("left_salt"), F.pmod(F.xxhash64("o"), rights).alias("right_salt"))
+    return before.join(after, ["o", "p", "left_salt", "right_salt"]).select("s", "p", F.col("end").alias("o"))
+
+
 def infer(triples: DataFrame, slots: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(s, p, o): the triples and all that follow from them.
 
@@ -97,10 +119,6 @@ def infer(triples: DataFrame, slots: DataFrame, classes: DataFrame | None = None
         swap = F.coalesce("flipped", F.lit(False))
         return met.select(F.when(swap, F.col("o")).otherwise(F.col("s")).alias("s"), F.coalesce("to", "p").alias("p"), F.when(swap, F.col("s")).otherwise(F.col("o")).alias("o")).distinct()
 
-    def chained(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = right.select(F.col("s").alias("via"), F.col("p").alias("q"), F.col("o").alias("end"))
-        return left.join(on, (F.col("o") == F.col("via")) & (F.col("p") == F.col("q"))).select("s", "p", F.col("end").alias("o"))
-
     every = cut(renamed(triples.where("s is not null and p is not null and o is not null").select("s", "p", "o")))
     only = lambda facts: facts.join(F.broadcast(transitive), "p", "left_semi").select("s", "p", "o")
     new = every
