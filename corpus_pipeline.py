@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages of two or more lines; n_chars follows the text, and documents of which nothing is left go.
+    """Texts without repeated chunks of lines, as operator 5 cuts them, nor repeated passages of two or more lines beside those.
 
+    n_chars follows the text, and documents of which nothing is left go.
     Null and empty texts have nothing to remove and stay. Of equal passages the
     one of the least document id stays, of rows that repeat an id that of the
     text with the least hash; equal rows are one text and are cut alike. Null

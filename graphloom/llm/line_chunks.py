@@ -13,8 +13,10 @@ Counts are combined before each shuffle, and joins on frequent chunks are
 salted, so a chunk that a third of the documents hold is dealt over many tasks.
 Texts meet their marks by merge joins at every size: both sides grow with the corpus.
 
-Short passages seldom hold a whole chunk. ``dedup_passages`` finds those too: it
-compares each line with the next one that isn't blank, wherever the two stand.
+Short passages seldom hold a whole chunk. ``dedup_passages`` removes repeated
+chunks too, and compares each pair of neighbouring lines that no removed chunk
+holds: those at the chunks' edges and in chunks that differ. Both are judged on
+the text as it was given.
 
 Null and empty texts have no such chunk and stay as they are. Null ids count as
 the smallest id. Rows that repeat an id and text are one document: all of them
@@ -41,7 +43,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Array of (no, n_lines, n_solid, body) of a text's chunks; their bodies joined by newlines are the text."""
+    """Array of (no, n_lines, n_solid, body, start) of a text's chunks; their bodies joined by newlines are the text."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
     def ends(hashes: Column) -> Column:
@@ -63,6 +65,7 @@ def chunks(text: Column) -> Column:
                 (end - start + 1).alias("n_lines"),
                 F.size(F.filter(own, lambda x: x.rlike(r"\S"))).alias("n_solid"),
                 F.array_join(own, "\n").alias("body"),
+                start.alias("start"),
             )
 
         return F.transform(at, one)
@@ -127,37 +130,78 @@ def pairs(text: Column) -> Column:
     return let(lines, lambda rows: let(F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i).rlike(r"\S")), lambda solid: cut(rows, solid)))
 
 
+def units(text: Column) -> Column:
+    """Array of (start, end, no, unit, wide) of a text's chunks of LEAST_LINES (wide) and its pairs; null without a pair.
+
+    ``unit`` is a hash of the bytes, ``no`` the number of the chunk, which for a pair is the one that holds both lines, or null.
+    """
+
+    def both(cut: Column, of: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            return F.struct(c["start"].alias("start"), (c["start"] + c["n_lines"] - 1).alias("end"), c["no"].alias("no"), F.xxhash64(c["body"], F.lit(True)).alias("unit"), F.lit(True).alias("wide"))
+
+        def pair(p: Column) -> Column:
+            no = F.get(of, p["start"])
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(no == F.get(of, p["end"]), no).alias("no"), F.xxhash64(p["body"]).alias("unit"), F.lit(False).alias("wide"))
+
+        return F.concat(F.transform(F.filter(cut, lambda c: c["n_solid"] >= LEAST_LINES), chunk), F.transform(pairs(text), pair))
+
+    return let(chunks(text), lambda cut: let(F.flatten(F.transform(cut, lambda c: F.array_repeat(c["no"], c["n_lines"]))), lambda of: both(cut, of)))
+
+
+def _repeated(found: DataFrame, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The units that stand at two or more places, with is_first, as a table of that name; and the hot ones."""
+    place = F.struct("key_", "text_hash_", "start")
+    places = found.groupBy("unit").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
+    repeated = tables.write(places.where("first <> last").select("unit", "first", "copies"), "repeated")
+    hot = hot_keys(repeated, "unit", "copies")
+    hot = hot if hot is None else tables.write(hot, f"{name}_hot")
+    marked = salted_join(found, repeated.drop("copies"), "unit", ["key_", "text_hash_", "start"], hot)
+    marked = tables.write(marked.select("key_", "text_hash_", "start", "end", "no", "unit", (place == F.col("first")).alias("is_first")), name)
+    tables.drop("repeated")
+    return marked, hot
+
+
 def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less every passage of two or more lines that stands at an earlier place, and n_removed_ (lines) at the end.
 
-    A pair goes where its bytes equal those of an earlier pair, by document id
-    and position. Whatever line goes stands at an earlier place, so one copy stays.
+    A chunk, as ``dedup`` cuts them, goes where its bytes equal those of an
+    earlier chunk, and a pair of neighbouring lines where they equal those of an
+    earlier pair, by document id and position in the given text. Pairs inside a
+    chunk that repeats an earlier one aren't compared: they have gone, and each
+    of them stands in that earlier chunk. Whatever line goes stands at an
+    earlier place, so one copy stays; a chunk takes blank lines at its ends along.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     columns = [c for c in docs.columns if c != "n_removed_"]
     row = F.struct(*(F.col(c) for c in columns if c != text), F.lit(0).alias("filler_"))
     base = docs.select(row.alias("row_"), F.col(text).alias("text_"), key.alias("key_"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash_"))
     small = base.select("key_", "text_hash_", "text_")
-    place = F.struct("key_", "text_hash_", "start")
 
-    many = small.where(F.instr("text_", "\n") > 0)
-    every = many.select("key_", "text_hash_", F.inline(F.transform(pairs(F.col("text_")), lambda p: F.struct(p["start"].alias("start"), F.xxhash64(p["body"]).alias("pair")))))
-    found = every.groupBy("pair").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
     tables = Scratch(docs.sparkSession)
-    repeated = tables.write(found.where("first <> last").select("pair", "first", "copies"), "repeated")
-    hot = hot_keys(repeated, "pair", "copies")
-    flagged = salted_join(every, repeated.drop("copies"), "pair", ["key_", "text_hash_", "start"], hot).select("key_", "text_hash_", "start", "pair", (place == F.col("first")).alias("is_first"))
-    marks = flagged.groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("pair", "is_first")))).alias("marks"))
-
+    every = tables.write(small.where(F.instr("text_", "\n") > 0).select("key_", "text_hash_", F.inline(units(F.col("text_")))), "units")
+    wide, hot_wide = _repeated(every.where("wide").drop("wide"), tables, "wide")
+    # Pairs that no later copy of a chunk holds.
+    later = wide.where("not is_first").select("key_", "text_hash_", "no").distinct()
+    left = tables.write(every.where("not wide").drop("wide").join(later, ["key_", "text_hash_", "no"], "left_anti"), "pairs")
+    tables.drop("units")
+    narrow, hot_narrow = _repeated(left, tables, "narrow")
+    tables.drop("pairs")
+    found = [h for h in (hot_wide, hot_narrow) if h is not None]
+    hot = found[0].union(found[1]) if len(found) > 1 else found[0] if found else None
+
+    mark = F.struct("start", "end", "unit", "is_first")
+    marks = wide.unionByName(narrow).groupBy(F.col("key_").alias("mark_key"), F.col("text_hash_").alias("mark_hash")).agg(F.collect_set(mark).alias("marks"))
     texts = small.join(marks.hint("merge"), (F.col("key_") == F.col("mark_key")) & (F.col("text_hash_") == F.col("mark_hash"))).dropDuplicates(["key_", "text_hash_"])
-    bodies = texts.select("key_", "text_hash_", "marks", F.inline(pairs(F.col("text_")))).withColumn("mark", F.col("marks")[F.col("start")]).where("mark is not null")
-    bodies = bodies.select("key_", "text_hash_", "start", "end", "body", "mark.pair", "mark.is_first")
-    bodies = tables.write(bodies, "bodies")
-    firsts = bodies.where("is_first").groupBy("pair").agg(F.min("body").alias("first_body"))
-    equal = salted_join(bodies.where("not is_first"), firsts, "pair", ["key_", "text_hash_", "start"], hot).where(F.col("body") == F.col("first_body"))
+    body = lambda rows, m: F.array_join(F.slice(rows, m["start"] + 1, m["end"] - m["start"] + 1), "\n")
+    wanted = let(F.split("text_", "\n", -1), lambda rows: F.transform("marks", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["unit"].alias("unit"), m["is_first"].alias("is_first"), body(rows, m).alias("body"))))
+    bodies = tables.write(texts.select("key_", "text_hash_", F.inline(wanted)), "bodies")
+    tables.drop("wide", "narrow")
+    firsts = bodies.where("is_first").groupBy("unit").agg(F.min("body").alias("first_body"))
+    equal = salted_join(bodies.where("not is_first"), firsts, "unit", ["key_", "text_hash_", "start"], hot).where(F.col("body") == F.col("first_body"))
     gone = equal.groupBy(F.col("key_").alias("gone_key"), F.col("text_hash_").alias("gone_hash")).agg(F.flatten(F.collect_set(F.sequence("start", "end"))).alias("gone"))
     gone = written(gone, "gone")
-    tables.drop("repeated", "bodies")
+    tables.drop("bodies", "wide_hot", "narrow_hot")
 
     out = base.join(gone.hint("merge"), (F.col("key_") == F.col("gone_key")) & (F.col("text_hash_") == F.col("gone_hash")), "left")
     lines = F.split(F.coalesce("text_", F.lit("")), "\n", -1)
