@@ -9,15 +9,18 @@ order in every page and its spans don't cross those of a greater class. The
 valid classes nest into the host's template, and what stands between two
 neighbouring tokens of a class is a slot.
 
-Slots are judged over all pages of the host: a slot that holds text of an
-article or main element is extracted; for pages without such an element, every
-slot whose text isn't all links, which a menu's is. A last check looks at each
+Slots are judged over all pages of the host. A slot holds an article's text if
+text of an article or main element in it isn't all links on some page. Where a
+page has such slots, its article elements without any are teasers or menus and
+go; links elsewhere in the article stay, such as a linked title. Where it has
+none, its article elements stay as they are. For pages without such an element,
+every slot whose text isn't all links is extracted. A last check looks at each
 block of an extracted slot on its own: blocks inside menus, headers, footers,
 asides, forms, scripts, styles, or elements whose class, id or role says advert,
 notice, comments and the like, aren't main text, nor are blocks outside the
 article on pages that have one. On pages without one, blocks made of template
-words alone go too. Pages without an article whose host has fewer than
-MIN_PAGES pages keep links and template words, since nothing can be told apart.
+words alone go too. Pages whose host has fewer than MIN_PAGES pages keep links
+and template words, since nothing can be told apart.
 
 Null pages are empty; an empty page, or one with no text left, gives an empty
 text. Pages whose URL is null or has no host form a host of their own. Repeated
@@ -85,21 +88,25 @@ def _hash(text: str) -> int:
 
 
 class _Open:
-    """An open element: its path's hash, whether text in it is an article's, and whether it is furniture (1 by layout, 2 for good)."""
+    """An open element: its path's hash, whether text in it is an article's, whether it is furniture (1 by layout, 2 for good), and its article's number."""
 
-    __slots__ = ("furniture", "main", "path", "tag")
+    __slots__ = ("article", "furniture", "main", "path", "tag")
 
-    def __init__(self, tag: str, path: int, main: bool, furniture: int):
-        self.tag, self.path, self.main, self.furniture = tag, path, main, furniture
+    def __init__(self, tag: str, path: int, main: bool, furniture: int, article: int):
+        self.tag, self.path, self.main, self.furniture, self.article = tag, path, main, furniture, article
 
 
 class Page:
-    """Tokens and blocks of one page. Blocks are (text, number of tokens before, in an article, furniture, all links, own tokens)."""
+    """Tokens and blocks of one page. Blocks are (text, number of tokens before, in an article, furniture, all links, own tokens).
+
+    ``articles`` has for each article element the number of the one around it, ``within`` for each block that of its innermost one; 0 is none.
+    """
 
     def __init__(self, html: str):
         self.tokens: list[int] = []
         self.blocks: list[tuple[str, int, bool, bool, bool, int]] = []
-        self.open = [_Open("", 0, False, 0)]
+        self.articles, self.within = [0], []
+        self.open = [_Open("", 0, False, 0, 0)]
         self.count: dict[str, int] = {}
         self.text: list[str] = []
         self.plain = False
@@ -175,9 +182,12 @@ class Page:
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCK and tag not in RAW):
             return
         words = {w.lower() for w in NAME.findall(named)} if named else frozenset()
-        furniture, main = top.furniture, top.main
+        furniture, main, article = top.furniture, top.main, top.article
         if tag in MAIN or role in ("main", "article"):
             main, furniture = True, 0 if furniture == 1 and not main else furniture
+            if tag == "article" or role == "article":
+                self.articles.append(article)
+                article = len(self.articles) - 1
         elif tag in FURNITURE or role in ROLES or (tag == "header" and not main):
             furniture = 2
         if words and tag not in ("html", "body"):
@@ -185,7 +195,7 @@ class Page:
                 furniture = 2
             elif (words & LAYOUT or (words & HEADS and not main)) and not words & BESIDE and tag not in MAIN:
                 furniture = max(furniture, 1)
-        self.open.append(_Open(tag, path, main, furniture))
+        self.open.append(_Open(tag, path, main, furniture, article))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
@@ -222,6 +232,7 @@ class Page:
         if not top.main:
             self.tokens.extend(_hash(f"{top.path} {w}") for w in text.split(" "))
         self.blocks.append((text, at, top.main, top.furniture > 0, linked, len(self.tokens) - at))
+        self.within.append(top.article)
 
 
 BLOCKS = "array<struct<at:int,main:boolean,furniture:boolean,linked:boolean,n:int>>"
@@ -417,23 +428,35 @@ def template(pages: DataFrame, sizes: DataFrame, hot: DataFrame | None, tables:
     known = found["class"]["id"]
     valid = found.join(bad.withColumnRenamed("host_", "in_"), (F.col("host_") == F.col("in_")) & (known == F.col("id")), "left_anti")
     hosts = tables.write(filled(valid.groupBy("host_").agg(listed)), "valid")
-    # A host's slots: those with text of an article on any page, and those with text that isn't all links.
-    slot = _slots(met(pages, hosts, hot)).groupBy("host_", "slot").agg(F.max("main").alias("main"), F.min("linked").alias("linked"))
+    # A host's slots: those where an article's text isn't all links on some page, and those where any text isn't.
+    slot = _slots(met(pages, hosts, hot)).groupBy("host_", "slot").agg(F.max(F.col("main") & ~F.col("linked")).alias("main"), F.min("linked").alias("linked"))
     chosen = slot.groupBy("host_").agg(F.collect_set(F.when(F.col("main"), F.col("slot"))).alias("main_slots_"), F.collect_set(F.when(~F.col("linked"), F.col("slot"))).alias("text_slots_"))
     none = F.array().cast("array<bigint>")
     return hosts.join(chosen, "host_", "left").select("host_", "pages_", "classes_", F.coalesce("main_slots_", none).alias("main_slots_"), F.coalesce("text_slots_", none).alias("text_slots_"))
 
 
+def teasers(page: Page, slots: list[int], main_slots: set[int]) -> set[int]:
+    """Numbers of a page's article elements without a slot that holds an article's text; none if the whole page has no such slot."""
+    said = {article for slot, article, (_, _, main, furniture, _, _) in zip(slots, page.within, page.blocks, strict=True) if main and not furniture and slot in main_slots}
+    if not said:
+        return set()
+    for i in range(len(page.articles) - 1, 0, -1):  # Those inside have greater numbers.
+        if i in said:
+            said.add(page.articles[i])
+    return set(range(1, len(page.articles))) - said
+
+
 def extract(page: Page, walk: Walk, main_slots: set[int], text_slots: set[int], pages: int) -> str:
     """The text of a page's blocks that stand in slots of the template which are extracted, and pass the check of each block."""
     own_main = any(main and not furniture for _, _, main, furniture, _, _ in page.blocks)
     slots = walk.slots(page.tokens, [b[1] for b in page.blocks])
+    beside = teasers(page, slots, main_slots) if own_main and pages >= MIN_PAGES else set()
     kept = []
-    for slot, (text, at, main, furniture, _, n) in zip(slots, page.blocks, strict=True):
+    for slot, article, (text, at, main, furniture, _, n) in zip(slots, page.within, page.blocks, strict=True):
         if furniture:
             continue
         if own_main:
-            fits = slot in main_slots and main
+            fits = main and article not in beside
         else:
             fits = pages < MIN_PAGES or (slot in text_slots and not walk.constant(page.tokens[at : at + n], pages))
         if fits:

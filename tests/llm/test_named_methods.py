@@ -4,7 +4,7 @@ import random
 from hashlib import md5
 
 import corpus_pipeline
-from graphloom.llm import line_chunks
+from graphloom.llm import html_template, line_chunks
 from graphloom.llm.store import Scratch
 
 
@@ -62,3 +62,20 @@ def test_line_stage_removes_chunks_and_then_pairs(spark, monkeypatch):
     assert want != without(given, chunks=False)[0] and counts["pairs"] == outside < n
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert left == {i: t for i, t in want.items() if t.strip()}
+
+
+def test_template_tells_teasers_from_articles(spark):
+    """Article elements that hold links alone on every page of the host go; the same page keeps them where the host's other pages have text there."""
+    card = lambda i, inside: f"<div class='x'><article><p>{inside}</p></article></div>"
+    body = lambda i, inside: f"<article><h1><a href='/{i}'>Title {i}</a></h1><div>Text {i}</div><article><i><a href='/n'>Nested {i}</a></i></article></article>{card(i, inside)}"
+    link = lambda i: f"<a href='/{i}'>Card {i}</a>"
+    rows = [(i, f"http://links.org/{i}", body(i, link(i))) for i in range(6)]
+    rows += [(10 + i, f"http://words.org/{i}", body(i, link(i) if i < 4 else f"Said {i}")) for i in range(6)]
+    rows += [(20 + i, f"http://few.org/{i}", body(i, link(i))) for i in range(2)]
+    rows += [(30 + i, f"http://index.org/{i}", f"<article>{link(i)}</article>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i}\nText {i}" for i in range(6)}
+    want |= {10 + i: f"Title {i}\nText {i}\n" + (f"Card {i}" if i < 4 else f"Said {i}") for i in range(6)}
+    want |= {20 + i: f"Title {i}\nText {i}\nNested {i}\nCard {i}" for i in range(2)}
+    want |= {30 + i: f"Card {i}" for i in range(6)}
+    assert got == want
